@@ -82,7 +82,7 @@ def profile(df: DataFrame, *, approx: bool = False) -> DataFrame:
             for i, f in enumerate(fields)
         ]
     )
-    denom = F.greatest(F.col("_n"), F.lit(1))
+    denom = F.greatest(F.col("n_rows"), F.lit(1))
     return (
         wide.select(F.col("_n").alias("n_rows"), F.inline(rows))
         .withColumn("missing_ratio", F.round(F.col("n_missing") / denom, 6))

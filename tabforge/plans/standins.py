@@ -73,6 +73,29 @@ STANDINS: dict[str, str] = {
                     WHEN 'purchase' THEN 'completed' ELSE 'failed' END AS status,
                event_type || ': ' || props AS line
         FROM events""",
+    # ---- text columns for the datetime detector (95 % / 90 % parseable, numeric text, mixed)
+    "s_texty": """
+        SELECT event_id, ts,
+               {FMT_TS:ts} AS ts_text,
+               CASE WHEN event_id % 20 = 0 THEN 'not-a-date' ELSE {FMT_TS:ts} END AS ts_text_95,
+               CASE WHEN event_id % 10 = 0 THEN 'not-a-date' ELSE {FMT_TS:ts} END AS ts_text_90,
+               substr({FMT_TS:ts}, 1, 10) AS day_text,
+               CAST(CAST(floor(value * 100) AS BIGINT) AS STRING) AS value_text,
+               CASE WHEN event_id % 4 = 0 THEN CAST(event_id AS STRING) ELSE substr({FMT_TS:ts}, 1, 10) END AS mixed_text,
+               event_type, props
+        FROM events""",
+    # ---- boolean-looking columns for the bool detector
+    "s_boolish": """
+        SELECT event_id,
+               value > 45 AS is_big,
+               CASE WHEN value > 45 THEN 1 ELSE 0 END AS bit,
+               CASE WHEN event_id % 7 = 0 THEN NULL WHEN value > 45 THEN 1 ELSE 0 END AS bit_missing,
+               user_id % 2 AS parity,
+               CASE WHEN value > 45 THEN ' Yes' ELSE 'no ' END AS yes_no,
+               CASE WHEN value > 45 THEN 'Y' WHEN event_type = 'error' THEN 'maybe' ELSE 'N' END AS y_maybe,
+               CASE WHEN event_id % 3 = 0 THEN NULL WHEN value > 45 THEN 'TRUE' ELSE 'false' END AS tf_null,
+               value, event_type
+        FROM events""",
     # ---- events with missing values injected (preprocessing input)
     "s_ev": """
         SELECT event_id, ts, CAST(user_id AS DOUBLE) AS user_num,
@@ -88,6 +111,11 @@ def _dialect(sql: str, engine: str) -> str:
     def ts(m: re.Match) -> str:
         return f"TIMESTAMP_NTZ '{m.group(1)}'" if engine == "spark" else f"TIMESTAMP '{m.group(1)}'"
 
+    def fmt(m: re.Match) -> str:
+        c = m.group(1)
+        return f"date_format({c}, 'yyyy-MM-dd HH:mm:ss')" if engine == "spark" else f"strftime({c}, '%Y-%m-%d %H:%M:%S')"
+
+    sql = re.sub(r"\{FMT_TS:([^}]*)\}", fmt, sql)
     return re.sub(r"\{TS:([^}]*)\}", ts, sql)
 
 
