@@ -102,8 +102,16 @@ STANDINS: dict[str, str] = {
                CASE WHEN event_id % 13 = 0 THEN NULL ELSE event_type END AS event_type,
                CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS value,
                CASE WHEN event_id % 11 = 0 THEN NULL ELSE CAST(value * value AS DOUBLE) END AS value_sq,
+               CASE WHEN event_id % 17 = 0 THEN NULL ELSE ts END AS ts_m,
+               CASE WHEN event_id % 5 = 0 THEN NULL ELSE value > 100 END AS is_big,
                CASE WHEN value > 45 THEN 1 ELSE 0 END AS target
         FROM events""",
+    # ---- scoring input: numbers as text with junk tokens, plus an extra column
+    "s_score_in": """
+        SELECT CASE WHEN event_id % 9 = 0 THEN 'n/a' WHEN event_id % 10 = 0 THEN ' 12.5 '
+                    ELSE CAST(value AS STRING) END AS value,
+               CAST(user_id AS DOUBLE) AS user_num, event_type, props AS extra
+        FROM events""",
 }
 
 
