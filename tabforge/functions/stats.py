@@ -129,6 +129,16 @@ def exact_quantiles(
 # --------------------------------------------------------------------- positions
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the session's checkpoint folder. Used where later
+    branches must see the very same partitioning (partition ids, row order):
+    a recomputed range shuffle may sample different bounds, a checkpoint cannot."""
+    from tabforge.session import checkpoint_root
+
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def with_position(
     df: DataFrame,
     group_cols: Sequence[str],
@@ -145,7 +155,7 @@ def with_position(
     spark = df.sparkSession
     n_part = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(g) for g in group_cols] + [F.col(o) if isinstance(o, str) else o for o in order_cols]
-    s = (
+    s = materialize(
         df.repartitionByRange(n_part, *keys)
         .sortWithinPartitions(*keys)
         .withColumn("_pid", F.spark_partition_id())
@@ -229,3 +239,41 @@ def flag_smallest(
         ),
     )
     return marked.drop("_hstar", "_below2", "_tstar", k_col)
+
+
+# --------------------------------------------------------------------- prefix sums
+
+
+def with_prefix_sums(
+    df: DataFrame,
+    group_cols: Sequence[str],
+    order_col: str,
+    value_cols: Sequence[str],
+    suffix: str = "_before",
+    num_partitions: int | None = None,
+) -> DataFrame:
+    """Add ``<v>_before`` = sum of ``v`` over rows of the same group with a
+    smaller ``order_col`` (which must be unique within the group).
+
+    Range partitioning keeps a big group spread over many tasks: each range
+    partition computes local running sums, and per-partition totals (≤ groups +
+    partitions rows) supply the offsets.
+    """
+    spark = df.sparkSession
+    n_part = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    g = list(group_cols)
+    s = materialize(df.repartitionByRange(n_part, *[F.col(c) for c in g], F.col(order_col)).withColumn(
+        "_pid", F.spark_partition_id()))
+    w_local = Window.partitionBy("_pid", *g).orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
+    local = s
+    for v in value_cols:
+        local = local.withColumn(f"_l_{v}", F.coalesce(F.sum(v).over(w_local), F.lit(0)))
+    tot = s.groupBy("_pid", *g).agg(*[F.sum(v).alias(f"_t_{v}") for v in value_cols])
+    w_off = Window.partitionBy(*g).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    for v in value_cols:
+        tot = tot.withColumn(f"_o_{v}", F.coalesce(F.sum(f"_t_{v}").over(w_off), F.lit(0)))
+    tot = tot.select("_pid", *g, *[f"_o_{v}" for v in value_cols])
+    out = local.join(tot, on=["_pid", *g], how="inner")
+    for v in value_cols:
+        out = out.withColumn(f"{v}{suffix}", F.col(f"_o_{v}") + F.col(f"_l_{v}")).drop(f"_o_{v}", f"_l_{v}")
+    return out.drop("_pid")

@@ -96,6 +96,22 @@ STANDINS: dict[str, str] = {
                CASE WHEN event_id % 3 = 0 THEN NULL WHEN value > 45 THEN 'TRUE' ELSE 'false' END AS tf_null,
                value, event_type
         FROM events""",
+    # ---- rule-based predictions (metric inputs)
+    "s_cls": """
+        SELECT event_id, CASE WHEN value > 45 THEN 1 ELSE 0 END AS y,
+               CASE WHEN value > 60 OR user_id % 4 = 0 THEN 1 ELSE 0 END AS p,
+               CASE WHEN value > 45 THEN 1 ELSE 0 END AS p_exact,
+               CASE WHEN user_id % 2 = 0 THEN 1 ELSE 0 END AS p_parity,
+               CAST(floor(value / 10) AS DOUBLE) / 50 + CASE WHEN user_id % 4 = 0 THEN 0.3 ELSE 0 END AS score
+        FROM events""",
+    "s_mc": """
+        SELECT vec_id, label AS y,
+               CASE WHEN {EL:embedding,1} > {EL:embedding,2} THEN label ELSE (label + 1) % 10 END AS p,
+               """ + ", ".join(f"CAST({{EL:embedding,{i + 1}}} AS DOUBLE) AS s{i}" for i in range(10)) + """
+        FROM embeddings""",
+    "s_reg": """
+        SELECT l_orderkey, l_extendedprice AS y, l_quantity * 1500 + l_discount * 1000 AS p
+        FROM lineitem""",
     # ---- events with missing values injected (preprocessing input)
     "s_ev": """
         SELECT event_id, ts, CAST(user_id AS DOUBLE) AS user_num,
@@ -123,7 +139,12 @@ def _dialect(sql: str, engine: str) -> str:
         c = m.group(1)
         return f"date_format({c}, 'yyyy-MM-dd HH:mm:ss')" if engine == "spark" else f"strftime({c}, '%Y-%m-%d %H:%M:%S')"
 
+    def el(m: re.Match) -> str:
+        arr, idx = m.group(1), m.group(2)
+        return f"element_at({arr}, {idx})" if engine == "spark" else f"{arr}[{idx}]"
+
     sql = re.sub(r"\{FMT_TS:([^}]*)\}", fmt, sql)
+    sql = re.sub(r"\{EL:([^,}]*),([^}]*)\}", el, sql)
     return re.sub(r"\{TS:([^}]*)\}", ts, sql)
 
 
