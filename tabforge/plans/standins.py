@@ -96,6 +96,9 @@ STANDINS: dict[str, str] = {
                CASE WHEN event_id % 3 = 0 THEN NULL WHEN value > 45 THEN 'TRUE' ELSE 'false' END AS tf_null,
                value, event_type
         FROM events""",
+    # ---- a class with a single row (stratification impossible)
+    "s_cust_cls": """
+        SELECT c_custkey, CASE WHEN c_custkey = 1 THEN 'SINGLETON' ELSE c_mktsegment END AS segment FROM customer""",
     # ---- rule-based predictions (metric inputs)
     "s_cls": """
         SELECT event_id, CASE WHEN value > 45 THEN 1 ELSE 0 END AS y,
