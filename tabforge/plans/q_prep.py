@@ -285,13 +285,14 @@ def q_bool_to_numeric(spark, sf):
 
 
 @register("bool_passthrough", sql=with_standins(["s_ev"], """,
-m AS (SELECT CAST(is_big AS VARCHAR) AS v FROM s_ev WHERE is_big IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
-SELECT event_id, CAST(is_big AS DOUBLE) AS is_big,
+m AS (SELECT CAST(is_big AS VARCHAR) AS v FROM s_ev WHERE is_big IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+mb AS (SELECT CAST(is_big AS DOUBLE) AS v FROM s_ev WHERE is_big IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
+SELECT event_id, coalesce(CAST(is_big AS DOUBLE), (SELECT v FROM mb)) AS is_big,
        CASE WHEN coalesce(CAST(is_big AS VARCHAR), (SELECT v FROM m)) = 'false' THEN 1.0 ELSE 0.0 END AS is_big__false,
        CASE WHEN coalesce(CAST(is_big AS VARCHAR), (SELECT v FROM m)) = 'true' THEN 1.0 ELSE 0.0 END AS is_big__true
 FROM s_ev"""))
 def q_bool_passthrough(spark, sf):
-    """Native booleans as 0/1 (bool_as_numeric) and, switched off, as one-hot categories."""
+    """Native booleans as 0/1 (missing → training mode) and, switched off, as one-hot categories."""
     ev = _ev(spark, sf)
     a = PP.Preprocessor(PreprocessingConfig(), [], [], [], ["is_big"]).fit(ev).transform(ev, keep=["event_id"])
     b = PP.Preprocessor(PreprocessingConfig(bool_as_numeric=False), [], [], [], ["is_big"]).fit(ev).transform(
@@ -318,7 +319,7 @@ def _dm_sql() -> str:
     sel = [f"round(({clip.format(c=c)} - m_{c}) / s_{c}, 6) AS {c}" for c in nums]
     sel += [f"CASE WHEN coalesce(event_type, mv) = '{v}' THEN 1.0 ELSE 0.0 END AS event_type__{v}" for v in EVENT_TYPES]
     sel += [f"round(coalesce({DT_PARTS_SQL[p].format(c='ts_m')}, d_{p}), 6) AS ts_m_{p}" for p in parts]
-    sel += ["CAST(is_big AS DOUBLE) AS is_big"]
+    sel += ["coalesce(CAST(is_big AS DOUBLE), bm) AS is_big"]
     return with_standins(["s_ev"], f""",
 sp AS (SELECT *, row_number() OVER (ORDER BY {h}, event_id) <= (SELECT ceil(0.2 * count(*)) FROM s_ev) AS is_test
        FROM s_ev),
@@ -329,9 +330,10 @@ b AS (SELECT {qs} FROM imp),
 cl AS (SELECT {cl} FROM tr, f, b),
 sc AS (SELECT {sc} FROM cl),
 mo AS (SELECT event_type AS mv FROM tr WHERE event_type IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
-dm AS (SELECT {dtm} FROM tr)
+dm AS (SELECT {dtm} FROM tr),
+bo AS (SELECT CAST(is_big AS DOUBLE) AS bm FROM tr WHERE is_big IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
 SELECT sp.event_id, sp.is_test, {', '.join(sel)}
-FROM sp, f, b, sc, mo, dm""")
+FROM sp, f, b, sc, mo, dm, bo""")
 
 
 @register("design_matrix", sql=_dm_sql())

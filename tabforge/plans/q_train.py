@@ -1 +1,169 @@
-"""placeholder"""
+"""Training queries (§2.9): closed-form linear family checked against SQL,
+exact kNN checked against brute force, the rest checked by row counts and
+unit-test invariants."""
+
+from __future__ import annotations
+
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import functions as F
+
+from tabforge.operators import train as TR
+from tabforge.operators.knn import knn, knn_classify, knn_regress
+from tabforge.operators.score import score_models
+from tabforge.operators.split import split_random
+from tabforge.plans.matrices import events_classification, part_regression
+from tabforge.plans.registry import register
+from tabforge.plans.standins import table
+
+H = "CAST('0x' || substr(md5('42:' || CAST({k} AS VARCHAR)), 1, 8) AS BIGINT)"
+
+# Small tree / boosting sizes for the registered queries; the registry keeps
+# the reference defaults (200–300 trees, unlimited depth → 30).
+QUERY_OVERRIDES = {
+    "logistic_regression": {"maxIter": 100},
+    "decision_tree": {"maxDepth": 8},
+    "random_forest": {"numTrees": 10, "maxDepth": 8},
+    "extra_trees": {"numTrees": 10, "maxDepth": 8},
+    "gradient_boosting": {"maxIter": 10},
+    "hist_gradient_boosting": {"maxIter": 10},
+}
+
+
+def _one_feature(spark, sf):
+    """part: y = retail price, x = part key (one feature), hash split on the key."""
+    part = table(spark, sf, "part").select("p_partkey", F.col("p_retailprice").alias("label"))
+    sp = split_random(part, "p_partkey", 0.2)
+    vec = VectorAssembler(inputCols=["p_partkey"], outputCol="features").transform(
+        sp.withColumn("p_partkey", F.col("p_partkey").cast("double")))
+    return vec.where(~F.col("is_test"))
+
+
+def _fit_linear(spark, sf, name, decimals):
+    tr = _one_feature(spark, sf)
+    spec = TR.get_specs("regression", [name])[0]
+    res = TR.train_all([spec], tr.withColumn("_id", F.col("p_partkey")), "regression", id_col="_id")[0]
+    if not res.is_success:
+        raise RuntimeError(res.error)
+    m = res.model
+    return spark.createDataFrame([(float(m.coefficients[0]), float(m.intercept))], "coef double, intercept double").select(
+        F.round("coef", decimals).alias("coef"), F.round("intercept", decimals).alias("intercept"))
+
+
+def _lin_sql(coef: str, decimals: int) -> str:
+    h = H.format(k="p_partkey")
+    return f"""
+WITH t AS (SELECT p_partkey, CAST(p_partkey AS DOUBLE) AS x, p_retailprice AS y FROM part),
+sp AS (SELECT *, row_number() OVER (ORDER BY {h}, p_partkey) <= (SELECT ceil(0.2 * count(*)) FROM t) AS is_test FROM t),
+s AS (SELECT count(*) AS n, avg(x) AS mx, avg(y) AS my, regr_sxx(y, x) AS sxx, regr_sxy(y, x) AS sxy
+      FROM sp WHERE NOT is_test),
+c AS (SELECT *, {coef} AS coef FROM s)
+SELECT round(coef, {decimals}) AS coef, round(my - coef * mx, {decimals}) AS intercept FROM c"""
+
+
+def _soft(a: float, extra_l2: float = 0.0) -> str:
+    return (f"sign(sxy / n) * greatest(abs(sxy / n) - {a}, 0) / (sxx / n + {extra_l2})")
+
+
+register("train_linear", sql=_lin_sql("sxy / sxx", 6))(lambda spark, sf: _fit_linear(spark, sf, "linear", 6))
+register("train_ridge", sql=_lin_sql("sxy / (sxx + 1.0)", 6))(lambda spark, sf: _fit_linear(spark, sf, "ridge", 6))
+register("train_lasso", sql=_lin_sql(_soft(1.0), 4))(lambda spark, sf: _fit_linear(spark, sf, "lasso", 4))
+register("train_elastic_net", sql=_lin_sql(_soft(0.25, 0.25), 4))(
+    lambda spark, sf: _fit_linear(spark, sf, "elastic_net", 4))
+
+
+def _predict_query(task: str, name: str):
+    def run(spark, sf):
+        mx = events_classification(spark, sf) if task == "classification" else part_regression(spark, sf)
+        spec = TR.get_specs(task, [name])[0]
+        res = TR.train_all([spec], mx.train, task, id_col=mx.id_col, overrides=QUERY_OVERRIDES)[0]
+        if not res.is_success:
+            raise RuntimeError(f"{name} failed: {res.error}")
+        return res.predict(mx.test, mx.id_col).select(mx.id_col, "prediction")
+    run.__doc__ = f"Fit {name} ({task}) on the training split; predictions for the test split."
+    return run
+
+
+for _key, _task, _name in [
+    ("train_logistic", "classification", "logistic_regression"),
+    ("train_decision_tree_clf", "classification", "decision_tree"),
+    ("train_decision_tree_reg", "regression", "decision_tree"),
+    ("train_random_forest_clf", "classification", "random_forest"),
+    ("train_random_forest_reg", "regression", "random_forest"),
+    ("train_extra_trees_clf", "classification", "extra_trees"),
+    ("train_extra_trees_reg", "regression", "extra_trees"),
+    ("train_gradient_boosting_clf", "classification", "gradient_boosting"),
+    ("train_gradient_boosting_reg", "regression", "gradient_boosting"),
+    ("train_hist_gradient_boosting_clf", "classification", "hist_gradient_boosting"),
+    ("train_hist_gradient_boosting_reg", "regression", "hist_gradient_boosting"),
+]:
+    register(_key)(_predict_query(_task, _name))
+
+
+# ------------------------------------------------------------------ kNN (exact, SQL-checked)
+
+
+def _emb_split(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"), "label")
+    sp = split_random(e, "vec_id", 0.2)
+    return sp.where(~F.col("is_test")).drop("is_test"), sp.where(F.col("is_test")).drop("is_test")
+
+
+KNN_SQL = """
+WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+sp AS (SELECT *, row_number() OVER (ORDER BY {h}, vec_id) <= (SELECT ceil(0.2 * count(*)) FROM e) AS is_test FROM e),
+nn AS (SELECT q.vec_id AS q_id, t.vec_id AS t_id, t.label, list_distance(q.v, t.v) AS d
+       FROM sp q JOIN sp t ON q.is_test AND NOT t.is_test
+       QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.v, t.v), t.vec_id) <= 5),
+wz AS (SELECT *, max(CASE WHEN d = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY q_id) AS hz FROM nn),
+w AS (SELECT q_id, label, CASE WHEN hz = 1 THEN CASE WHEN d = 0 THEN 1.0 ELSE 0.0 END ELSE 1.0 / d END AS w FROM wz)
+""".replace("{h}", H.format(k="vec_id"))
+
+
+@register("train_kneighbors_clf", sql=KNN_SQL + """,
+v AS (SELECT q_id, label, sum(w) AS vw FROM w GROUP BY q_id, label)
+SELECT q_id AS vec_id, label AS prediction FROM v
+QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY vw DESC, label) = 1""")
+def q_knn_clf(spark, sf):
+    """5-NN classifier, inverse-distance votes (ties → smaller class), exact neighbours."""
+    tr, te = _emb_split(spark, sf)
+    nn = knn(te.select(F.col("vec_id").alias("id"), "vec"), tr.select(F.col("vec_id").alias("id"), "vec"), 5,
+             id_col="id", vec_col="vec")
+    pred = knn_classify(nn, tr.select(F.col("vec_id").alias("t_id"), "label"), "label")
+    return pred.select(F.col("q_id").alias("vec_id"), "prediction")
+
+
+@register("train_kneighbors_reg", sql=KNN_SQL + """
+SELECT q_id AS vec_id, round(sum(w * label) / sum(w), 9) AS prediction FROM w GROUP BY q_id""")
+def q_knn_reg(spark, sf):
+    """5-NN regressor: inverse-distance weighted mean of the neighbours' targets."""
+    tr, te = _emb_split(spark, sf)
+    nn = knn(te.select(F.col("vec_id").alias("id"), "vec"), tr.select(F.col("vec_id").alias("id"), "vec"), 5,
+             id_col="id", vec_col="vec")
+    pred = knn_regress(nn, tr.select(F.col("vec_id").alias("t_id"), F.col("label").cast("double").alias("target")))
+    return pred.select(F.col("q_id").alias("vec_id"), F.round("prediction", 9).alias("prediction"))
+
+
+# ------------------------------------------------------------------ all specs
+
+
+def _train_all(spark, sf):
+    mx = events_classification(spark, sf)
+    train = mx.train.persist()
+    specs = TR.get_specs("classification")
+    trained = TR.train_all(specs, train, "classification", id_col=mx.id_col, overrides=QUERY_OVERRIDES)
+    return mx, trained
+
+
+@register("train_all")
+def q_train_all(spark, sf):
+    """Every classification spec in registry order on one cached matrix; failures isolated, each timed."""
+    _, trained = _train_all(spark, sf)
+    rows = [(i, t.name, t.status, t.train_time_ms, t.error) for i, t in enumerate(trained)]
+    return spark.createDataFrame(rows, "order int, algo string, status string, train_time_ms long, error string")
+
+
+@register("score_models")
+def q_score_models(spark, sf):
+    """Metrics (accuracy, f1, roc_auc) of every trained model on the test split, long format."""
+    mx, trained = _train_all(spark, sf)
+    return score_models(trained, mx.test, "classification", id_col=mx.id_col).drop("train_time_ms")
