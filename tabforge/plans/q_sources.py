@@ -1 +1,91 @@
-"""placeholder"""
+"""Source / sink queries (§2.1)."""
+
+from __future__ import annotations
+
+from pyspark.ml import PipelineModel
+from pyspark.sql import functions as F
+
+from tabforge.operators import preprocess as PP
+from tabforge.operators import train as TR
+from tabforge.plans.config import PreprocessingConfig
+from tabforge.plans.matrices import part_regression
+from tabforge.plans.registry import register
+from tabforge.plans.standins import table
+from tabforge.session import scratch_path
+from tabforge.sources import bundle as BD
+from tabforge.sources import csv as CSV
+
+PREVIEW_DEFAULT, PREVIEW_MAX = 50, 500
+
+
+@register("csv_scan", sql="""
+SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer""")
+def q_csv_scan(spark, sf):
+    """customer written as CSV, read back through the header guards, NA tokens and type inference."""
+    path = scratch_path(spark, "csv-customer")
+    CSV.write_csv(table(spark, sf, "customer"), path)
+    rows, _ = CSV.read_tabular(spark, path)
+    return rows
+
+
+@register("csv_malformed_rows", sql="""
+SELECT event_id, event_type, CASE WHEN event_type = 'signup' THEN NULL ELSE value END AS value
+FROM events WHERE event_type <> 'error'""")
+def q_csv_malformed(spark, sf):
+    """Raw event lines where error rows carry an extra field (quarantined) and
+    signup rows lack the value field (kept, padded with NULL)."""
+    ev = table(spark, sf, "events")
+    v = F.col("value").cast("string")
+    line = (F.when(F.col("event_type") == "error", F.concat_ws(",", "event_id", "event_type", v, F.lit("extra")))
+            .when(F.col("event_type") == "signup", F.concat_ws(",", "event_id", "event_type"))
+            .otherwise(F.concat_ws(",", "event_id", "event_type", v)))
+    path = scratch_path(spark, "csv-malformed")
+    # one text column whose name is the header line; a tab separator never
+    # occurs in the lines, so they are written verbatim in every part file
+    ev.select(line.alias("event_id,event_type,value")).write.option("header", True).option("sep", "\t").csv(path)
+    rows, _bad = CSV.read_tabular(spark, path, strict=False)
+    return rows
+
+
+@register("preview_rows", sql=f"""
+SELECT c_custkey, to_json(c) AS json FROM customer c ORDER BY c_custkey LIMIT {PREVIEW_DEFAULT}""")
+def q_preview_rows(spark, sf):
+    """First 50 rows in key order as JSON records (n ≤ 0 rejected, capped at 500)."""
+    return preview_rows(table(spark, sf, "customer"), ["c_custkey"], PREVIEW_DEFAULT).select("c_custkey", "json")
+
+
+def preview_rows(df, order_cols, n: int = PREVIEW_DEFAULT):
+    if n <= 0:
+        raise ValueError("preview size must be >= 1")
+    n = min(n, PREVIEW_MAX)
+    return df.orderBy(*order_cols).limit(n).select("*", F.to_json(F.struct(*[F.col(c) for c in df.columns])).alias("json"))
+
+
+@register("prediction_sink")
+def q_prediction_sink(spark, sf):
+    """Batch predictions written as CSV (input columns + prediction) and read back."""
+    from tabforge.plans.q_score import _batch
+
+    path = scratch_path(spark, "predictions")
+    CSV.write_csv(_batch(spark, sf), path)
+    rows, _ = CSV.read_tabular(spark, path)
+    return rows
+
+
+@register("bundle_save_load")
+def q_bundle(spark, sf):
+    """Preprocessing + linear model saved as a bundle, loaded back and used to score every part row."""
+    mx = part_regression(spark, sf)
+    spec = TR.get_specs("regression", ["linear"])
+    res = TR.train_all(spec, mx.train, "regression", id_col=mx.id_col)[0]
+    if not res.is_success:
+        raise RuntimeError(res.error)
+    pm = PipelineModel(stages=[res.model])
+    part = table(spark, sf, "part")
+    num, cat, dt, bl = PP.split_roles_v2(part, "p_retailprice", ["p_partkey"])
+    schema = PP.build_feature_schema(part, num, cat, dt, bl, "p_retailprice", PreprocessingConfig())
+    path = scratch_path(spark, "bundle")
+    BD.save_bundle(spark, path, model=pm, pre=mx.model, schema=schema, metrics={"status": "success"})
+    model, pre, schema2, metrics, config, _ = BD.load_bundle(spark, path)
+    feats = TR.assemble(pre.transform(part, keep=["p_partkey"]), pre.output_columns)
+    return model.transform(feats).select("p_partkey", "prediction")
