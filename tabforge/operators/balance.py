@@ -59,7 +59,9 @@ def smote(df: DataFrame, *, id_col: str, label_col: str, vec_col: str, k: int =
 
 
 def smote_resample(df: DataFrame, *, id_col: str, label_col: str, vec_col: str, k: int = 5) -> DataFrame:
-    """Training rows plus synthetic rows (ids of synthetic rows are NULL)."""
+    """Training rows plus synthetic rows; a synthetic row's id is a negative
+    64-bit hash of (label, j), so ids stay deterministic."""
     syn = smote(df, id_col=id_col, label_col=label_col, vec_col=vec_col, k=k)
     base = df.select(F.col(id_col).cast("long").alias(id_col), label_col, F.col(vec_col).cast("array<double>"))
-    return base.unionByName(syn.select(F.lit(None).cast("long").alias(id_col), label_col, vec_col))
+    syn_id = -F.abs(F.xxhash64(F.col(label_col).cast("string"), F.col("j"))) - 1
+    return base.unionByName(syn.select(syn_id.alias(id_col), label_col, vec_col))
