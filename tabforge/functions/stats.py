@@ -29,8 +29,19 @@ from tabforge.functions.columns import q, to_double
 
 # Ranges with at most this many non-null values are finished exactly in one
 # aggregate (memory per task is bounded by it).
-DIRECT_LIMIT = 2_000_000
+DIRECT_LIMIT = 1_000_000
 HIST_BUCKETS = 512
+# Groups with at most this many rows are ranked with one window (one task per
+# group, bounded work); larger groups take the distributed paths below.
+DIRECT_RANK_LIMIT = 1_000_000
+
+
+def max_group_rows(df: DataFrame, group_cols: Sequence[str]) -> int:
+    """Row count of the largest group (one aggregate)."""
+    if not group_cols:
+        return int(df.count())
+    r = df.groupBy(*group_cols).count().agg(F.max("count")).first()[0]
+    return int(r or 0)
 
 
 # --------------------------------------------------------------------- quantiles
@@ -145,6 +156,7 @@ def with_position(
     order_cols: Sequence[str | Column],
     out: str = "pos",
     num_partitions: int | None = None,
+    max_rows: int | None = None,
 ) -> DataFrame:
     """Add ``out`` = 0-based position of the row within its group.
 
@@ -153,8 +165,14 @@ def with_position(
     counts (≤ groups + partitions rows) are aggregated and joined back.
     """
     spark = df.sparkSession
+    orders = [F.col(o) if isinstance(o, str) else o for o in order_cols]
+    if max_rows is None:
+        max_rows = max_group_rows(df, group_cols)
+    if max_rows <= DIRECT_RANK_LIMIT:
+        w = Window.partitionBy(*group_cols).orderBy(*orders)
+        return df.withColumn(out, (F.row_number().over(w) - 1).cast("long"))
     n_part = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = [F.col(g) for g in group_cols] + [F.col(o) if isinstance(o, str) else o for o in order_cols]
+    keys = [F.col(g) for g in group_cols] + orders
     s = materialize(
         df.repartitionByRange(n_part, *keys)
         .sortWithinPartitions(*keys)
@@ -182,14 +200,23 @@ def flag_smallest(
     k_col: str = "k",
     out: str = "selected",
     small_groups: bool = True,
+    max_rows: int | None = None,
 ) -> DataFrame:
     """Flag the ``k`` rows of each group with the smallest (score, tie) pair.
 
     ``score_col`` is an unsigned 32-bit hash; ``alloc`` has ``group_cols`` + ``k_col``.
     Equivalent to ``row_number() over (partition by g order by score, tie) <= k``.
     ``small_groups`` (e.g. classes) lets the per-group boundary table be broadcast.
+    ``max_rows`` (largest group size, when known) ≤ ``DIRECT_RANK_LIMIT`` selects
+    the one-window path; otherwise two 16-bit histograms find each group's
+    boundary hash and only rows sharing it are ranked.
     """
     g = list(group_cols)
+    if max_rows is not None and max_rows <= DIRECT_RANK_LIMIT:
+        a = F.broadcast(alloc) if small_groups else alloc
+        w = Window.partitionBy(*g).orderBy(score_col, tie_col)
+        return (df.join(a, on=g, how="left").withColumn(out, F.coalesce(F.row_number().over(w) <= F.col(k_col),
+                                                                        F.lit(False))).drop(k_col))
     hi16 = F.shiftright(F.col(score_col), 16)
     # Pass 1: which top-16-bit bucket holds the k-th row of each group.
     h1 = df.groupBy(*g, hi16.alias("_b")).agg(F.count("*").alias("_c"))
@@ -251,6 +278,7 @@ def with_prefix_sums(
     value_cols: Sequence[str],
     suffix: str = "_before",
     num_partitions: int | None = None,
+    max_rows: int | None = None,
 ) -> DataFrame:
     """Add ``<v>_before`` = sum of ``v`` over rows of the same group with a
     smaller ``order_col`` (which must be unique within the group).
@@ -260,8 +288,16 @@ def with_prefix_sums(
     partitions rows) supply the offsets.
     """
     spark = df.sparkSession
-    n_part = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     g = list(group_cols)
+    if max_rows is None:
+        max_rows = max_group_rows(df, g)
+    if max_rows <= DIRECT_RANK_LIMIT:
+        w = Window.partitionBy(*g).orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
+        out = df
+        for v in value_cols:
+            out = out.withColumn(f"{v}{suffix}", F.coalesce(F.sum(v).over(w), F.lit(0)))
+        return out
+    n_part = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     s = materialize(df.repartitionByRange(n_part, *[F.col(c) for c in g], F.col(order_col)).withColumn(
         "_pid", F.spark_partition_id()))
     w_local = Window.partitionBy("_pid", *g).orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)

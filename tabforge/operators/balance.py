@@ -23,39 +23,41 @@ SALT_BASE, SALT_NEIGHBOUR, SALT_GAP = 43, 44, 45
 
 def smote(df: DataFrame, *, id_col: str, label_col: str, vec_col: str, k: int = 5, task_type: str = "classification"
           ) -> DataFrame:
-    """Synthetic minority rows: (label, j, base_id, nb_id, u, vec)."""
+    """Synthetic minority rows: (label, j, base_id, nb_id, u, vec).
+
+    All classes are handled together: one same-class kNN (grouped by label),
+    one position pass (grouped by label) and the synthetic rows generated by
+    exploding each class's count on the executors."""
     if task_type == "regression":
         raise ValueError("SMOTE cannot be applied to regression")
     spark = df.sparkSession
     counts = {r[0]: r[1] for r in df.groupBy(label_col).count().collect()}  # one row per class
     n_max = max(counts.values())
-    parts = []
-    for y, n_y in sorted(counts.items(), key=lambda kv: str(kv[0])):
-        need = n_max - n_y
-        if need <= 0:
-            continue
-        if n_y <= k:
-            raise ValueError(f"class {y!r} has {n_y} rows; SMOTE needs more than k={k}")
-        cls = df.where(F.col(label_col) == F.lit(y)).select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
-        nn = knn(cls, cls, k, id_col="id", vec_col="vec", exclude_self=True)
-        pos = with_position(cls.select("id"), [], ["id"], out="pos")
-        key = F.concat(F.lit(str(y)), F.lit(":"), F.col("j").cast("string"))
-        gen = spark.range(1, need + 1).select(F.col("id").alias("j")).select(
-            "j", (hash32(key, SALT_BASE) % n_y).alias("pos"), (1 + hash32(key, SALT_NEIGHBOUR) % k).alias("rank"),
-            (hash32(key, SALT_GAP) / F.lit(4294967296.0)).alias("u"))
-        g = (gen.join(pos, on="pos").withColumnRenamed("id", "base_id")
-             .join(nn.select(F.col("q_id").alias("base_id"), "rank", F.col("t_id").alias("nb_id")), on=["base_id", "rank"])
-             .join(cls.select(F.col("id").alias("base_id"), F.col("vec").cast("array<double>").alias("x")), on="base_id")
-             .join(cls.select(F.col("id").alias("nb_id"), F.col("vec").cast("array<double>").alias("nb")), on="nb_id"))
-        syn = F.zip_with("x", "nb", lambda a, b: a + F.col("u") * (b - a))
-        parts.append(g.select(F.lit(y).alias(label_col), "j", "base_id", "nb_id", "u", syn.alias(vec_col)))
-    if not parts:
-        return spark.createDataFrame([], f"{label_col} {df.schema[label_col].dataType.simpleString()}, j long, "
-                                         f"base_id long, nb_id long, u double, {vec_col} array<double>")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    needs = {y: n_max - n for y, n in counts.items() if n < n_max}
+    label_type = df.schema[label_col].dataType.simpleString()
+    if not needs:
+        return spark.createDataFrame([], f"{label_col} {label_type}, j long, base_id long, nb_id long, u double, "
+                                         f"{vec_col} array<double>")
+    small = {y: counts[y] for y in needs if counts[y] <= k}
+    if small:
+        raise ValueError(f"classes {sorted(map(str, small))} have <= k={k} rows; SMOTE needs more")
+    minority = df.where(F.col(label_col).isin(list(needs))).select(
+        F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), F.col(label_col).alias("y"))
+    nn = knn(minority, minority, k, id_col="id", vec_col="vec", exclude_self=True, group_col="y")
+    pos = with_position(minority.select("id", "y"), ["y"], ["id"], out="pos", max_rows=max(counts[y] for y in needs))
+    plan = spark.createDataFrame([(y, counts[y], needs[y]) for y in needs], f"y {label_type}, n_y long, need long")
+    gen = plan.select("y", "n_y", F.explode(F.sequence(F.lit(1).cast("long"), F.col("need"))).alias("j"))
+    key = F.concat(F.col("y").cast("string"), F.lit(":"), F.col("j").cast("string"))
+    gen = gen.select("y", "j", (hash32(key, SALT_BASE) % F.col("n_y")).alias("pos"),
+                     (1 + hash32(key, SALT_NEIGHBOUR) % k).alias("rank"),
+                     (hash32(key, SALT_GAP) / F.lit(4294967296.0)).alias("u"))
+    vec = minority.select("id", "vec")
+    g = (gen.join(pos, on=["y", "pos"]).withColumnRenamed("id", "base_id")
+         .join(nn.select(F.col("q_id").alias("base_id"), "rank", F.col("t_id").alias("nb_id")), on=["base_id", "rank"])
+         .join(vec.select(F.col("id").alias("base_id"), F.col("vec").alias("x")), on="base_id")
+         .join(vec.select(F.col("id").alias("nb_id"), F.col("vec").alias("nb")), on="nb_id"))
+    syn = F.zip_with("x", "nb", lambda a, b: a + F.col("u") * (b - a))
+    return g.select(F.col("y").alias(label_col), "j", "base_id", "nb_id", "u", syn.alias(vec_col))
 
 
 def smote_resample(df: DataFrame, *, id_col: str, label_col: str, vec_col: str, k: int = 5) -> DataFrame:

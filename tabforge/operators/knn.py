@@ -7,9 +7,9 @@ k-th neighbour distance (the smallest ``d(q, p_c) + r_c`` whose cells hold ≥ k
 points) and a lower bound ``d(q, p_c) − r_c`` for every point of cell ``c``.
 Only cells with lower bound ≤ ``δ`` can hold a neighbour, so the candidate
 pairs come from an **equi-join on the cell id**; candidates are never capped,
-so the result is exact (ties → smaller id). Distances and cell choices are JVM
-higher-order-function expressions; pivots, radii and sizes are ≤ ``max_pivots``
-values each.
+so the result is exact (ties → smaller id). The per-pair distance is unrolled
+arithmetic (whole-stage codegen); per-point pivot distances and cell choices are
+JVM higher-order functions; pivots, radii and sizes are ≤ ``max_pivots`` values.
 """
 
 from __future__ import annotations
@@ -22,13 +22,22 @@ from pyspark.sql import functions as F
 
 from tabforge.functions.columns import hash32
 
-MAX_PIVOTS = 256
+MAX_PIVOTS = 64
 _SLACK = 1e-9
 
 
-def euclidean(a: Column, b: Column) -> Column:
-    sq = F.zip_with(a, b, lambda x, y: (x - y) * (x - y))
-    return F.sqrt(F.aggregate(sq, F.lit(0.0), lambda acc, x: acc + x))
+def euclidean(a: Column, b: Column, dim: int | None = None) -> Column:
+    """Euclidean distance of two array<double> columns. With a known dimension
+    the sum is unrolled into plain arithmetic (whole-stage codegen); otherwise a
+    higher-order-function fold is used."""
+    if dim is None:
+        sq = F.zip_with(a, b, lambda x, y: (x - y) * (x - y))
+        return F.sqrt(F.aggregate(sq, F.lit(0.0), lambda acc, x: acc + x))
+    total = None
+    for i in range(dim):
+        d = a[i] - b[i]
+        total = d * d if total is None else total + d * d
+    return F.sqrt(total)
 
 
 def _const_array(values, typ: str) -> Column:
@@ -37,13 +46,25 @@ def _const_array(values, typ: str) -> Column:
 
 
 def knn(query: DataFrame, train: DataFrame, k: int, *, id_col: str = "id", vec_col: str = "features",
-        exclude_self: bool = False, max_pivots: int = MAX_PIVOTS) -> DataFrame:
-    """(q_id, t_id, dist, rank) for the k nearest training rows of every query row."""
+        exclude_self: bool = False, max_pivots: int = MAX_PIVOTS, group_col: str | None = None) -> DataFrame:
+    """(q_id, t_id, dist, rank) for the k nearest training rows of every query row.
+
+    With ``group_col`` neighbours must share the group (e.g. same-class
+    neighbours for SMOTE); cells are then kept per (group, cell) and the
+    candidate join is on both. Groups are assumed few (classes).
+    """
     if k < 1:
         raise ValueError("k must be >= 1")
-    tr = train.select(F.col(id_col).alias("t_id"), F.col(vec_col).cast("array<double>").alias("t_vec"))
-    qu = query.select(F.col(id_col).alias("q_id"), F.col(vec_col).cast("array<double>").alias("q_vec"))
-    n_train = tr.count()
+    g = F.col(group_col) if group_col else F.lit(0)
+    tr = train.select(F.col(id_col).alias("t_id"), F.col(vec_col).cast("array<double>").alias("t_vec"),
+                      g.alias("grp"))
+    qu = query.select(F.col(id_col).alias("q_id"), F.col(vec_col).cast("array<double>").alias("q_vec"),
+                      g.alias("grp"))
+    st = tr.agg(F.count(F.lit(1)).alias("n"), F.min(F.size("t_vec")).alias("d0"),
+                F.max(F.size("t_vec")).alias("d1")).first()
+    n_train, dim = st["n"], st["d0"]
+    if st["d0"] != st["d1"]:
+        raise ValueError("vectors of different lengths")
     need = k + (1 if exclude_self else 0)
     if n_train < need:
         raise ValueError(f"k={k} neighbours requested but only {n_train} training rows")
@@ -54,33 +75,44 @@ def knn(query: DataFrame, train: DataFrame, k: int, *, id_col: str = "id", vec_c
     m = len(piv_rows)
 
     def to_pivots(v: Column) -> Column:
+        # per point (not per pair): m·d work, a fold keeps the plan small
         return F.transform(pivots, lambda p: euclidean(p, v))
 
     tr_d = tr.withColumn("_pd", to_pivots(F.col("t_vec")))
-    tr_c = tr_d.select("t_id", "t_vec", (F.array_position("_pd", F.array_min("_pd")) - 1).cast("int").alias("cell"),
+    tr_c = tr_d.select("t_id", "t_vec", "grp", (F.array_position("_pd", F.array_min("_pd")) - 1).cast("int").alias("cell"),
                        F.array_min("_pd").alias("_r"))
-    stats = {r["cell"]: (r["rad"], r["n"]) for r in
-             tr_c.groupBy("cell").agg(F.max("_r").alias("rad"), F.count(F.lit(1)).alias("n")).collect()}  # ≤ m rows
-    rad = _const_array([stats.get(i, (None, 0))[0] for i in range(m)], "array<double>")
-    cnt = _const_array([stats.get(i, (None, 0))[1] for i in range(m)], "array<long>")
-
-    qd = qu.withColumn("_qd", to_pivots(F.col("q_vec")))
+    per: dict = {}
+    for r in tr_c.groupBy("grp", "cell").agg(F.max("_r").alias("rad"), F.count(F.lit(1)).alias("n")).collect():
+        per.setdefault(r["grp"], {})[r["cell"]] = (r["rad"], r["n"])  # ≤ groups × m rows
+    small = [gv for gv, cells in per.items() if sum(n for _, n in cells.values()) < need]
+    if small:
+        raise ValueError(f"groups with fewer than {need} training rows: {small[:5]}")
+
+    def per_group(idx: int, typ: str) -> Column:
+        arrays = {gv: [cells.get(i, (None, 0))[idx] for i in range(m)] for gv, cells in per.items()}
+        if not group_col:
+            return _const_array(arrays[0], typ)
+        mp = F.create_map(*[x for gv, arr in arrays.items() for x in (F.lit(gv), _const_array(arr, typ))])
+        return mp[F.col("grp")]
+
+    qd = qu.withColumn("_qd", to_pivots(F.col("q_vec"))).withColumn("_rad", per_group(0, "array<double>")) \
+        .withColumn("_cnt", per_group(1, "array<long>"))
     # upper bound: walk cells by d(q,p)+r until they hold `need` points
-    ub = F.zip_with(F.col("_qd"), rad, lambda d, r: d + r)
-    cells = F.array_sort(F.filter(F.arrays_zip(ub.alias("u"), cnt.alias("c")), lambda s: s["c"] > 0))
+    ub = F.zip_with(F.col("_qd"), F.col("_rad"), lambda d, r: d + r)
+    cells = F.array_sort(F.filter(F.arrays_zip(ub.alias("u"), F.col("_cnt").alias("c")), lambda s: s["c"] > 0))
     acc0 = F.struct(F.lit(0).cast("long").alias("cum"), F.lit(None).cast("double").alias("delta"))
     walk = F.aggregate(cells, acc0, lambda acc, s: F.struct(
         (acc["cum"] + s["c"]).alias("cum"),
         F.when(acc["delta"].isNull() & (acc["cum"] + s["c"] >= need), s["u"]).otherwise(acc["delta"]).alias("delta")))
     qd = qd.withColumn("_delta", walk["delta"] * (1 + _SLACK) + _SLACK)
     cand_cells = F.filter(F.sequence(F.lit(0), F.lit(m - 1)),
-                          lambda i: (F.element_at(rad, i + 1).isNotNull())
-                          & (F.element_at(F.col("_qd"), i + 1) - F.element_at(rad, i + 1) <= F.col("_delta")))
-    q_cells = qd.select("q_id", "q_vec", F.explode(cand_cells).alias("cell"))
-    pairs = q_cells.join(tr_c.select("cell", "t_id", "t_vec"), on="cell", how="inner")
+                          lambda i: (F.element_at(F.col("_rad"), i + 1).isNotNull())
+                          & (F.element_at(F.col("_qd"), i + 1) - F.element_at(F.col("_rad"), i + 1) <= F.col("_delta")))
+    q_cells = qd.select("q_id", "q_vec", "grp", F.explode(cand_cells).alias("cell"))
+    pairs = q_cells.join(tr_c.select("cell", "grp", "t_id", "t_vec"), on=["grp", "cell"], how="inner")
     if exclude_self:
         pairs = pairs.where(F.col("q_id") != F.col("t_id"))
-    pairs = pairs.select("q_id", "t_id", euclidean(F.col("q_vec"), F.col("t_vec")).alias("dist"))
+    pairs = pairs.select("q_id", "t_id", euclidean(F.col("q_vec"), F.col("t_vec"), dim).alias("dist"))
     w = Window.partitionBy("q_id").orderBy("dist", "t_id")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

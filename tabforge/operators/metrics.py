@@ -35,6 +35,16 @@ def positive_label(labels: Sequence) -> object:
     return sorted(labels, key=lambda v: str(v))[-1]
 
 
+def accuracy_f1_binary(df: DataFrame, y: str, p: str, pos) -> tuple[float | None, float]:
+    """Accuracy and binary F1 from one aggregate."""
+    yp, pp = F.col(y) == F.lit(pos), F.col(p) == F.lit(pos)
+    r = df.agg(F.avg(F.when(F.col(y) == F.col(p), 1.0).otherwise(0.0)).alias("acc"),
+               F.count_if(yp & pp).alias("tp"), F.count_if(~yp & pp).alias("fp"),
+               F.count_if(yp & ~pp).alias("fn")).first()
+    d = 2 * r["tp"] + r["fp"] + r["fn"]
+    return r["acc"], (0.0 if d == 0 else 2 * r["tp"] / d)
+
+
 def f1_binary(df: DataFrame, y: str, p: str, pos) -> float:
     yp, pp = F.col(y) == F.lit(pos), F.col(p) == F.lit(pos)
     r = df.agg(F.count_if(yp & pp).alias("tp"), F.count_if(~yp & pp).alias("fp"),

@@ -31,19 +31,22 @@ def score_models(trained: Sequence[TrainedModel], test: DataFrame, task: str, *,
         if not t.is_success:
             rows.append((t.name, order, "failed", None, None, t.error, t.train_time_ms))
             continue
+        pred = None
         try:
-            pred = t.predict(test, id_col).join(labels, on=id_col)
+            # one prediction pass per model, reused by every metric (one row per test row)
+            pred = t.predict(test, id_col).join(labels, on=id_col).persist()
             if task == "classification":
-                mets = {"accuracy": M.accuracy(pred, "label", "prediction")}
+                mets = {}
                 if len(y_classes) == 2:
                     pos = M.positive_label(y_classes)
-                    mets["f1"] = M.f1_binary(pred, "label", "prediction", pos)
+                    mets["accuracy"], mets["f1"] = M.accuracy_f1_binary(pred, "label", "prediction", pos)
                     if "probability" in pred.columns and pos in t.classes:
                         pi = t.classes.index(pos)
                         auc = M.roc_auc_binary(pred.withColumn("_s", F.col("probability")[pi]), "label", "_s", pos)
                         if auc is not None and len(t.classes) == 2:
                             mets["roc_auc"] = auc
                 else:
+                    mets["accuracy"] = M.accuracy(pred, "label", "prediction")
                     mets["f1"] = M.f1_macro(pred, "label", "prediction")
                     if "probability" in pred.columns:
                         proba = {}
@@ -60,6 +63,9 @@ def score_models(trained: Sequence[TrainedModel], test: DataFrame, task: str, *,
                 rows.append((t.name, order, "success", m, None if v is None else float(v), None, t.train_time_ms))
         except Exception as e:  # noqa: BLE001 — scoring one model must not stop the others
             rows.append((t.name, order, "failed", None, None, f"scoring failed: {e}"[:2000], t.train_time_ms))
+        finally:
+            if pred is not None:
+                pred.unpersist()
     schema = "algo string, order int, status string, metric string, value double, error string, train_time_ms long"
     return spark.createDataFrame(rows, schema)
 

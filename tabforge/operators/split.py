@@ -34,7 +34,7 @@ def split_random(df: DataFrame, key_col: str, test_size: float = 0.2, seed: int
     spark = df.sparkSession
     h = df.withColumn("_h", hash32(q(key_col), seed)).withColumn("_g", F.lit(0))
     alloc = spark.createDataFrame([(0, int(n_test))], "_g int, k long")
-    return flag_smallest(h, ["_g"], "_h", key_col, alloc, out=out).drop("_g", "_h")
+    return flag_smallest(h, ["_g"], "_h", key_col, alloc, out=out, max_rows=n).drop("_g", "_h")
 
 
 def stratified_allocation(df: DataFrame, label_col: str, test_size: float) -> DataFrame:
@@ -73,7 +73,8 @@ def split_stratified(df: DataFrame, key_col: str, label_col: str, test_size: flo
     h = df.withColumn("_h", hash32(q(key_col), seed))
     small = df.sparkSession.createDataFrame([(r[label_col], int(r["k"])) for r in rows],
                                             alloc.select(label_col, "k").schema)
-    return flag_smallest(h, [label_col], "_h", key_col, small, out=out).drop("_h"), "stratified"
+    biggest = max(r["n_c"] for r in rows)
+    return flag_smallest(h, [label_col], "_h", key_col, small, out=out, max_rows=biggest).drop("_h"), "stratified"
 
 
 def class_weights(df: DataFrame, label_col: str) -> DataFrame:
