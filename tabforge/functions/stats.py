@@ -212,6 +212,8 @@ def flag_smallest(
     boundary hash and only rows sharing it are ranked.
     """
     g = list(group_cols)
+    alloc = alloc.select(*g, F.col(k_col).alias("_k"))  # avoid clashing with data columns
+    k_col = "_k"
     if max_rows is not None and max_rows <= DIRECT_RANK_LIMIT:
         a = F.broadcast(alloc) if small_groups else alloc
         w = Window.partitionBy(*g).orderBy(score_col, tie_col)

@@ -42,13 +42,13 @@ SELECT event_id, round(coalesce(value, (SELECT {stat.format(c='value')} FROM s_e
 
 
 MODE_SQL = "(SELECT {c} FROM s_ev WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1)"
-register("impute_median", sql=_impute_sql("median({c})"))(_impute_query("median"))
-register("impute_mean", sql=_impute_sql("avg({c})"))(_impute_query("mean"))
-register("impute_zero", sql=_impute_sql("min(0.0)"))(_impute_query("constant_zero"))
+register("impute_median", sql=_impute_sql("median({c})"), doc="Numeric median imputation (exact distributed median).")(_impute_query("median"))
+register("impute_mean", sql=_impute_sql("avg({c})"), doc="Numeric mean imputation.")(_impute_query("mean"))
+register("impute_zero", sql=_impute_sql("min(0.0)"), doc="Numeric constant-zero imputation.")(_impute_query("constant_zero"))
 register("impute_most_frequent", sql=with_standins(["s_ev"], f"""
 SELECT event_id, round(coalesce(value, {MODE_SQL.format(c='value')}), 6) AS value,
-       round(coalesce(value_sq, {MODE_SQL.format(c='value_sq')}), 6) AS value_sq FROM s_ev"""))(
-    _impute_query("most_frequent"))
+       round(coalesce(value_sq, {MODE_SQL.format(c='value_sq')}), 6) AS value_sq FROM s_ev"""),
+         doc="Numeric mode imputation (ties → smallest value).")(_impute_query("most_frequent"))
 
 
 @register("impute_cat_most_frequent", sql=with_standins(["s_ev"], f"""
@@ -107,11 +107,11 @@ register("iqr_clip", sql=with_standins(["s_ev"], """,
 b AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM s_ev)
 SELECT event_id, round(CASE WHEN value IS NULL THEN NULL
                        ELSE least(greatest(value, q1 - 1.5 * (q3 - q1)), q3 + 1.5 * (q3 - q1)) END, 6) AS value
-FROM s_ev, b"""))(_clip_query("iqr_clip"))
+FROM s_ev, b"""), doc="Clip to [Q1 − 1.5·IQR, Q3 + 1.5·IQR]; missing passes through.")(_clip_query("iqr_clip"))
 register("winsorize", sql=with_standins(["s_ev"], """,
 b AS (SELECT quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi FROM s_ev)
 SELECT event_id, round(CASE WHEN value IS NULL THEN NULL ELSE least(greatest(value, lo), hi) END, 6) AS value
-FROM s_ev, b"""))(_clip_query("winsorize"))
+FROM s_ev, b"""), doc="Winsorize to the 1 % / 99 % quantiles.")(_clip_query("winsorize"))
 
 
 def _scale_query(method: str):
@@ -132,9 +132,11 @@ st AS (SELECT {stats} FROM s_ev)
 SELECT event_id, {sel} FROM s_ev, st""")
 
 
-register("scale_standard", sql=_scale_sql("avg({c})", "stddev_pop({c})"))(_scale_query("standard"))
-register("scale_minmax", sql=_scale_sql("min({c})", "max({c}) - min({c})"))(_scale_query("minmax"))
-register("scale_robust", sql=_scale_sql("median({c})", "quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)"))(
+register("scale_standard", sql=_scale_sql("avg({c})", "stddev_pop({c})"),
+         doc="(x − mean) / population std (0 → 1).")(_scale_query("standard"))
+register("scale_minmax", sql=_scale_sql("min({c})", "max({c}) - min({c})"), doc="(x − min) / (max − min) (0 → 1).")(_scale_query("minmax"))
+register("scale_robust", sql=_scale_sql("median({c})", "quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)"),
+         doc="(x − median) / IQR (0 → 1).")(
     _scale_query("robust"))
 
 

@@ -64,10 +64,13 @@ def _soft(a: float, extra_l2: float = 0.0) -> str:
     return (f"sign(sxy / n) * greatest(abs(sxy / n) - {a}, 0) / (sxx / n + {extra_l2})")
 
 
-register("train_linear", sql=_lin_sql("sxy / sxx", 6))(lambda spark, sf: _fit_linear(spark, sf, "linear", 6))
-register("train_ridge", sql=_lin_sql("sxy / (sxx + 1.0)", 6))(lambda spark, sf: _fit_linear(spark, sf, "ridge", 6))
-register("train_lasso", sql=_lin_sql(_soft(1.0), 4))(lambda spark, sf: _fit_linear(spark, sf, "lasso", 4))
-register("train_elastic_net", sql=_lin_sql(_soft(0.25, 0.25), 4))(
+register("train_linear", sql=_lin_sql("sxy / sxx", 6), doc="OLS (normal equations): coefficient and intercept.")(
+    lambda spark, sf: _fit_linear(spark, sf, "linear", 6))
+register("train_ridge", sql=_lin_sql("sxy / (sxx + 1.0)", 6), doc="Ridge α = 1 mapped to Spark's regParam.")(
+    lambda spark, sf: _fit_linear(spark, sf, "ridge", 6))
+register("train_lasso", sql=_lin_sql(_soft(1.0), 4), doc="Lasso α = 1 (L1, soft threshold).")(
+    lambda spark, sf: _fit_linear(spark, sf, "lasso", 4))
+register("train_elastic_net", sql=_lin_sql(_soft(0.25, 0.25), 4), doc="Elastic net α = 0.5, l1_ratio = 0.5.")(
     lambda spark, sf: _fit_linear(spark, sf, "elastic_net", 4))
 
 

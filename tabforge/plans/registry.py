@@ -21,10 +21,12 @@ class Query:
 REGISTRY: dict[str, Query] = {}
 
 
-def register(key: str, sql: str | None = None):
+def register(key: str, sql: str | None = None, doc: str | None = None):
     def deco(fn: QueryFn) -> QueryFn:
         if key in REGISTRY:
             raise KeyError(f"duplicate query key {key}")
+        if doc:
+            fn.__doc__ = doc
         REGISTRY[key] = Query(key, fn, sql, (fn.__doc__ or "").strip())
         return fn
 

@@ -15,7 +15,7 @@ def cls_data(spark):
     for i in range(120):
         y = i % 2
         rows.append((i, Vectors.dense([rng.normal(2 * y, 0.5), rng.normal(-y, 0.5)]), y))
-    return spark.createDataFrame(rows, "id long, features vector, label int")
+    return spark.createDataFrame(rows, ["id", "features", "label"])
 
 
 SMALL = {"random_forest": {"numTrees": 5, "maxDepth": 4}, "extra_trees": {"numTrees": 5, "maxDepth": 4},
