@@ -58,8 +58,9 @@ def like_failed(action_type: Column) -> Column:
 
 def duration_ms(started: Column, ended: Column) -> Column:
     """max(0, ended − started) in ms; NULL when either end is missing."""
-    d = F.unix_micros(ended.cast("timestamp")) - F.unix_micros(started.cast("timestamp"))
-    return F.when(started.isNotNull() & ended.isNotNull(), F.greatest(F.lit(0), F.floor(d / 1000)).cast("bigint"))
+    # zone-independent difference (no cast to session-local time)
+    d = F.timestamp_diff("MILLISECOND", started, ended)
+    return F.when(started.isNotNull() & ended.isNotNull(), F.greatest(F.lit(0), d).cast("bigint"))
 
 
 def period_filter(df: DataFrame, time_col: str, period: str, as_of: Column | datetime) -> DataFrame:
