@@ -61,7 +61,15 @@ def preview_rows(df, order_cols, n: int = PREVIEW_DEFAULT):
     return df.orderBy(*order_cols).limit(n).select("*", F.to_json(F.struct(*[F.col(c) for c in df.columns])).alias("json"))
 
 
-@register("prediction_sink")
+def _sink_sql() -> str:
+    from tabforge.plans.q_score import _BATCH_SQL
+
+    body = _BATCH_SQL.replace("SELECT part.*, ", "SELECT p_partkey, p_name, p_brand, p_type, CAST(p_size AS BIGINT) AS p_size, "
+                                                "p_retailprice, ")
+    return body
+
+
+@register("prediction_sink", sql=_sink_sql())
 def q_prediction_sink(spark, sf):
     """Batch predictions written as CSV (input columns + prediction) and read back."""
     from tabforge.plans.q_score import _batch
