@@ -227,7 +227,7 @@ def models_by_job(models: DataFrame, order_cols: Sequence[str] = ("model_id",))
     metrics, as the reference does); the position is returned as ``rank``."""
     w = Window.partitionBy("training_job_id").orderBy(F.col("metric_score").desc_nulls_last(),
                                                       *[F.col(c) for c in order_cols])
-    return models.withColumn("rank", F.row_number().over(w))
+    return models.withColumn("rank", F.row_number().over(w).cast("bigint"))
 
 
 def find_best_model(models: DataFrame) -> DataFrame:

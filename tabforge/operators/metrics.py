@@ -193,7 +193,7 @@ def leaderboard(scores: DataFrame, models: DataFrame, metric_key: str, metrics:
     failed_last = F.when(F.col("status") == "success", 0).otherwise(1)
     w = Window.orderBy(failed_last, okey, F.col("order"))  # one row per model
     best = select_best(scores, metric_key).select(F.col("algo").alias("_best"))
-    return (lb.withColumn("rank", F.row_number().over(w))
+    return (lb.withColumn("rank", F.row_number().over(w).cast("bigint"))
             .join(best, on=F.col("algo") == F.col("_best"), how="left")
             .withColumn("is_best", F.col("_best").isNotNull()).drop("_best")
             .select("rank", "algo", "status", *cols, "is_best"))

@@ -95,6 +95,10 @@ def main():
             n_bad += 1
             continue
         msg = compare(sp, du)
+        types = {c: (str(sp[c].dtype), str(du[c].dtype)) for c in sp.columns if c in du.columns}
+        bad_types = {c: t for c, t in types.items() if t[0] != t[1]}
+        if bad_types:
+            print(f"TYPE  {key}: {bad_types}")
         if msg is None:
             print(f"OK    {key}: {len(sp)} rows ({dt:.1f}s)")
             n_ok += 1
