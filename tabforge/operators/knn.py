@@ -7,7 +7,8 @@ k-th neighbour distance (the smallest ``d(q, p_c) + r_c`` whose cells hold ≥ k
 points) and a lower bound ``d(q, p_c) − r_c`` for every point of cell ``c``.
 Only cells with lower bound ≤ ``δ`` can hold a neighbour, so the candidate
 pairs come from an **equi-join on the cell id**; candidates are never capped,
-so the result is exact (ties → smaller id). The per-pair distance is unrolled
+so the result is exact (ties → smaller id). A first pass over the query's own
+cell tightens ``δ`` to a real k-th distance before the other cells are joined. The per-pair distance is unrolled
 arithmetic (whole-stage codegen); per-point pivot distances and cell choices are
 JVM higher-order functions; pivots, radii and sizes are ≤ ``max_pivots`` values.
 """
@@ -104,16 +105,31 @@ def knn(query: DataFrame, train: DataFrame, k: int, *, id_col: str = "id", vec_c
     walk = F.aggregate(cells, acc0, lambda acc, s: F.struct(
         (acc["cum"] + s["c"]).alias("cum"),
         F.when(acc["delta"].isNull() & (acc["cum"] + s["c"] >= need), s["u"]).otherwise(acc["delta"]).alias("delta")))
-    qd = qd.withColumn("_delta", walk["delta"] * (1 + _SLACK) + _SLACK)
+    qd = qd.withColumn("_delta0", walk["delta"])
+    # Pass 1: the query's own (nearest-pivot) cell gives real distances; when it
+    # holds enough points their k-th distance is a much tighter bound than δ.
+    qd = qd.withColumn("_c0", (F.array_position("_qd", F.array_min("_qd")) - 1).cast("int"))
+    cand_cols = tr_c.select("cell", "grp", "t_id", "t_vec")
+
+    def dist_pairs(qc: DataFrame) -> DataFrame:
+        p = qc.join(cand_cols, on=["grp", "cell"], how="inner")
+        if exclude_self:
+            p = p.where(F.col("q_id") != F.col("t_id"))
+        return p.select("q_id", "t_id", euclidean(F.col("q_vec"), F.col("t_vec"), dim).alias("dist"))
+
+    w = Window.partitionBy("q_id").orderBy("dist", "t_id")
+    first = dist_pairs(qd.select("q_id", "q_vec", "grp", F.col("_c0").alias("cell")))
+    first_top = first.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    kth = first_top.groupBy("q_id").agg(F.count(F.lit(1)).alias("_n1"), F.max("dist").alias("_d1"))
+    qd = qd.join(kth, on="q_id", how="left")
+    delta = F.when(F.col("_n1") >= k, F.least(F.col("_d1"), F.col("_delta0"))).otherwise(F.col("_delta0"))
+    qd = qd.withColumn("_delta", delta * (1 + _SLACK) + _SLACK)
+    # Pass 2: every other cell whose lower bound d(q, p_c) − r_c is within δ.
     cand_cells = F.filter(F.sequence(F.lit(0), F.lit(m - 1)),
-                          lambda i: (F.element_at(F.col("_rad"), i + 1).isNotNull())
+                          lambda i: (F.element_at(F.col("_rad"), i + 1).isNotNull()) & (i != F.col("_c0"))
                           & (F.element_at(F.col("_qd"), i + 1) - F.element_at(F.col("_rad"), i + 1) <= F.col("_delta")))
-    q_cells = qd.select("q_id", "q_vec", "grp", F.explode(cand_cells).alias("cell"))
-    pairs = q_cells.join(tr_c.select("cell", "grp", "t_id", "t_vec"), on=["grp", "cell"], how="inner")
-    if exclude_self:
-        pairs = pairs.where(F.col("q_id") != F.col("t_id"))
-    pairs = pairs.select("q_id", "t_id", euclidean(F.col("q_vec"), F.col("t_vec"), dim).alias("dist"))
-    w = Window.partitionBy("q_id").orderBy("dist", "t_id")
+    second = dist_pairs(qd.select("q_id", "q_vec", "grp", F.explode(cand_cells).alias("cell")))
+    pairs = first_top.drop("rank").unionByName(second)
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
