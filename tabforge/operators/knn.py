@@ -18,15 +18,36 @@ from __future__ import annotations
 import json
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabforge.functions.columns import hash32
 
-MAX_PIVOTS = 64
+MAX_PIVOTS = 256
 _SLACK = 1e-9
 
 
+def _pivot_distance_udf(pivots: list):
+    """Arrow-batched distances from each vector to every pivot (m ≤ MAX_PIVOTS):
+    a vectorised numpy helper inside the tasks Spark already partitions."""
+    P = np.asarray(pivots, dtype=float)
+
+    @F.pandas_udf("array<double>")
+    def to_pivots(vecs: pd.Series) -> pd.Series:
+        if len(vecs) == 0:
+            return pd.Series([], dtype=object)
+        X = np.stack([np.asarray(v, dtype=float) for v in vecs])
+        D = np.empty((X.shape[0], P.shape[0]))
+        for j in range(P.shape[0]):
+            diff = X - P[j]
+            D[:, j] = np.sqrt(np.einsum("ij,ij->i", diff, diff))
+        return pd.Series(list(D))
+
+    return to_pivots
+
+
 def euclidean(a: Column, b: Column, dim: int | None = None) -> Column:
     """Euclidean distance of two array<double> columns. With a known dimension
     the sum is unrolled into plain arithmetic (whole-stage codegen); otherwise a
@@ -72,12 +93,12 @@ def knn(query: DataFrame, train: DataFrame, k: int, *, id_col: str = "id", vec_c
     m = max(1, min(max_pivots, int(math.sqrt(n_train))))
     piv_rows = (tr.withColumn("_h", hash32(F.col("t_id"), "pivot")).orderBy("_h", "t_id").limit(m)
                 .select("t_vec").collect())  # m ≤ max_pivots rows
-    pivots = _const_array([list(r["t_vec"]) for r in piv_rows], "array<array<double>>")
     m = len(piv_rows)
+    pivot_udf = _pivot_distance_udf([list(r["t_vec"]) for r in piv_rows])
 
     def to_pivots(v: Column) -> Column:
-        # per point (not per pair): m·d work, a fold keeps the plan small
-        return F.transform(pivots, lambda p: euclidean(p, v))
+        # per point (not per pair): m·d work, vectorised per Arrow batch
+        return pivot_udf(v)
 
     tr_d = tr.withColumn("_pd", to_pivots(F.col("t_vec")))
     tr_c = tr_d.select("t_id", "t_vec", "grp", (F.array_position("_pd", F.array_min("_pd")) - 1).cast("int").alias("cell"),
