@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from tabforge.functions.columns import hash32
 
-MAX_PIVOTS = 256
+MAX_PIVOTS = 1024
+PIVOT_FACTOR = 2.0  # m ≈ 2·√n pivots (capped): cells of ~√n/2 points
 _SLACK = 1e-9
 
 
@@ -90,7 +91,7 @@ def knn(query: DataFrame, train: DataFrame, k: int, *, id_col: str = "id", vec_c
     need = k + (1 if exclude_self else 0)
     if n_train < need:
         raise ValueError(f"k={k} neighbours requested but only {n_train} training rows")
-    m = max(1, min(max_pivots, int(math.sqrt(n_train))))
+    m = max(1, min(max_pivots, int(PIVOT_FACTOR * math.sqrt(n_train))))
     piv_rows = (tr.withColumn("_h", hash32(F.col("t_id"), "pivot")).orderBy("_h", "t_id").limit(m)
                 .select("t_vec").collect())  # m ≤ max_pivots rows
     m = len(piv_rows)
