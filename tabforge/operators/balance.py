@@ -9,6 +9,7 @@ portable hashes, so the synthetic rows do not depend on partitioning.
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +27,8 @@ def smote(df: DataFrame, *, id_col: str, label_col: str, vec_col: str, k: int =
     """Synthetic minority rows: (label, j, base_id, nb_id, u, vec).
 
     All classes are handled together: one same-class kNN (grouped by label),
-    one position pass (grouped by label) and the synthetic rows generated by
-    exploding each class's count on the executors."""
+    one position pass (grouped by label), and synthetic row indices from one
+    partitioned range (a hot class never generates its rows in a single task)."""
     if task_type == "regression":
         raise ValueError("SMOTE cannot be applied to regression")
     spark = df.sparkSession
@@ -45,8 +46,20 @@ def smote(df: DataFrame, *, id_col: str, label_col: str, vec_col: str, k: int =
         F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), F.col(label_col).alias("y"))
     nn = knn(minority, minority, k, id_col="id", vec_col="vec", exclude_self=True, group_col="y")
     pos = with_position(minority.select("id", "y"), ["y"], ["id"], out="pos", max_rows=max(counts[y] for y in needs))
-    plan = spark.createDataFrame([(y, counts[y], needs[y]) for y in needs], f"y {label_type}, n_y long, need long")
-    gen = plan.select("y", "n_y", F.explode(F.sequence(F.lit(1).cast("long"), F.col("need"))).alias("j"))
+    # Synthetic row ids 0..total-1 come from a partitioned range; per-class
+    # offsets (one value per class) map an id to its class and its j.
+    order = sorted(needs, key=lambda v: str(v))
+    offsets = [0]
+    for y in order:
+        offsets.append(offsets[-1] + needs[y])
+    ids = spark.range(offsets[-1]).withColumn("_i", F.col("id").cast("double"))
+    bucket = Bucketizer(splits=[float(o) for o in offsets] + [float("inf")], inputCol="_i", outputCol="_b")
+    labels = F.array(*[F.lit(y) for y in order])
+    n_ys = F.array(*[F.lit(counts[y]) for y in order])
+    starts = F.array(*[F.lit(o) for o in offsets[:-1]])
+    b = F.col("_b").cast("int") + 1
+    gen = bucket.transform(ids).select(F.element_at(labels, b).alias("y"), F.element_at(n_ys, b).cast("long").alias("n_y"),
+                                       (F.col("id") - F.element_at(starts, b) + 1).alias("j"))
     key = F.concat(F.col("y").cast("string"), F.lit(":"), F.col("j").cast("string"))
     gen = gen.select("y", "j", (hash32(key, SALT_BASE) % F.col("n_y")).alias("pos"),
                      (1 + hash32(key, SALT_NEIGHBOUR) % k).alias("rank"),

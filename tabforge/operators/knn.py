@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from tabforge.functions.columns import hash32
 
 MAX_PIVOTS = 1024
+MAX_GROUP_CELLS = 200_000
 PIVOT_FACTOR = 2.0  # m ≈ 2·√n pivots (capped): cells of ~√n/2 points
 _SLACK = 1e-9
 
@@ -92,6 +93,9 @@ def knn(query: DataFrame, train: DataFrame, k: int, *, id_col: str = "id", vec_c
     if n_train < need:
         raise ValueError(f"k={k} neighbours requested but only {n_train} training rows")
     m = max(1, min(max_pivots, int(PIVOT_FACTOR * math.sqrt(n_train))))
+    if group_col:  # per-(group, cell) radii/sizes are plan literals: keep groups × m bounded
+        n_groups = tr.select("grp").distinct().count()
+        m = max(1, min(m, MAX_GROUP_CELLS // max(n_groups, 1)))
     piv_rows = (tr.withColumn("_h", hash32(F.col("t_id"), "pivot")).orderBy("_h", "t_id").limit(m)
                 .select("t_vec").collect())  # m ≤ max_pivots rows
     m = len(piv_rows)
