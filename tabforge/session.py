@@ -38,14 +38,18 @@ def checkpoint_root(spark: SparkSession) -> str:
     Only when the session has none (local tests) do we create one under the
     system temp folder and register it, so ``DataFrame.checkpoint()`` works too.
     """
+    try:
+        sc = spark.sparkContext  # absent on Spark Connect sessions
+    except Exception:  # noqa: BLE001
+        sc = None
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
+    if not root and sc is not None:
+        root = sc.getCheckpointDir()
     if not root:
         root = tempfile.mkdtemp(prefix="tabforge-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
+    if sc is not None and sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(root)
     return root.rstrip("/")
 
 
