@@ -55,10 +55,18 @@ def q_preview_rows(spark, sf):
 
 
 def preview_rows(df, order_cols, n: int = PREVIEW_DEFAULT):
+    """First ``n`` rows in key order plus a JSON record per row (NaN → null)."""
+    from pyspark.sql import types as T
+
+    from tabforge.functions.columns import nan_to_null, q
+
     if n <= 0:
         raise ValueError("preview size must be >= 1")
     n = min(n, PREVIEW_MAX)
-    return df.orderBy(*order_cols).limit(n).select("*", F.to_json(F.struct(*[F.col(c) for c in df.columns])).alias("json"))
+    fields = [(nan_to_null(q(f.name)) if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else q(f.name)).alias(f.name)
+              for f in df.schema.fields]
+    return df.orderBy(*order_cols).limit(n).select(
+        "*", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("json"))
 
 
 def _sink_sql() -> str:

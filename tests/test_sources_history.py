@@ -93,3 +93,67 @@ def test_streaming_fold_equals_batch(spark):
     want = {r["job_id"]: (r["status"], r["started_at"], r["ended_at"], r["n_events"])
             for r in H.job_status_fold(spark.createDataFrame(b1 + b2, schema)).collect()}
     assert got == want
+
+
+def _meta(spark):
+    from datetime import datetime as dt
+    projects = spark.createDataFrame([(1, "alpha", dt(2024, 1, 1)), (2, "beta", dt(2024, 2, 1))],
+                                     "project_id long, project_name string, created_at timestamp")
+    jobs = spark.createDataFrame(
+        [(10, 1, 1, "classification", "y", "f1", "completed", dt(2024, 3, 1), dt(2024, 3, 1), dt(2024, 3, 1, 0, 0, 2)),
+         (11, 1, 1, "classification", "y", "f1", "failed", dt(2024, 3, 2), dt(2024, 3, 2), dt(2024, 3, 2)),
+         (12, 2, 2, "regression", "y", "rmse", "running", dt(2024, 3, 3), dt(2024, 3, 3), None)],
+        "training_job_id long, project_id long, dataset_id long, task_type string, target_column string, "
+        "metric_key string, status string, created_at timestamp, started_at timestamp, ended_at timestamp")
+    models = spark.createDataFrame([(100, 10, "logistic", 0.7), (101, 10, "forest", 0.9), (102, 10, "knn", None)],
+                                   "model_id long, training_job_id long, algorithm_name string, metric_score double")
+    return projects, jobs, models
+
+
+def test_training_history_joins(spark):
+    projects, jobs, models = _meta(spark)
+    rows = H.training_history(jobs, projects, H.mark_best(models)).collect()
+    assert [r["training_job_id"] for r in rows] == [12, 11, 10]  # newest first
+    r10 = rows[2]
+    assert (r10["n_models_success"], r10["n_models_failed"], r10["best_algo"], r10["duration_ms"]) == (2, 1, "forest", 2000)
+    assert rows[1]["n_models_success"] == 0 and rows[1]["best_algo"] is None  # no models → left join zeros
+    assert rows[0]["duration_ms"] is None
+    only = H.training_history(jobs, projects, H.mark_best(models), project_id=1, status="failed").collect()
+    assert [r["training_job_id"] for r in only] == [11]
+
+
+def test_project_counts_and_guard(spark):
+    projects, jobs, models = _meta(spark)
+    datasets = spark.createDataFrame([(1, 1)], "dataset_id long, project_id long")
+    counts = {r["project_id"]: (r["dataset_count"], r["model_count"])
+              for r in H.project_counts(projects, datasets, jobs, models).collect()}
+    assert counts == {1: (1, 3), 2: (0, 0)}
+    guard = {r["project_id"]: r["deletable"] for r in H.dependents_guard(projects, datasets, jobs, models).collect()}
+    assert guard == {1: False, 2: False}  # project 2 still has a job
+
+
+def test_bundle_round_trip(spark):
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    from tabforge.operators.preprocess import Preprocessor
+    from tabforge.plans.config import FeatureSchema, PreprocessingConfig
+    from tabforge.sources import bundle as BD
+
+    df = spark.createDataFrame([(float(i), "ab"[i % 2], 2.0 * i + 1) for i in range(20)], "x double, c string, y double")
+    pre = Preprocessor(PreprocessingConfig(), ["x"], ["c"]).fit(df)
+    feats = VectorAssembler(inputCols=pre.output_columns, outputCol="features").transform(pre.transform(df, keep=["y"]))
+    model = PipelineModel(stages=[LinearRegression(labelCol="y", solver="normal").fit(feats)])
+    path = tempfile.mkdtemp(prefix="tabforge-bundle-") + "/b"
+    schema = FeatureSchema(numeric=("x",), categorical=("c",), target="y")
+    BD.save_bundle(spark, path, model=model, pre=pre, schema=schema, metrics={"rmse": 0.0})
+    m2, pre2, schema2, metrics, config, _ = BD.load_bundle(spark, path)
+    assert schema2 == schema and metrics == {"rmse": 0.0} and config == PreprocessingConfig()
+    a = [r[0] for r in model.transform(feats).select("prediction").collect()]
+    feats2 = VectorAssembler(inputCols=pre2.output_columns, outputCol="features").transform(pre2.transform(df, keep=["y"]))
+    b = [r[0] for r in m2.transform(feats2).select("prediction").collect()]
+    assert a == b
+    os.remove(path + "/metrics.json")
+    with pytest.raises(FileNotFoundError):
+        BD.load_bundle(spark, path)
