@@ -281,4 +281,5 @@ def train_all(specs: Sequence[AlgoSpec], train: DataFrame, task: str, *, id_col:
         except Exception as e:  # noqa: BLE001 — one failing algorithm must not stop the others
             results.append(TrainedModel(spec.name, task, "failed", int((time.perf_counter() - start) * 1000),
                                         error=str(e)[:2000], classes=classes))
+    data.unpersist()  # fitted models no longer need it; a kNN model recomputes it from lineage
     return results

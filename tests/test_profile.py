@@ -83,3 +83,15 @@ def test_category_vocab_sorted(spark):
     rows = P.category_vocab(df, ["s", "n"]).orderBy("column", "idx").collect()
     assert [(r["column"], r["value"], r["idx"]) for r in rows] == [
         ("n", "1", 0), ("n", "10", 1), ("n", "2", 2), ("s", "a", 0), ("s", "b", 1), ("s", "c", 2)]
+
+
+def test_profile_store_round_trip(spark):
+    import tempfile
+
+    from tabforge.sources.profile_store import load_profile, save_profile
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, "a")], "id int, c string")
+    prof = P.profile(df)
+    path = tempfile.mkdtemp(prefix="tabforge-prof-") + "/p"
+    save_profile(prof, path)
+    back = {r["name"]: (r["n_missing"], r["n_unique"]) for r in load_profile(spark, path).collect()}
+    assert back == {"id": (0, 3), "c": (1, 1)}
