@@ -94,11 +94,20 @@ def admin_stats(projects: DataFrame, datasets: DataFrame, jobs: DataFrame, model
 def mark_best(models: DataFrame, job_col: str = "training_job_id", score_col: str = "metric_score",
               order_cols: Sequence[str] = ("model_id",), direction: str = "max") -> DataFrame:
     """Derived ``is_best``: exactly one scored model per job — best score in the
-    metric direction, ties to the first by ``order_cols``."""
+    metric direction, ties to the first by ``order_cols``.
+
+    The winner per job is a ``min_by`` aggregate (partially aggregated, so a job
+    holding a third of all models is not ranked in one task), joined back on
+    (job, order columns)."""
     s = F.col(score_col)
-    key = s.desc_nulls_last() if direction == "max" else s.asc_nulls_last()
-    w = Window.partitionBy(job_col).orderBy(key, *[F.col(c) for c in order_cols])
-    return models.withColumn("is_best", s.isNotNull() & (F.row_number().over(w) == 1))
+    signed = -s if direction == "max" else s
+    key = F.struct(signed.alias("_s"), *[F.col(c) for c in order_cols])
+    best = (models.where(s.isNotNull()).groupBy(job_col)
+            .agg(F.min_by(F.struct(*[F.col(c) for c in order_cols]), key).alias("_b"))
+            .select(job_col, *[F.col(f"_b.{c}").alias(c) for c in order_cols])
+            .withColumn("_is_best", F.lit(True)))
+    return models.join(best, on=[job_col, *order_cols], how="left").withColumn(
+        "is_best", F.coalesce(F.col("_is_best"), F.lit(False))).drop("_is_best")
 
 
 def training_history(jobs: DataFrame, projects: DataFrame, models: DataFrame, *, project_id: int | None = None,
@@ -224,10 +233,14 @@ def models_by_project(models: DataFrame, jobs: DataFrame, project_id: int | None
 
 def models_by_job(models: DataFrame, order_cols: Sequence[str] = ("model_id",)) -> DataFrame:
     """Per job, models by score desc NULLS LAST then id (desc even for error
-    metrics, as the reference does); the position is returned as ``rank``."""
-    w = Window.partitionBy("training_job_id").orderBy(F.col("metric_score").desc_nulls_last(),
-                                                      *[F.col(c) for c in order_cols])
-    return models.withColumn("rank", F.row_number().over(w).cast("bigint"))
+    metrics, as the reference does); the 1-based position is returned as ``rank``.
+    Positions come from ``with_position`` (one window for jobs up to 1M models,
+    range partitioning beyond), so a hot job is not ranked in one task."""
+    from tabforge.functions.stats import with_position
+
+    order = [F.col("metric_score").desc_nulls_last(), *[F.col(c).asc() for c in order_cols]]
+    out = with_position(models, ["training_job_id"], order, out="_pos")
+    return out.withColumn("rank", (F.col("_pos") + 1).cast("bigint")).drop("_pos")
 
 
 def find_best_model(models: DataFrame) -> DataFrame:

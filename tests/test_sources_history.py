@@ -157,3 +157,21 @@ def test_bundle_round_trip(spark):
     os.remove(path + "/metrics.json")
     with pytest.raises(FileNotFoundError):
         BD.load_bundle(spark, path)
+
+
+def test_models_by_job_distributed_path(spark, monkeypatch):
+    from pyspark.sql import Window
+
+    from tabforge.functions import stats as S
+
+    rows = [(i % 3, i, None if i % 7 == 0 else float((i * 37) % 11)) for i in range(300)]
+    models = spark.createDataFrame(rows, "training_job_id long, model_id long, metric_score double")
+    monkeypatch.setattr(S, "DIRECT_RANK_LIMIT", 10)
+    got = {r["model_id"]: r["rank"] for r in H.models_by_job(models).collect()}
+    w = Window.partitionBy("training_job_id").orderBy(F.col("metric_score").desc_nulls_last(), "model_id")
+    want = {r["model_id"]: r["r"] for r in models.select("model_id", F.row_number().over(w).alias("r")).collect()}
+    assert got == want
+    best = {r["training_job_id"]: r["model_id"] for r in H.mark_best(models).where("is_best").collect()}
+    want_best = {r["training_job_id"]: r["model_id"]
+                 for r in models.select("training_job_id", "model_id", F.row_number().over(w).alias("r")).where("r = 1").collect()}
+    assert best == want_best
