@@ -105,17 +105,23 @@ def exact_quantiles(
     probs: Sequence[float],
     *,
     direct_limit: int = DIRECT_LIMIT,
+    counts: dict[str, int] | None = None,
 ) -> dict[str, list[float | None]]:
     """Exact linear-interpolated quantiles of numeric columns (NULL/NaN ignored).
 
     Returns ``{col: [q(p) for p in probs]}``; ``None`` for all-missing columns.
+    ``counts`` (non-missing values per column), when the caller knows them,
+    saves the counting scan.
     """
     cols = list(cols)
     if not cols:
         return {}
     vals = {c: to_double(q(c)) for c in cols}
-    counts = df.agg(*[F.count(vals[c]).alias(f"n{i}") for i, c in enumerate(cols)]).first()
-    n = {c: int(counts[f"n{i}"]) for i, c in enumerate(cols)}
+    if counts is not None and all(c in counts for c in cols):
+        n = {c: int(counts[c]) for c in cols}
+    else:
+        row = df.agg(*[F.count(vals[c]).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+        n = {c: int(row[f"n{i}"]) for i, c in enumerate(cols)}
     out: dict[str, list[float | None]] = {}
     small = [c for c in cols if 0 < n[c] <= direct_limit]
     if small:
