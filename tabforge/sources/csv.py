@@ -1,9 +1,9 @@
 """CSV input with the reference's guards, and CSV/Parquet sinks.
 
 Header problems are checked on the raw header line (Spark would silently rename
-blank or duplicate names). Missing-value tokens are mapped to NULL on the text
-columns before types are inferred, so ``'NA'`` never turns a numeric column into
-text. Rows with too many fields are quarantined (or fail the read when
+blank or duplicate names). Missing-value tokens (matched exactly, as pandas does)
+are mapped to NULL on the text columns before types are inferred, so ``'NA'``
+never turns a numeric column into text. Rows with too many fields are quarantined (or fail the read when
 ``strict``); rows with too few fields are kept, padded with NULLs.
 """
 
@@ -84,7 +84,7 @@ def read_tabular(spark: SparkSession, path: str, *, sep: str = ",", strict: bool
     good = raw.where(~too_long).drop(f"_f{n}")
     if strict and not bad.isEmpty():
         raise InputError("rows with more fields than the header")
-    cleaned = good.select(*[F.when(F.trim(F.col(f"_f{i}")).isin(*NA_TOKENS) | F.col(f"_f{i}").isNull(), None)
+    cleaned = good.select(*[F.when(F.col(f"_f{i}").isin(*NA_TOKENS) | F.col(f"_f{i}").isNull(), None)
                             .otherwise(F.col(f"_f{i}")).alias(name) for i, name in enumerate(names)])
     if cleaned.isEmpty():
         raise InputError("file has no data rows")  # header only, or every row malformed
