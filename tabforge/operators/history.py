@@ -77,18 +77,18 @@ def period_filter(df: DataFrame, time_col: str, period: str, as_of: Column | dat
 def admin_stats(projects: DataFrame, datasets: DataFrame, jobs: DataFrame, models: DataFrame,
                 predictions: DataFrame) -> DataFrame:
     """Five entity counts and the two failed-status counts, one row."""
-    a = projects.agg(F.count(F.lit(1)).alias("projects"))
-    b = datasets.agg(F.count(F.lit(1)).alias("datasets"))
-    c = jobs.agg(F.count(F.lit(1)).alias("training_jobs"),
-                 F.count_if(F.col("status") == "failed").alias("training_failures"))
-    d = models.agg(F.count(F.lit(1)).alias("models"))
-    e = predictions.agg(F.count(F.lit(1)).alias("predictions"),
-                        F.count_if(F.col("status") == "failed").alias("prediction_failures"))
-    # Each side is a one-row aggregate; joining one-row frames is constant-size.
-    out = a
-    for x in (b, c, d, e):
-        out = out.join(x, how="inner", on=F.lit(True))
-    return out
+    spark = projects.sparkSession
+
+    def count(df: DataFrame, cond=None):
+        agg = F.count(F.lit(1)) if cond is None else F.count_if(cond)
+        return df.agg(agg).scalar()  # scalar subquery: one aggregate per table
+
+    failed = F.col("status") == "failed"
+    return spark.range(1).select(
+        count(projects).alias("projects"), count(datasets).alias("datasets"),
+        count(jobs).alias("training_jobs"), count(jobs, failed).alias("training_failures"),
+        count(models).alias("models"), count(predictions).alias("predictions"),
+        count(predictions, failed).alias("prediction_failures"))
 
 
 def mark_best(models: DataFrame, job_col: str = "training_job_id", score_col: str = "metric_score",

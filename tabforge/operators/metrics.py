@@ -104,11 +104,11 @@ def roc_auc_ovr_df(df: DataFrame, y: str, proba: dict) -> DataFrame:
                       for k, c in proba.items()])
     long = df.select(F.col(y).cast("string").alias("_y"), F.inline(items))
     per = auc_by_group(long, ["_cls"], F.col("_y") == F.col("_cls"), F.col("_score"))
-    classes = df.agg(F.count_distinct(F.col(y).cast("string")).alias("k"),
-                     F.count_if(~F.col(y).cast("string").isin([str(k) for k in proba])).alias("outside"))
+    k = df.agg(F.count_distinct(F.col(y).cast("string"))).scalar()
+    outside = df.agg(F.count_if(~F.col(y).cast("string").isin([str(c) for c in proba]))).scalar()
     agg = per.agg(F.avg("auc").alias("auc"), F.count_if(F.col("auc").isNull()).alias("undef"))
-    return agg.join(classes, how="inner", on=F.lit(True)).select(
-        F.when((F.col("undef") == 0) & (F.col("k") == len(proba)) & (F.col("outside") == 0), F.col("auc")).alias("roc_auc"))
+    return agg.select(
+        F.when((F.col("undef") == 0) & (k == len(proba)) & (outside == 0), F.col("auc")).alias("roc_auc"))
 
 
 def regression_metrics_df(df: DataFrame, y: str, p: str) -> DataFrame:

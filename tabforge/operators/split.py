@@ -40,11 +40,10 @@ def split_random(df: DataFrame, key_col: str, test_size: float = 0.2, seed: int
 def stratified_allocation(df: DataFrame, label_col: str, test_size: float) -> DataFrame:
     """Per-class test counts (largest remainder). Rows = classes (small)."""
     counts = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n_c"))
-    tot = counts.agg(F.sum("n_c").alias("n")).withColumn("n_test", F.ceil(F.col("n") * F.lit(test_size)))
-    al = counts.join(F.broadcast(tot), how="inner", on=F.lit(True))
+    w_all = Window.partitionBy()  # one row per class: bounded by the number of classes
+    al = counts.withColumn("n", F.sum("n_c").over(w_all)).withColumn("n_test", F.ceil(F.col("n") * F.lit(test_size)))
     qv = F.col("n_c") * F.col("n_test") / F.col("n")
     al = al.withColumn("base", F.floor(qv)).withColumn("rem", qv - F.floor(qv))
-    w_all = Window.partitionBy()  # one row per class: bounded by the number of classes
     al = al.withColumn("short", F.col("n_test") - F.sum("base").over(w_all))
     rank = F.row_number().over(Window.orderBy(F.col("rem").desc(), F.col(label_col).asc()))
     return al.withColumn("k", (F.col("base") + F.when(rank <= F.col("short"), 1).otherwise(0)).cast("long")).select(
