@@ -84,11 +84,12 @@ def auc_by_group(df: DataFrame, group_cols: Sequence[str], is_pos, score) -> Dat
     grouped = df.groupBy(*g, score.cast("double").alias("_s")).agg(
         F.count_if(is_pos).alias("_pos"), F.count_if(~is_pos).alias("_neg"))
     pref = with_prefix_sums(grouped, g, "_s", ["_neg"])
-    return pref.groupBy(*g).agg(
-        (F.sum(F.col("_pos") * (F.col("_neg_before") + 0.5 * F.col("_neg")))
-         / (F.sum("_pos") * F.sum("_neg"))).alias("auc"),
-        F.sum("_pos").alias("n_pos"), F.sum("_neg").alias("n_neg"),
-    ).withColumn("auc", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("auc")))
+    out = pref.groupBy(*g).agg(
+        F.sum(F.col("_pos") * (F.col("_neg_before") + 0.5 * F.col("_neg"))).alias("_num"),
+        F.sum("_pos").alias("n_pos"), F.sum("_neg").alias("n_neg"))
+    # guard inside CASE WHEN: under ANSI mode a zero divisor would raise
+    ok = (F.col("n_pos") > 0) & (F.col("n_neg") > 0)
+    return out.select(*g, F.when(ok, F.col("_num") / (F.col("n_pos") * F.col("n_neg"))).alias("auc"), "n_pos", "n_neg")
 
 
 def roc_auc_binary(df: DataFrame, y: str, score: str, pos) -> float | None:

@@ -42,7 +42,8 @@ def stratified_allocation(df: DataFrame, label_col: str, test_size: float) -> Da
     counts = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n_c"))
     w_all = Window.partitionBy()  # one row per class: bounded by the number of classes
     al = counts.withColumn("n", F.sum("n_c").over(w_all)).withColumn("n_test", F.ceil(F.col("n") * F.lit(test_size)))
-    qv = F.col("n_c") * F.col("n_test") / F.col("n")
+    # double arithmetic: n_c · n_test overflows 64-bit integers on huge tables
+    qv = F.col("n_c").cast("double") * F.col("n_test") / F.col("n")
     al = al.withColumn("base", F.floor(qv)).withColumn("rem", qv - F.floor(qv))
     al = al.withColumn("short", F.col("n_test") - F.sum("base").over(w_all))
     rank = F.row_number().over(Window.orderBy(F.col("rem").desc(), F.col(label_col).asc()))

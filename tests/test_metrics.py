@@ -64,3 +64,8 @@ def test_scatter_sample(spark):
     df = spark.createDataFrame([(i, float(i), float(i) + 1) for i in range(4500)], "k int, y double, p double")
     out = M.scatter_sample(df, "y", "p", ["k"], max_points=2000)
     assert out.count() == 2000 and out.agg({"pos": "max"}).first()[0] == 3998
+
+
+def test_auc_undefined_without_both_classes(spark):
+    df = spark.createDataFrame([(1, 0.3), (1, 0.9)], "y int, s double")
+    assert M.roc_auc_binary(df, "y", "s", 1) is None
