@@ -7,6 +7,7 @@ for tests, ``bench.py`` and command-line use only.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -35,8 +36,9 @@ def build_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the session has none (local tests) do we create one under the
-    system temp folder and register it, so ``DataFrame.checkpoint()`` works too.
+    A session without one gets a temporary folder if it runs on one machine (tests,
+    local use). On a cluster that would be another folder on each machine, so there
+    the setting is required.
     """
     try:
         sc = spark.sparkContext  # absent on Spark Connect sessions
@@ -46,10 +48,11 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not root and sc is not None:
         root = sc.getCheckpointDir()
     if not root:
+        if sc is None or not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="tabforge-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
     if sc is not None and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(root)
+        sc.setCheckpointDir(root)  # later calls find it there
     return root.rstrip("/")
 
 
