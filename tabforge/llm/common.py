@@ -60,42 +60,98 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def histogram_sum(
-    df: DataFrame, count: Callable[[Iterator[pa.RecordBatch]], np.ndarray], bins: int, chunk: int = 4096
-) -> np.ndarray:
-    """Sum one fixed-size histogram per partition over all partitions.
+def histogram_chunks(counts: np.ndarray, chunk: int = 4096) -> tuple[list[int], list[bytes]]:
+    """(start, packed counts) of the non-zero chunks of a histogram."""
+    at, blobs = [], []
+    for i in range(0, len(counts), chunk):
+        part = counts[i : i + chunk]
+        if part.any():
+            at.append(i)
+            blobs.append(part.astype("<i8").tobytes())
+    return at, blobs
 
-    ``count`` turns a partition's batches into an int64 array of ``bins`` counts.
-    Partitions send their non-zero chunks of ``chunk`` bins; a chunk is summed in
-    one task, and the driver receives ``8 * bins`` bytes whatever the input's size.
-    """
 
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = count(batches)
-        ids, blobs = [], []
-        for i in range(0, bins, chunk):
-            part = counts[i : i + chunk]
-            if part.any():
-                ids.append(i)
-                blobs.append(part.astype("<i8").tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], ["at", "counts"])
+def add_chunks(chunks: DataFrame, bins: int, tasks: int = 16, combine: np.ufunc = np.add) -> np.ndarray:
+    """Combine the chunks (at, counts) that partitions sent; the driver receives ``8 * bins`` bytes."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for at, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 got = np.frombuffer(blob, "<i8")
-                sums[at] = sums[at] + got if at in sums else got.copy()
+                sums[at] = combine(sums[at], got) if at in sums else got.copy()
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())],
             ["at", "counts"],
         )
 
-    schema = "at int, counts binary"
-    sent = df.mapInArrow(parts, schema)
-    tasks = min(16, -(-bins // chunk))
     total = np.zeros(bins, np.int64)
-    for row in sent.repartition(tasks, "at").mapInArrow(add, schema).collect():
+    sent = chunks.select("at", "counts").repartition(tasks, "at")
+    for row in sent.mapInArrow(add, "at int, counts binary").collect():
         got = np.frombuffer(row["counts"], "<i8")
-        total[row["at"] : row["at"] + len(got)] += got
+        total[row["at"] : row["at"] + len(got)] = got
     return total
+
+
+def histogram_sum(
+    df: DataFrame, count: Callable[[Iterator[pa.RecordBatch]], np.ndarray], bins: int
+) -> np.ndarray:
+    """Sum one fixed-size histogram per partition over all partitions.
+
+    ``count`` turns a partition's batches into an int64 array of ``bins`` counts.
+    """
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, blobs = histogram_chunks(count(batches))
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(blobs, pa.binary())], ["at", "counts"])
+
+    return add_chunks(df.mapInArrow(parts, "at int, counts binary"), bins, tasks=min(16, -(-bins // 4096)))
+
+
+def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partition's edges as a star forest: (node, smallest node it reaches)."""
+    parent: dict = {}
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    kind = None
+    for b in batches:
+        kind = b.schema.field(0).type
+        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            x, y = find(parent.setdefault(x, x)), find(parent.setdefault(y, y))
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+    if kind is not None:
+        nodes = [x for x in parent if parent[x] != x]
+        roots = pa.array([find(x) for x in nodes], kind)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), roots], ["hi", "lo"])
+
+
+def components(edges: DataFrame, name: str) -> DataFrame:
+    """(node, component) of every node of ``edges`` (a, b) that is not its component's smallest node.
+
+    Alternating large-star and small-star steps: every step hangs each node's
+    neighbours below the smallest of them, until nothing changes. Each step's edges are
+    written to the shared folder; a node with many edges only adds rows to hash
+    aggregates and equi-joins.
+    """
+    kind = edges.schema["a"].dataType.simpleString()
+    ends = edges.where("a is not null and b is not null and a != b").select(F.greatest("a", "b"), F.least("a", "b"))
+    now = stored(ends.mapInArrow(_local_forest, f"hi {kind}, lo {kind}").distinct(), name)
+    mark = None
+    while True:
+        row = now.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
+        if row == mark:
+            return now.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
+        mark = row
+        both = now.select("hi", "lo").union(now.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
+        least = both.groupBy("hi").agg(F.min("lo").alias("least")).withColumn("least", F.least("hi", "least"))
+        large = both.where("lo > hi").join(least, "hi").select(F.col("lo").alias("hi"), F.col("least").alias("lo"))
+        large = large.where("hi != lo").distinct()
+        least = large.groupBy("hi").agg(F.min("lo").alias("least"))
+        small = large.join(least, "hi").select(F.col("lo").alias("hi"), F.col("least").alias("lo")).where("hi != lo")
+        now = stored(small.union(least.select("hi", "least")).distinct(), name)

@@ -91,32 +91,33 @@ def host_bounds(outcomes: DataFrame, prior: Prior | None = None) -> DataFrame:
     )
     domain = host.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
     suffix = domain.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
-    top = suffix.agg(F.sum("n").alias("n"), F.sum("x").alias("x")).select(
-        ((F.col("x") + 0.5) / (F.col("n") + 1.0)).alias("m")
-    )
+    rate = (F.sum("x") + 0.5) / (F.sum("n") + 1.0)
+    top = suffix.agg(rate.alias("m")).scalar()
 
     def spread(of: Column) -> Column:
         """n times the squared distance of a node's rate to ``of``; nodes without labels add nothing."""
         return F.when(F.col("n") > 0, F.col("n") * F.pow(F.col("x") / F.nullif(F.col("n"), F.lit(0)) - of, 2))
 
-    def shrink(nodes: DataFrame, above: DataFrame, keys: list[str]) -> DataFrame:
-        """Posterior mean of each node under its parent's mean ``m``; keeps the prior's strength as ``k``."""
-        both = nodes.join(above, keys) if keys else nodes.join(F.broadcast(above))  # the top is one row
-        fitted = both.groupBy(*keys).agg(
+    def fit(children: DataFrame, keys: list[str]) -> DataFrame:
+        """(keys, pm, k): a parent's mean and the strength of the prior it gives its children."""
+        sums = children.groupBy(*keys).agg(
             F.max("m").alias("pm"), F.sum("n").alias("pn"), F.sum(F.when(F.col("n") > 0, 1)).alias("pc"),
             F.coalesce(F.sum(spread(F.col("m"))), F.lit(0.0)).alias("ps"),
-        )
-        fitted = fitted.select(
-            *keys, "pm",
-            F.when(F.col("pn") > 0, _strength(F.col("pm"), F.col("ps"), F.nullif(F.col("pn"), F.lit(0)), F.col("pc"), p))
-            .otherwise(F.lit(p.most_strength)).alias("k"),
-        )
-        out = nodes.join(fitted, keys) if keys else nodes.join(F.broadcast(fitted))
-        return out.withColumn("m", (F.col("x") + F.col("k") * F.col("pm")) / (F.col("n") + F.col("k"))).drop("pm")
-
-    suffix = shrink(suffix, top, [])
-    domain = shrink(domain, suffix.select("suffix", "m"), ["suffix"])
-    host = shrink(host, domain.select("suffix", "domain", "m"), ["suffix", "domain"])
+        )
+        strength = _strength(F.col("pm"), F.col("ps"), F.nullif(F.col("pn"), F.lit(0)), F.col("pc"), p)
+        return sums.select(*keys, "pm", F.when(F.col("pn") > 0, strength).otherwise(F.lit(p.most_strength)).alias("k"))
+
+    def posterior(nodes: DataFrame) -> DataFrame:
+        return nodes.withColumn("m", (F.col("x") + F.col("k") * F.col("pm")) / (F.col("n") + F.col("k"))).drop("pm")
+
+    def shrink(nodes: DataFrame, above: DataFrame, keys: list[str]) -> DataFrame:
+        """Posterior mean ``m`` of each node under its parent's; keeps the prior's strength as ``k``."""
+        return posterior(nodes.join(fit(nodes.join(above.select(*keys, "m"), keys), keys), keys))
+
+    first = fit(suffix.withColumn("m", top), [])
+    suffix = posterior(suffix.withColumns({c: first.select(c).scalar() for c in ("pm", "k")}))
+    domain = shrink(domain, suffix, ["suffix"])
+    host = shrink(host, domain, ["suffix", "domain"])
     sd = F.sqrt(F.col("m") * (1 - F.col("m")) / (F.col("n") + F.col("k") + 1))
     return host.select("host", F.col("n").alias("n_labelled"), (F.col("m") - p.z * sd).alias("bound"))
 

@@ -8,7 +8,17 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabforge.llm import bpe, flow_mix, host_reputation, html_extract, hyperdim_langid, license_scan, quality_llr, sharding
+from tabforge.llm import (
+    bpe,
+    flow_mix,
+    host_reputation,
+    html_extract,
+    hyperdim_langid,
+    jaccard_join,
+    license_scan,
+    quality_llr,
+    sharding,
+)
 from tabforge.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,6 +104,11 @@ def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under word 5-gram Jaccard similarity of 0.75 or more."""
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to the sources' weights; a document belongs to the source it names."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -112,7 +127,32 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     q.__name__: q
-    for q in (op1_sharding, op3_url_filter, op4_bpe, op5_license_scan, op6_quality, op7_language_id, op8_html_extract, op10_mix)
+    for q in (
+        op1_sharding, op3_url_filter, op4_bpe, op5_license_scan, op6_quality, op7_language_id, op8_html_extract,
+        op9_jaccard, op10_mix,
+    )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+_OP9_SQL = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS g FROM w
+), n AS (
+  SELECT doc_id, count(g) AS n FROM s GROUP BY doc_id
+), o AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+), l AS (
+  SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 75 * (x.n + y.n - o)
+), r(doc_id, c) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.doc_id
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
+JOIN (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id) c ON c.doc_id = d.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op9_jaccard": _OP9_SQL}
