@@ -18,6 +18,7 @@ from tabforge.llm import (
     license_scan,
     quality_llr,
     sharding,
+    subspace_join,
 )
 from tabforge.llm.common import table
 
@@ -51,6 +52,11 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_subspace_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, component and whether it is kept for every embedding (cosine 0.98, equal labels)."""
+    return subspace_join.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A verdict for every page's url: path rules, else the host's reputation."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -128,13 +134,30 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
-        op1_sharding, op3_url_filter, op4_bpe, op5_license_scan, op6_quality, op7_language_id, op8_html_extract,
-        op9_jaccard, op10_mix,
+        op1_sharding, op2_subspace_join, op3_url_filter, op4_bpe, op5_license_scan, op6_quality, op7_language_id,
+        op8_html_extract, op9_jaccard, op10_mix,
     )
 }
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
+_OP2_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false)))
+    AND list_bool_or(list_transform(embedding, lambda x: x <> 0))
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+), r(vec_id, c) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.vec_id
+)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) n ON n.a = e.vec_id
+JOIN (SELECT vec_id, min(c) AS component_id FROM r GROUP BY vec_id) c ON c.vec_id = e.vec_id
+"""
+
 _OP9_SQL = rf"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x20\x09-\x0D]+') AS ws FROM documents
@@ -155,4 +178,4 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
 JOIN (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id) c ON c.doc_id = d.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op9_jaccard": _OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_subspace_join": _OP2_SQL, "op9_jaccard": _OP9_SQL}
