@@ -158,6 +158,95 @@ FROM embeddings e LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) n ON n.a
 JOIN (SELECT vec_id, min(c) AS component_id FROM r GROUP BY vec_id) c ON c.vec_id = e.vec_id
 """
 
+_FITS = "(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
+_BY_LENGTH = sorted(URL_RULES, key=lambda r: (-len(r.text), r.text))
+_URL_RULE = " ".join(f"WHEN {_FITS.format(h=r.host, p=r.path)} THEN '{r.text}'" for r in _BY_LENGTH)
+_URL_VERDICT = " ".join(f"WHEN '{r.text}' THEN '{r.verdict}'" for r in _BY_LENGTH)
+_PRIOR = host_reputation.Prior()
+
+
+def _fit_sql(children: str, parents: str, keys: str) -> str:
+    """A parent's mean and the strength of the prior that it gives its children."""
+    using = f"JOIN {parents} USING ({keys})" if keys else f", {parents}"
+    by = f"GROUP BY {keys}" if keys else ""
+    return f"""
+  SELECT {keys + ',' if keys else ''} pm, CASE WHEN pn > 0 THEN
+      greatest({_PRIOR.least_strength}, least({_PRIOR.most_strength}, coalesce(
+        CASE WHEN ps / pn - pm * (1 - pm) * pc / pn > 0
+          THEN (pm * (1 - pm) - ps / pn) / (ps / pn - pm * (1 - pm) * pc / pn) END, {_PRIOR.most_strength})))
+    ELSE {_PRIOR.most_strength} END AS k
+  FROM (SELECT {keys + ',' if keys else ''} max(m) AS pm, sum(n) AS pn, count(*) FILTER (n > 0) AS pc,
+      coalesce(sum(CASE WHEN n > 0 THEN n * power(x / nullif(n, 0) - m, 2) END), 0) AS ps
+    FROM {children} {using} {by})"""
+
+
+_OP3_SQL = rf"""
+WITH u AS (
+  SELECT page_id, coalesce(translate(regexp_extract(url, '{host_reputation.URL_PATTERN}', 1), {_AZ}), '') AS host,
+    coalesce(regexp_extract(url, '{host_reputation.URL_PATTERN}', 2), '') AS path FROM pages
+), u2 AS (SELECT *, CASE {_URL_RULE} END AS rule FROM u
+), u3 AS (SELECT *, CASE rule {_URL_VERDICT} END AS verdict FROM u2
+), h AS (
+  SELECT host, string_split(host, '.')[-1] AS suffix, regexp_extract(host, '([^.]*\.)?[^.]*$') AS domain,
+    count(verdict)::DOUBLE AS n, (count(*) FILTER (verdict = 'block'))::DOUBLE AS x FROM u3 GROUP BY host
+), d AS (SELECT suffix, domain, sum(n) AS n, sum(x) AS x FROM h GROUP BY ALL
+), s AS (SELECT suffix, sum(n) AS n, sum(x) AS x FROM d GROUP BY ALL
+), t AS (SELECT (sum(x) + 0.5) / (sum(n) + 1.0) AS m FROM s
+), ft AS ({_fit_sql('s', 't', '')}
+), s2 AS (SELECT suffix, (x + k * pm) / (n + k) AS m FROM s, ft
+), fs AS ({_fit_sql('d', 's2', 'suffix')}
+), d2 AS (SELECT suffix, domain, (x + k * pm) / (n + k) AS m FROM d JOIN fs USING (suffix)
+), fd AS ({_fit_sql('h', 'd2', 'suffix, domain')}
+), h2 AS (SELECT host, n, k, (x + k * pm) / (n + k) AS m FROM h JOIN fd USING (suffix, domain))
+SELECT page_id, host, path, rule, n::BIGINT AS n_labelled,
+  coalesce(verdict, CASE WHEN m - {_PRIOR.z} * sqrt(m * (1 - m) / (n + k + 1)) > {_PRIOR.limit} THEN 'block' ELSE 'allow' END)
+    AS verdict
+FROM u3 JOIN h2 USING (host)
+"""
+
+
+def _phrase_sql(phrase: str) -> str:
+    words = phrase.split()
+    here = " AND ".join(f"ws[i + {k + 1}] = '{w}'" for k, w in enumerate(words))
+    return f"list_filter(range(len(ws) - {len(words) - 1}), lambda i: {here})"
+
+
+_TEMPLATE_ROWS = ", ".join(
+    f"('{label}', [{', '.join(repr(w.decode()) for w in sorted(set(license_scan.fold(t).split())))}])"
+    for label, texts in license_scan.TEMPLATES.items() for t in texts
+)
+_LICENSE_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+_OP5_SQL = rf"""
+WITH t(label, tw) AS (VALUES {_TEMPLATE_ROWS}), low AS (
+  SELECT doc_id, translate(coalesce(text, ''), {_AZ}) AS text FROM documents
+), w AS (SELECT doc_id, regexp_extract_all(text, '{_LICENSE_WORD}') AS ws FROM low
+), p AS (
+  SELECT doc_id, len(ws) AS n_words, {_phrase_sql('cc by')} AS a, {_phrase_sql('general public license')} AS b,
+    {_phrase_sql('all rights reserved')} AS c FROM w
+), l AS (
+  SELECT doc_id, row_number() OVER () AS line, list_distinct(regexp_extract_all(x, '{_LICENSE_WORD}')) AS ws
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM low)
+), m AS (
+  SELECT doc_id, line, label, tw, len(list_intersect(ws, tw)) / len(tw) AS c FROM l JOIN t
+    ON len(list_intersect(ws, tw)) >= greatest(1, ceil(0.9 * len(tw) - 1e-9))
+), best AS (
+  SELECT doc_id, max(c) AS c, list(DISTINCT label) AS labels FROM m
+  WHERE NOT EXISTS (SELECT 1 FROM m o WHERE o.doc_id = m.doc_id AND o.line = m.line AND len(o.tw) > len(m.tw)
+    AND len(list_intersect(o.tw, m.tw)) = len(m.tw))
+  GROUP BY doc_id
+), q AS (
+  SELECT *, a || b || c AS places, list_filter(['cc-by', 'gpl', 'reserved'],
+    lambda x: x = CASE WHEN len(a) > 0 THEN 'cc-by' END OR x = CASE WHEN len(b) > 0 THEN 'gpl' END
+      OR x = CASE WHEN len(c) > 0 THEN 'reserved' END) AS base FROM p
+)
+SELECT q.doc_id, n_words, len(places) AS n_base, list_min(places) AS first_word, list_max(places) AS last_word,
+  array_to_string(base, ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(base || coalesce(best.labels, []))), ',') AS labels,
+  coalesce(best.c, CASE WHEN len(places) > 0 THEN 1.0 ELSE 0.0 END) AS score
+FROM q LEFT JOIN best ON best.doc_id = q.doc_id
+"""
+
 _OP9_SQL = rf"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x20\x09-\x0D]+') AS ws FROM documents
@@ -178,4 +267,6 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
 JOIN (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id) c ON c.doc_id = d.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_subspace_join": _OP2_SQL, "op9_jaccard": _OP9_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op2_subspace_join": _OP2_SQL, "op3_url_filter": _OP3_SQL, "op5_license_scan": _OP5_SQL, "op9_jaccard": _OP9_SQL,
+}
