@@ -62,7 +62,7 @@ def score_models(trained: Sequence[TrainedModel], test: DataFrame, task: str, *,
             for m, v in mets.items():
                 rows.append((t.name, order, "success", m, None if v is None else float(v), None, t.train_time_ms))
         except Exception as e:  # noqa: BLE001 — scoring one model must not stop the others
-            rows.append((t.name, order, "failed", None, None, f"scoring failed: {e}"[:2000], t.train_time_ms))
+            rows.append((t.name, order, "failed", None, None, f"scoring failed: {e}", t.train_time_ms))
         finally:
             if pred is not None:
                 pred.unpersist()

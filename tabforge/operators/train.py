@@ -3,7 +3,11 @@
 Every spec builds a distributed estimator from the training statistics it needs
 (row count, label spread). One failure becomes a ``failed`` model and never
 stops the others. The feature matrix is assembled and cached once; each spec is
-its own set of Spark jobs.
+its own set of Spark jobs, and a few specs run at a time.
+
+What a fit costs may be bounded with ``max_fit_rows``: the labelled rows with the
+smallest key hashes. It is off unless asked for, and nothing else depends on the
+number of rows.
 
 Regularisation is mapped so results equal the reference's objective:
 logistic ``regParam = 1/(C·n)``; ridge ``regParam = α·σ_y/n``; lasso
@@ -16,6 +20,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -29,6 +34,7 @@ from pyspark.ml.classification import (
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -102,7 +108,7 @@ def _gbt(cls, ctx, ov, hist: bool):
         p = _p({}, ov, maxIter=200, stepSize=0.1, maxDepth=3, maxBins=32)
     kw = dict(maxIter=p["maxIter"], stepSize=p["stepSize"], maxDepth=p["maxDepth"], maxBins=p["maxBins"],
               seed=DEFAULT_SEED)
-    if hist and ctx.get("n", 0) > 10_000:  # early stopping "auto": on above 10 000 rows
+    if hist and ctx.get("early_stopping"):
         kw.update(validationIndicatorCol="_valid", validationTol=1e-7)
     est = cls(**kw)
     if cls is GBTClassifier and ctx.get("n_classes", 2) > 2:
@@ -241,45 +247,56 @@ def _label_stats(train: DataFrame, task: str) -> dict[str, Any]:
     return {"n": r["n"], "sd_y": r["sd"] or 0.0}
 
 
+def _fit(spec: AlgoSpec, data: DataFrame, ctx: dict[str, Any], *, id_col: str, override: dict, weight_col: str | None,
+         k_neighbors: int) -> TrainedModel:
+    """Fit one spec; an error becomes a failed model."""
+    start = time.perf_counter()
+    out = TrainedModel(spec.name, spec.task, "success", 0, classes=ctx.get("classes"))
+    try:
+        est = spec.build(ctx, override)
+        if est == KNN:
+            out.model, out.k = KNN, k_neighbors
+            out.knn_train = data.select(F.col(id_col).alias("id"), vector_to_array("features").alias("vec"),
+                                        F.col("_label").alias("label"))
+        else:
+            est = est.setFeaturesCol("features").setLabelCol("_label")
+            if weight_col and spec.supports_weight and hasattr(est, "setWeightCol"):
+                est = est.setWeightCol(weight_col)
+            out.model = est.fit(data)
+    except Exception as e:  # noqa: BLE001 — one failing algorithm must not stop the others
+        out.status, out.error = "failed", str(e)
+    out.train_time_ms = int((time.perf_counter() - start) * 1000)
+    return out
+
+
 def train_all(specs: Sequence[AlgoSpec], train: DataFrame, task: str, *, id_col: str, overrides: dict | None = None,
-              weight_col: str | None = None, k_neighbors: int = 5) -> list[TrainedModel]:
-    """Fit every spec on ``train`` (id, features vector, label[, weight]); failures isolated."""
+              weight_col: str | None = None, k_neighbors: int = 5, early_stopping: bool = False,
+              max_fit_rows: int | None = None, at_once: int = 4) -> list[TrainedModel]:
+    """Fit every spec on ``train`` (id, features vector, label[, weight]); failures isolated.
+
+    ``early_stopping`` holds a tenth of the rows (by key hash) out of histogram
+    boosting and stops it when they no longer gain. ``max_fit_rows`` fits on at most
+    that many rows. ``at_once`` specs are submitted together; results keep the order.
+    """
     overrides = overrides or {}
-    ctx = _label_stats(train, task)
-    classes = ctx.get("classes")
-    data = train
+    if max_fit_rows is not None:
+        train = train.orderBy(hash32(F.col(id_col), "fit"), id_col).limit(max_fit_rows)
+    # every spec reads the same matrix: materialise it once (recomputable on executor loss)
+    train = train.persist()
+    ctx = _label_stats(train, task) | {"early_stopping": early_stopping}
     if task == "classification":
-        idx = F.create_map(*[x for i, v in enumerate(classes) for x in (F.lit(v), F.lit(float(i)))])
-        data = data.withColumn("_label", idx[F.col("label")])
+        idx = F.create_map(*[x for i, v in enumerate(ctx["classes"]) for x in (F.lit(v), F.lit(float(i)))])
+        data = train.withColumn("_label", idx[F.col("label")])
     else:
-        data = data.withColumn("_label", F.col("label").cast("double"))
-    if ctx["n"] > 10_000:
+        data = train.withColumn("_label", F.col("label").cast("double"))
+    if early_stopping:
         data = data.withColumn("_valid", (hash32(F.col(id_col), "valid") % 10) == 0)
-    # every spec reads the same matrix: materialise it once (recomputable on executor loss)
-    data = data.persist()
-    data.count()
-    results: list[TrainedModel] = []
-    for spec in specs:
-        start = time.perf_counter()
-        try:
-            est = spec.build(ctx, overrides.get(spec.name, {}))
-            if est == KNN:
-                kt = data.select(F.col(id_col).alias("id"), vector_to_array("features").alias("vec"),
-                                 F.col("_label").alias("label"))
-                model = KNN
-                tm = TrainedModel(spec.name, task, "success", 0, model, classes=classes, knn_train=kt, k=k_neighbors)
-            else:
-                est = est.setFeaturesCol("features").setLabelCol("_label") if hasattr(est, "setFeaturesCol") else est
-                if isinstance(est, OneVsRest):
-                    est = est.setFeaturesCol("features").setLabelCol("_label")
-                if weight_col and spec.supports_weight and hasattr(est, "setWeightCol"):
-                    est = est.setWeightCol(weight_col)
-                model = est.fit(data)
-                tm = TrainedModel(spec.name, task, "success", 0, model, classes=classes)
-            tm.train_time_ms = int((time.perf_counter() - start) * 1000)
-            results.append(tm)
-        except Exception as e:  # noqa: BLE001 — one failing algorithm must not stop the others
-            results.append(TrainedModel(spec.name, task, "failed", int((time.perf_counter() - start) * 1000),
-                                        error=str(e)[:2000], classes=classes))
-    data.unpersist()  # fitted models no longer need it; a kNN model recomputes it from lineage
+
+    def fit(spec: AlgoSpec) -> TrainedModel:
+        return _fit(spec, data, ctx, id_col=id_col, override=overrides.get(spec.name, {}), weight_col=weight_col,
+                    k_neighbors=k_neighbors)
+
+    with ThreadPoolExecutor(max_workers=max(1, min(at_once, len(specs)))) as pool:
+        results = list(pool.map(inheritable_thread_target(train.sparkSession)(fit), specs))
+    train.unpersist()  # fitted models no longer need it; a kNN model recomputes it from lineage
     return results

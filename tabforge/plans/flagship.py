@@ -9,8 +9,6 @@ from tabforge.plans.standins import standin
 from tabforge.plans.training_run import run_training
 
 FLAGSHIP_ALGORITHMS = ("logistic_regression", "decision_tree", "random_forest", "kneighbors")
-FLAGSHIP_OVERRIDES = {"decision_tree": {"maxDepth": 6}, "random_forest": {"numTrees": 10, "maxDepth": 6},
-                      "logistic_regression": {"maxIter": 100}}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,4 +20,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
         algorithms=FLAGSHIP_ALGORITHMS,
         preprocessing=PreprocessingConfig(outlier="iqr_clip", datetime_decompose=True,
                                           datetime_parts=("hour", "weekday", "is_weekend")))
-    return run_training(ev, cfg, overrides=FLAGSHIP_OVERRIDES).leaderboard
+    return run_training(ev, cfg).leaderboard

@@ -31,7 +31,7 @@ def build_matrix(df: DataFrame, *, id_col: str, target: str, task: str, excluded
         sp, _ = split_stratified(df, id_col, target, test_size)
     else:
         sp = split_random(df, id_col, test_size)
-    num, cat, dt, bl = PP.split_roles_v2(df, target, [id_col, *excluded])
+    num, cat, dt, bl = PP.columns_by_role(df, target, [id_col, *excluded])
     pre = PP.Preprocessor(config or PreprocessingConfig(), num, cat, dt, bl).plan_routing(df)
     model = pre.fit(sp.where(~F.col("is_test")))
     mat = model.transform(sp, keep=[id_col, "is_test", target])

@@ -212,7 +212,7 @@ SELECT name, source, kind, row_number() OVER (ORDER BY grp, sub) - 1 AS feature_
 def q_derived_features(spark, sf):
     """Derived feature list without fitting (one-hot values from the full data)."""
     ev = _ev(spark, sf)
-    num, cat, dt, bl = PP.split_roles_v2(ev, "target", ["event_id", "ts"])
+    num, cat, dt, bl = PP.columns_by_role(ev, "target", ["event_id", "ts"])
     return PP.derived_features(ev, cat, dt, bl, _DF_CFG, {c: "onehot" for c in cat})
 
 
@@ -223,7 +223,7 @@ SELECT 4 AS n_cols_in, 1 + count(DISTINCT p_brand) + count(DISTINCT p_type) + 1
 def q_feature_preview(spark, sf):
     """No-fit preprocessing summary: input/output column counts and downgrades."""
     part = table(spark, sf, "part")
-    num, cat, dt, bl = PP.split_roles_v2(part, "p_retailprice", ["p_partkey"])
+    num, cat, dt, bl = PP.columns_by_role(part, "p_retailprice", ["p_partkey"])
     return PP.feature_preview(part, num, cat, dt, bl, PreprocessingConfig())
 
 
@@ -243,7 +243,7 @@ FROM (SELECT DISTINCT event_type FROM s_ev WHERE event_type IS NOT NULL)"""))
 def q_feature_schema(spark, sf):
     """Feature schema (roles, derived features, categories) as rows."""
     ev = _ev(spark, sf)
-    num, cat, dt, bl = PP.split_roles_v2(ev, "target", ["event_id", "ts"])
+    num, cat, dt, bl = PP.columns_by_role(ev, "target", ["event_id", "ts"])
     schema = PP.build_feature_schema(ev, num, cat, dt, bl, "target", _DF_CFG)
     return PP.feature_schema_rows(ev, schema)
 
@@ -344,7 +344,7 @@ def q_design_matrix(spark, sf):
     mode → one-hot; datetime parts + median; bool 0/1) applied to every row."""
     ev = _ev(spark, sf)
     sp = split_random(ev, "event_id", 0.2)
-    num, cat, dt, bl = PP.split_roles_v2(ev, "target", ["event_id", "ts"])
+    num, cat, dt, bl = PP.columns_by_role(ev, "target", ["event_id", "ts"])
     pre = PP.Preprocessor(_DM_CFG, num, cat, dt, bl).plan_routing(ev)
     model = pre.fit(sp.where(~F.col("is_test")))
     out = model.transform(sp, keep=["event_id", "is_test"])

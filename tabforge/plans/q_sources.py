@@ -98,7 +98,7 @@ def q_bundle(spark, sf):
         raise RuntimeError(res.error)
     pm = PipelineModel(stages=[res.model])
     part = table(spark, sf, "part")
-    num, cat, dt, bl = PP.split_roles_v2(part, "p_retailprice", ["p_partkey"])
+    num, cat, dt, bl = PP.columns_by_role(part, "p_retailprice", ["p_partkey"])
     schema = PP.build_feature_schema(part, num, cat, dt, bl, "p_retailprice", PreprocessingConfig())
     path = scratch_path(spark, "bundle")
     BD.save_bundle(spark, path, model=pm, pre=mx.model, schema=schema, metrics={"status": "success"})

@@ -43,7 +43,7 @@ def run_training(df: DataFrame, cfg: TrainingConfig, *, overrides: dict | None =
     metric_key = cfg.metric_key or specs[0].default_metric
     if metric_key not in M.METRIC_DIRECTIONS:
         raise ValueError(f"unknown metric: {metric_key}")
-    num, cat, dt, bl = PP.split_roles_v2(df, cfg.target_column, [key, *cfg.excluded_columns])
+    num, cat, dt, bl = PP.columns_by_role(df, cfg.target_column, [key, *cfg.excluded_columns])
     data = df.where(F.col(cfg.target_column).isNotNull())
     if pcfg.numeric_impute == "drop_rows":
         data = PP.drop_missing_rows(data, num)
