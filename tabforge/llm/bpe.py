@@ -23,7 +23,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabforge.llm.common import fresh_name, stored
+from tabforge.llm.common import fresh_name, pieces, stored
 
 # Fixed value: the pattern by which byte-level BPE splits text before merging.
 BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -134,7 +134,7 @@ def encode_texts(
     @F.arrow_udf("binary")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = vocabulary(path)
-        for batch in batches:
+        for batch in pieces(batches):
             yield pa.array([_packed(own.encode(t, leaf_chars)) if t else b"" for t in batch.to_pylist()], pa.binary())
 
     def join(key: tuple, group: pa.Table) -> pa.Table:
@@ -150,11 +150,11 @@ def encode_texts(
     short = docs.where(~is_long).select(*names, encode(source).alias("ids"))
     # Numbered once and written, so that a row keeps its number whatever is computed again.
     long = stored(docs.where(is_long).select(*docs.columns, F.monotonically_increasing_id().alias(row)), "long-texts")
-    pieces = F.transform(
+    cut = F.transform(
         F.sequence(F.lit(0), F.ceil(F.length(source) / spread_chars).cast("int") - 1),
         lambda i: F.substring(source, i * spread_chars + 1, F.lit(spread_chars)),
     )
-    parts = long.select(F.col(row).alias("row"), F.posexplode(pieces).alias("part", "piece"))
+    parts = long.select(F.col(row).alias("row"), F.posexplode(cut).alias("part", "piece"))
     parts = parts.repartition("row", "part").select("row", "part", encode(F.col("piece")).alias("ids"))
     joined = parts.groupBy("row").applyInArrow(join, "row long, ids binary")
     joined = joined.select(F.col("row").alias(row), F.col("ids").alias(got))
@@ -167,7 +167,7 @@ def decode_ids(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     @F.arrow_udf("string")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = vocabulary(path)
-        for batch in batches:
+        for batch in pieces(batches):
             yield pa.array([own.decode(np.frombuffer(b or b"", "<u4")) for b in batch.to_pylist()], pa.string())
 
     names = [c for c in df.columns if c.lower() != "decoded"]

@@ -53,6 +53,13 @@ def fresh_name(df: DataFrame, base: str) -> str:
     return name
 
 
+def pieces(batches: Iterator, rows: int = 256) -> Iterator:
+    """Arrow batches or arrays in short pieces, so that a task holds few texts and results as Python objects."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser for 64-bit hashes."""
     h = h ^ (h >> np.uint64(31))
