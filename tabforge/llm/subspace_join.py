@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabforge.llm.common import add_chunks, components, histogram_chunks, mixed, stored
+from tabforge.llm.common import add_chunks, components, histogram_chunks, mixed, pieces, stored
 
 
 @dataclass(frozen=True)
@@ -42,7 +42,7 @@ class SubspaceParams:
     block_dims: int = 8
     cube: float = 4.0
     seed: int = 5
-    entries: int = 400_000
+    entries: int = 250_000
     hot: int = 100_000
     sketch_bits: int = 18
     tile: int = 512
@@ -123,14 +123,20 @@ def _unit(v: list | None) -> np.ndarray | None:
 
 
 def _entry(dims: int) -> np.dtype:
-    return np.dtype([("g", "<u8"), ("i", "S16"), ("home", "?"), ("x", "<f8", (dims,))])
+    """A vector in a cube. Single precision is enough to look for partners; ``verified`` has all digits."""
+    return np.dtype([("g", "<u8"), ("i", "S16"), ("home", "?"), ("x", "<f4", (dims,))])
+
+
+def hash_of(i: bytes) -> int:
+    """A number from an id whose trailing zeros were cut."""
+    return int.from_bytes(i[:8].ljust(8, b"\0"), "little")
 
 
 def _label_hash(label: str) -> int:
     return int.from_bytes(hashlib.blake2b(label.encode(), digest_size=8).digest(), "little")
 
 
-def _batches_of_vectors(batch: pa.RecordBatch, p: SubspaceParams) -> Iterator[tuple]:
+def _vectors_of(batch: pa.RecordBatch, p: SubspaceParams) -> Iterator[tuple]:
     """(subspaces, ids, label hashes, rotated) per vector length of a batch of (d, label, x)."""
     ids = batch.column(0).to_pylist()
     labels = np.array([_label_hash(x) for x in batch.column(1).to_pylist()], np.uint64)
@@ -173,8 +179,8 @@ class _Join:
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts = np.zeros(bins, np.int64)
-            for b in batches:
-                for space, _, labels, x in _batches_of_vectors(b, p):
+            for b in pieces(batches, 1024):
+                for space, _, labels, x in _vectors_of(b, p):
                     for k in range(len(space.blocks)):
                         for _, keys, _ in space.cubes(x, labels, k):
                             np.add.at(counts, (keys >> np.uint64(64 - p.sketch_bits)).astype(np.int64), 1)
@@ -186,37 +192,32 @@ class _Join:
         hot = sketch > p.hot
 
         def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                rows: dict[str, list] = {"part": [], "dims": [], "block": [], "entries": [], "d": [], "g": []}
-
-                def add(**values) -> None:
-                    for name, column in rows.items():  # noqa: B023
-                        column.append(values.get(name))
-
-                for space, ids, labels, x in _batches_of_vectors(b, p):
+            for b in pieces(batches, 1024):
+                rows: list[tuple] = []
+                for space, ids, labels, x in _vectors_of(b, p):
                     packed = np.array(ids, "S16")
                     for k, own in enumerate(space.blocks):
-                        pieces = []
+                        made = []
                         for at, keys, home in space.cubes(x, labels, k):
                             e = np.empty(len(at), _entry(len(own)))
                             e["g"], e["i"], e["home"], e["x"] = keys, packed[at], home, x[at][:, own]
-                            pieces.append(e)
-                        e = np.concatenate(pieces)
-                        is_hot = hot[(e["g"] >> np.uint64(64 - p.sketch_bits)).astype(np.int64)]
-                        for g, i in zip(e["g"][is_hot].view("<i8").tolist(), e["i"][is_hot].tolist(), strict=True):
-                            add(g=g, d=i.ljust(16, b"\0"))
-                        e = e[~is_hot]
+                            made.append(e)
+                        e = np.concatenate(made)
+                        # a cube that may be hot is dealt out by vector; its entries need no look at each other
                         part = (e["g"] % np.uint64(parts)).astype(np.int64)
+                        is_hot = hot[(e["g"] >> np.uint64(64 - p.sketch_bits)).astype(np.int64)]
+                        part[is_hot] = parts + np.array([hash_of(i) % parts for i in e["i"][is_hot].tolist()], np.int64)
                         order = np.argsort(part, kind="stable")
                         e, part = e[order], part[order]
-                        starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(e) else []
+                        starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
                         for a, z in zip(starts, [*starts[1:], len(e)], strict=True):
-                            add(part=int(part[a]), dims=space.d, block=k, entries=e[a:z].tobytes())
-                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64()]
-                columns = [pa.array(c, t) for c, t in zip(rows.values(), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, list(rows))
+                            rows.append((int(part[a]), space.d, k, e[a:z].tobytes()))
+                columns = list(zip(*rows, strict=True)) if rows else [()] * 4
+                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+                arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, ["part", "dims", "block", "entries"])
 
-        def find(_: tuple, group: pa.Table) -> pa.Table:
+        def find(key: tuple, group: pa.Table) -> pa.Table:
             g_out, d_out = [], []
             dims, block = group.column("dims").to_numpy(), group.column("block").to_numpy()
             blobs = group.column("entries").to_pylist()
@@ -225,21 +226,19 @@ class _Join:
                 own = np.flatnonzero((dims == d) & (block == k))
                 e = np.frombuffer(b"".join(blobs[i] for i in own), _entry(len(space.blocks[k])))
                 e = e[np.argsort(e["g"], kind="stable")]
+                hit = np.full(len(e), key[0].as_py() >= parts)
                 edges = np.flatnonzero(np.r_[True, e["g"][1:] != e["g"][:-1], True])
                 for a, z in zip(edges, edges[1:], strict=False):
-                    if z - a > 1 and e["home"][a:z].any():
-                        hit = _near_any(e["x"][a:z], e["home"][a:z], space.radius2[k])
-                        g_out.append(e["g"][a:z][hit].view("<i8"))
-                        d_out += [i.ljust(16, b"\0") for i in e["i"][a:z][hit].tolist()]
+                    if z - a > 1 and not hit[a] and e["home"][a:z].any():
+                        hit[a:z] = _near_any(e["x"][a:z], e["home"][a:z], space.radius2[k] * (1 + 1e-4) + 1e-6)
+                g_out.append(e["g"][hit].view("<i8"))
+                d_out += [i.ljust(16, b"\0") for i in e["i"][hit].tolist()]
             g = np.concatenate(g_out) if g_out else np.empty(0, np.int64)
             return pa.table({"g": pa.array(g, pa.int64()), "d": pa.array(d_out, pa.binary())})
 
-        dealt = stored(
-            vectors.mapInArrow(deal, "part long, dims int, block int, entries binary, d binary, g long"), "subspace-cubes"
-        )
-        cold = dealt.where("part is not null").select("part", "dims", "block", "entries")
-        found = cold.groupBy("part").applyInArrow(find, "g long, d binary")
-        return stored(found.union(dealt.where("part is null").select("g", "d")).distinct(), "subspace-groups")
+        dealt = vectors.mapInArrow(deal, "part long, dims int, block int, entries binary")
+        found = dealt.groupBy("part").applyInArrow(find, "g long, d binary")
+        return stored(found.distinct(), "subspace-groups")
 
     def verified(self, groups: DataFrame, vectors: DataFrame) -> DataFrame:
         """(d, n, other): links of d (weighted by the partners' counts), or an edge to ``other`` with n = 0."""
@@ -323,7 +322,7 @@ def link_vectors(
     p = params or SubspaceParams()
 
     def normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, 1024):
             labels = b.column(2).to_pylist()
             units = [None if x is None else _unit(v) for v, x in zip(b.column(1).to_pylist(), labels, strict=True)]
             blobs = [None if u is None else (u + 0.0).tobytes() for u in units]
