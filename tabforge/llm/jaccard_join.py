@@ -17,9 +17,11 @@ needed:
    keeping pairs of different components that pass the size bound and the positional
    bound (what may still follow the shared column must reach the overlap needed).
 
-Candidate pairs are multiplied out over all their columns, block by block, and pairs
-below the overlap that their sizes demand are discarded. Every link is found, or its
-ends are connected by other links.
+Candidate pairs first meet a bitmap bound: bit j of a row's bitmap is the parity of
+its n-grams that hash to j, so the bits in which two bitmaps differ never outnumber
+the n-grams in which the sets differ. What is left is multiplied out over all
+columns, block by block, and pairs below the overlap that their sizes demand are
+discarded. Every link is found, or its ends are connected by other links.
 """
 
 from __future__ import annotations
@@ -72,6 +74,22 @@ def _digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
+def _parity(s: np.ndarray) -> bytes:
+    """The set's bitmap: two to four bits an n-gram, a power of two."""
+    bits = max(64, 1 << int(2 * len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def _differ_at_least(a: bytes, b: bytes) -> int:
+    """A lower bound of the n-grams that are in one set only. The longer bitmap is folded to the shorter one."""
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    if len(x) > len(y):
+        x, y = y, x
+    folded = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+    return int(np.bitwise_count(x ^ folded).sum())
+
+
 def _bucket(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> np.uint64(64 - bits)).astype(np.int64)
 
@@ -96,13 +114,13 @@ class _Join:
         self.rows, self.sketch = self._rows(keyed)
 
     def _rows(self, docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-        """(key, t, n, d) of every document, written once, and the counts of all n-grams."""
+        """(key, t, n, d, bitmap) of every document, written once, and the counts of all n-grams."""
         p, bins = self.p, 1 << self.p.sketch_bits
         kind = docs.schema["key"]
 
         def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts = np.zeros(bins, np.int64)
-            names = ["key", "t", "n", "d", "at", "counts"]
+            names = ["key", "t", "n", "d", "bitmap", "at", "counts"]
             key_type = None
             for b in batches:
                 sets = [shingles(t, p.words) for t in b.column(1).to_pylist()]
@@ -113,20 +131,21 @@ class _Join:
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()),
                      pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()),
+                     pa.array([_parity(s) if len(s) else None for s in sets], pa.binary()),
                      pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())], names)
             at, blobs = histogram_chunks(counts)
             if key_type is not None:
                 yield pa.RecordBatch.from_arrays(
                     [pa.nulls(len(at), key_type), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()),
-                     pa.nulls(len(at), pa.binary()), pa.array(at, pa.int32()), pa.array(blobs, pa.binary())], names)
+                     pa.nulls(len(at), pa.binary()), pa.nulls(len(at), pa.binary()), pa.array(at, pa.int32()), pa.array(blobs, pa.binary())], names)
 
         schema = T.StructType([
             T.StructField("key", kind.dataType), T.StructField("t", T.LongType()), T.StructField("n", T.LongType()),
-            T.StructField("d", T.BinaryType()), T.StructField("at", T.IntegerType()), T.StructField("counts", T.BinaryType()),
+            T.StructField("d", T.BinaryType()), T.StructField("bitmap", T.BinaryType()), T.StructField("at", T.IntegerType()), T.StructField("counts", T.BinaryType()),
         ])
         both = stored(docs.mapInArrow(measure, schema), "jaccard-rows")
         sketch = add_chunks(both.where("at is not null"), bins)
-        return both.where("n is not null").select("key", "t", "n", "d"), sketch
+        return both.where("n is not null").drop("at", "counts"), sketch
 
     def columns(self) -> DataFrame:
         """(h, d, n, p): the prefix entries of all columns with two rows or more, written once."""
@@ -222,10 +241,29 @@ class _Join:
         packed = found.select("text").mapInArrow(pack, "d binary, s binary")
         return stored(packed.join(wanted, "d", "left_semi").dropDuplicates(["d"]), "jaccard-sets")
 
+    def _within_bitmap_bound(self, pairs: DataFrame) -> DataFrame:
+        percent = self.p.percent
+
+        def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                a, b, m, n, x, y = (c.to_pylist() for c in batch.columns)
+                keep = [
+                    _differ_at_least(*maps) <= size - 2 * -(-percent * size // (100 + percent))
+                    for maps, size in zip(zip(x, y, strict=True), map(sum, zip(m, n, strict=True)), strict=True)
+                ]
+                found = np.flatnonzero(keep)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(found), batch.column(1).take(found)], ["a", "b"])
+
+        # rows with equal d have equal values
+        maps = self.rows.where("d is not null").groupBy("d").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap"))
+        both = pairs.join(maps.select(F.col("d").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("y")), "b")
+        both = both.join(maps.select(F.col("d").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("x")), "a")
+        return both.select("a", "b", "na", "nb", "x", "y").mapInArrow(bound, "a binary, b binary")
+
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sets overlap as much as their sizes demand."""
         percent = self.p.percent
-        pairs = stored(pairs, "jaccard-pairs")
+        pairs = stored(self._within_bitmap_bound(pairs), "jaccard-pairs")
         wanted = pairs.select(F.col("a").alias("d")).union(pairs.select("b")).distinct()
         sets = self.sets(wanted)
 
