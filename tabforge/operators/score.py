@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from tabforge.functions.columns import q
 from tabforge.operators import metrics as M
-from tabforge.operators.train import TrainedModel
+from tabforge.operators.preprocess import PreprocessorModel, validate_scoring_input
+from tabforge.operators.train import TrainedModel, assemble
+from tabforge.plans.config import FeatureSchema
 
 UNSEEN_EXAMPLES = 10
 RESULT_PREVIEW_ROWS = 1000
@@ -34,7 +36,7 @@ def score_models(trained: Sequence[TrainedModel], test: DataFrame, task: str, *,
         pred = None
         try:
             # one prediction pass per model, reused by every metric (one row per test row)
-            pred = t.predict(test, id_col).join(labels, on=id_col).persist()
+            pred = t.predict(test, id_col, keep=["label"]).persist()
             if task == "classification":
                 mets = {}
                 if len(y_classes) == 2:
@@ -75,14 +77,24 @@ def model_status(scores: DataFrame) -> DataFrame:
     return scores.groupBy("algo", "order").agg(F.min("status").alias("status"))
 
 
-def predict_batch(model: TrainedModel, original: DataFrame, matrix: DataFrame, *, id_col: str,
+def predict_batch(model: TrainedModel, pre: PreprocessorModel, schema: FeatureSchema, table: DataFrame, *, id_col: str,
                   with_proba: bool = True) -> DataFrame:
-    """Original columns + ``prediction`` (+ one ``prob_<class>`` per class)."""
-    pred = model.predict(matrix, id_col)
-    cols = [F.col("prediction")]
-    if with_proba and model.task == "classification" and "probability" in pred.columns:
-        cols += [F.col("probability")[i].alias(f"prob_{c}") for i, c in enumerate(model.classes)]
-    return original.join(pred.select(id_col, *cols), on=id_col, how="left")
+    """Every column of ``table``, then ``prediction`` (and one ``prob_<class>`` per class).
+
+    Validates the input columns, applies the fitted preprocessing and the model in one
+    projection; the table's own columns ride along. Columns of the table that are named
+    like an output are replaced.
+    """
+    held = {c: f"__column_{i}" for i, c in enumerate(table.columns)}
+    wide = table.select("*", *[q(c).alias(h) for c, h in held.items()])
+    inputs, _ = validate_scoring_input(wide, schema, keep=list(held.values()))
+    matrix = assemble(pre.transform(inputs, keep=list(held.values())), pre.output_columns)
+    pred = model.predict(matrix, held[id_col], keep=[h for c, h in held.items() if c != id_col])
+    scores = {"prediction": F.col("prediction")}
+    if with_proba and "probability" in pred.columns:
+        scores |= {f"prob_{c}": F.col("probability")[i] for i, c in enumerate(model.classes)}
+    return pred.select(*[F.col(h).alias(c) for c, h in held.items() if c not in scores],
+                       *[value.alias(name) for name, value in scores.items()])
 
 
 def topk_proba(pred: DataFrame, classes: Sequence, *, id_col: str, k: int = 3) -> DataFrame:

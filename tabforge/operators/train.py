@@ -211,31 +211,34 @@ class TrainedModel:
     def is_success(self) -> bool:
         return self.status == "success"
 
-    def predict(self, df: DataFrame, id_col: str, features_col: str = "features") -> DataFrame:
-        """(id, prediction[, probability array in class order])."""
+    def predict(self, df: DataFrame, id_col: str, features_col: str = "features", keep: Sequence[str] = ()) -> DataFrame:
+        """(id, kept columns, prediction[, probability array in class order]).
+
+        One narrow pass; only a nearest-neighbour model joins, on the id.
+        """
         if self.model == KNN:
-            q = df.select(F.col(id_col).alias("id"), vector_to_array(F.col(features_col)).alias("vec"))
-            nn = knn(q, self.knn_train.select("id", "vec"), self.k, id_col="id", vec_col="vec")
-            if self.task == "classification":
-                pr = knn_classify(nn, self.knn_train.select(F.col("id").alias("t_id"), "label"), "label")
-                probs = F.array(*[F.coalesce(F.col("probs")[str(float(i))], F.lit(0.0))
-                                  for i in range(len(self.classes))])
-                out = pr.select(F.col("q_id").alias(id_col), F.col("prediction").cast("double").alias("_pi"),
-                                probs.alias("probability"))
-            else:
-                out = knn_regress(nn, self.knn_train.select(F.col("id").alias("t_id"), "label"), "label").select(
-                    F.col("q_id").alias(id_col), F.col("prediction"))
-                return out
+            out = self._neighbours(df, id_col, features_col)
+            if keep:
+                out = df.select(id_col, *keep).join(out, id_col)
         else:
-            t = self.model.transform(df.select(id_col, features_col))
-            cols = [F.col(id_col), F.col("prediction").alias("_pi")]
-            if self.task == "classification" and "probability" in t.columns:
-                cols.append(vector_to_array("probability").alias("probability"))
-            out = t.select(*cols)
-            if self.task == "regression":
-                return out.withColumnRenamed("_pi", "prediction")
-        back = F.create_map(*[x for i, v in enumerate(self.classes) for x in (F.lit(float(i)), F.lit(v))])
-        return out.withColumn("prediction", back[F.col("_pi")]).drop("_pi")
+            out = self.model.transform(df.select(id_col, *keep, features_col))
+            if self.task == "classification" and "probability" in out.columns:
+                out = out.withColumn("probability", vector_to_array("probability"))
+        if self.task == "classification":
+            back = F.create_map(*[x for i, v in enumerate(self.classes) for x in (F.lit(float(i)), F.lit(v))])
+            out = out.withColumn("prediction", back[F.col("prediction")])
+        scores = ["probability"] if "probability" in out.columns else []
+        return out.select(id_col, *keep, "prediction", *scores)
+
+    def _neighbours(self, df: DataFrame, id_col: str, features_col: str) -> DataFrame:
+        rows = df.select(F.col(id_col).alias("id"), vector_to_array(F.col(features_col)).alias("vec"))
+        near = knn(rows, self.knn_train.select("id", "vec"), self.k, id_col="id", vec_col="vec")
+        labels = self.knn_train.select(F.col("id").alias("t_id"), "label")
+        if self.task == "regression":
+            return knn_regress(near, labels, "label").select(F.col("q_id").alias(id_col), "prediction")
+        share = [F.coalesce(F.col("probs")[str(float(i))], F.lit(0.0)) for i in range(len(self.classes))]
+        return knn_classify(near, labels, "label").select(
+            F.col("q_id").alias(id_col), F.col("prediction").cast("double").alias("prediction"), F.array(*share).alias("probability"))
 
 
 def _label_stats(train: DataFrame, task: str) -> dict[str, Any]:

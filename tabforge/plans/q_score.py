@@ -2,38 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
+from tabforge.operators import preprocess as PP
 from tabforge.operators import score as SC
 from tabforge.operators import train as TR
 from tabforge.operators.knn import knn, knn_classify
 from tabforge.operators.profile import category_vocab
+from tabforge.operators.split import split_random
+from tabforge.plans.config import FeatureSchema, PreprocessingConfig
 from tabforge.plans.q_train import KNN_SQL, H, _emb_split
 from tabforge.plans.registry import register
 from tabforge.plans.standins import table
+from tabforge.session import scratch_path
+from tabforge.sources import bundle as BD
 
 CUTOFF = "1999-01-01 00:00:00"
 
 
-def _linear_model(spark, sf):
+def scoring_bundle(spark, sf) -> str:
+    """Path of a bundle: the retail price as a line over the part key, trained and saved."""
     part = table(spark, sf, "part")
-    from tabforge.operators.split import split_random
-
-    sp = split_random(part.select("p_partkey", F.col("p_retailprice").alias("label")), "p_partkey", 0.2)
-    vec = VectorAssembler(inputCols=["x"], outputCol="features").transform(sp.withColumn("x", F.col("p_partkey").cast("double")))
-    res = TR.train_all(TR.get_specs("regression", ["linear"]), vec.where(~F.col("is_test")), "regression",
-                       id_col="p_partkey")[0]
-    if not res.is_success:
-        raise RuntimeError(res.error)
-    return res, part
+    train = split_random(part.select("p_partkey", "p_retailprice"), "p_partkey", 0.2).where(~F.col("is_test"))
+    config = PreprocessingConfig(numeric_scale="none")
+    pre = PP.Preprocessor(config, ["p_partkey"], []).fit(train)
+    numbered = train.withColumn("id", F.col("p_partkey"))
+    matrix = TR.assemble(pre.transform(numbered, keep=["id", "p_retailprice"]), pre.output_columns)
+    fitted = TR.train_all(TR.get_specs("regression", ["linear"]), matrix.withColumnRenamed("p_retailprice", "label"),
+                          "regression", id_col="id")[0]
+    if not fitted.is_success:
+        raise RuntimeError(fitted.error)
+    schema = FeatureSchema(numeric=("p_partkey",), categorical=(), target="p_retailprice")
+    return BD.save_bundle(spark, scratch_path(spark, "bundle"), model=fitted, pre=pre, schema=schema, metrics={},
+                          config=config)
 
 
 def _batch(spark, sf):
-    res, part = _linear_model(spark, sf)
-    matrix = VectorAssembler(inputCols=["x"], outputCol="features").transform(
-        part.select("p_partkey", F.col("p_partkey").cast("double").alias("x")))
-    out = SC.predict_batch(res, part, matrix, id_col="p_partkey")
+    """Train, save, load, then score every part row with what was loaded."""
+    model, pre, schema, *_ = BD.load_bundle(spark, scoring_bundle(spark, sf))
+    out = SC.predict_batch(model, pre, schema, table(spark, sf, "part"), id_col="p_partkey")
     return out.withColumn("prediction", F.round("prediction", 6))
 
 

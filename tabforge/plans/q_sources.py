@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from tabforge.operators import preprocess as PP
-from tabforge.operators import train as TR
-from tabforge.plans.config import PreprocessingConfig
-from tabforge.plans.matrices import part_regression
+from tabforge.operators.score import predict_batch
 from tabforge.plans.registry import register
 from tabforge.plans.standins import table
 from tabforge.session import scratch_path
@@ -29,22 +25,26 @@ def q_csv_scan(spark, sf):
 
 
 @register("csv_malformed_rows", sql="""
-SELECT event_id, event_type, CASE WHEN event_type = 'signup' THEN NULL ELSE value END AS value
-FROM events WHERE event_type <> 'error'""")
+SELECT CASE WHEN event_type <> 'error' THEN event_id END AS event_id,
+  CASE WHEN event_type <> 'error' THEN event_type END AS event_type,
+  CASE WHEN event_type NOT IN ('error', 'signup') THEN value END AS value,
+  CASE WHEN event_type = 'error' THEN concat_ws(',', event_id, event_type, 'x', CASE WHEN event_id % 2 = 0 THEN 'extra,' ELSE '' END)
+  END AS rejected
+FROM events""")
 def q_csv_malformed(spark, sf):
-    """Raw event lines where error rows carry an extra field (quarantined) and
-    signup rows lack the value field (kept, padded with NULL)."""
+    """Raw event lines where error rows carry extra fields, empty ones too (rejected, returned whole),
+    and signup rows lack the value field (kept, padded with NULL)."""
     ev = table(spark, sf, "events")
-    v = F.col("value").cast("string")
-    line = (F.when(F.col("event_type") == "error", F.concat_ws(",", "event_id", "event_type", v, F.lit("extra")))
+    extra = F.when(F.col("event_id") % 2 == 0, "extra,").otherwise("")
+    line = (F.when(F.col("event_type") == "error", F.concat_ws(",", "event_id", "event_type", F.lit("x"), extra))
             .when(F.col("event_type") == "signup", F.concat_ws(",", "event_id", "event_type"))
-            .otherwise(F.concat_ws(",", "event_id", "event_type", v)))
+            .otherwise(F.concat_ws(",", "event_id", "event_type", F.col("value").cast("string"))))
     path = scratch_path(spark, "csv-malformed")
     # one text column whose name is the header line; a tab separator never
     # occurs in the lines, so they are written verbatim in every part file
     ev.select(line.alias("event_id,event_type,value")).write.option("header", True).option("sep", "\t").csv(path)
-    rows, _bad = CSV.read_tabular(spark, path, strict=False)
-    return rows
+    rows, rejected = CSV.read_tabular(spark, path, strict=False)
+    return rows.unionByName(rejected.withColumnRenamed("line", "rejected"), allowMissingColumns=True)
 
 
 @register("preview_rows", sql=f"""
@@ -77,6 +77,12 @@ def _sink_sql() -> str:
     return body
 
 
+def _bundle_sql() -> str:
+    from tabforge.plans.q_score import _BATCH_SQL
+
+    return _BATCH_SQL.replace("SELECT part.*, ", "SELECT p_partkey, ")
+
+
 @register("prediction_sink", sql=_sink_sql())
 def q_prediction_sink(spark, sf):
     """Batch predictions written as CSV (input columns + prediction) and read back."""
@@ -88,20 +94,11 @@ def q_prediction_sink(spark, sf):
     return rows
 
 
-@register("bundle_save_load")
+@register("bundle_save_load", sql=_bundle_sql())
 def q_bundle(spark, sf):
-    """Preprocessing + linear model saved as a bundle, loaded back and used to score every part row."""
-    mx = part_regression(spark, sf)
-    spec = TR.get_specs("regression", ["linear"])
-    res = TR.train_all(spec, mx.train, "regression", id_col=mx.id_col)[0]
-    if not res.is_success:
-        raise RuntimeError(res.error)
-    pm = PipelineModel(stages=[res.model])
-    part = table(spark, sf, "part")
-    num, cat, dt, bl = PP.columns_by_role(part, "p_retailprice", ["p_partkey"])
-    schema = PP.build_feature_schema(part, num, cat, dt, bl, "p_retailprice", PreprocessingConfig())
-    path = scratch_path(spark, "bundle")
-    BD.save_bundle(spark, path, model=pm, pre=mx.model, schema=schema, metrics={"status": "success"})
-    model, pre, schema2, metrics, config, _ = BD.load_bundle(spark, path)
-    feats = TR.assemble(pre.transform(part, keep=["p_partkey"]), pre.output_columns)
-    return model.transform(feats).select("p_partkey", "prediction")
+    """A trained model saved as a bundle, loaded back and used to score every part row."""
+    from tabforge.plans.q_score import scoring_bundle
+
+    model, pre, schema, *_ = BD.load_bundle(spark, scoring_bundle(spark, sf))
+    scored = predict_batch(model, pre, schema, table(spark, sf, "part").select("p_partkey"), id_col="p_partkey")
+    return scored.withColumn("prediction", F.round("prediction", 6))

@@ -6,7 +6,6 @@ for tests, ``bench.py`` and command-line use only.
 
 from __future__ import annotations
 
-import os
 import re
 import tempfile
 import uuid
@@ -59,21 +58,3 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path below the shared checkpoint folder."""
     return f"{checkpoint_root(spark)}/tabforge/{name}-{uuid.uuid4().hex}"
-
-
-def local_fs_path(path: str) -> str:
-    """Strip a ``file:`` scheme for code that must open a driver-side file (sidecars)."""
-    if path.startswith("file://"):
-        return path[len("file://"):]
-    if path.startswith("file:"):
-        return path[len("file:"):]
-    return path
-
-
-def is_local_path(path: str) -> bool:
-    return "://" not in path or path.startswith("file:")
-
-
-def ensure_dir(path: str) -> None:
-    if is_local_path(path):
-        os.makedirs(local_fs_path(path), exist_ok=True)

@@ -1,73 +1,83 @@
-"""Model bundle: fitted preprocessing parameters + feature schema + metrics +
-optional config as JSON sidecars, the ``pyspark.ml`` model in Spark's own
-format, large encoding tables as Parquet. All four required parts must exist
-on load."""
+"""Model bundle: everything that scoring needs, under one path.
+
+Fitted preprocessing parameters, feature schema, metrics and optional config are JSON
+files; the model is in Spark's own format, or its training rows where it is a
+nearest-neighbour model; large encoding tables are Parquet files inside the bundle. A
+bundle can be moved, and nothing outside it is read. All required parts must exist on
+load.
+"""
 
 from __future__ import annotations
 
+import copy
 import json
-import os
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.base import Model
 from pyspark.sql import SparkSession
 
 from tabforge.operators.preprocess import PreprocessorModel
+from tabforge.operators.train import KNN, TrainedModel
 from tabforge.plans.config import FeatureSchema, PreprocessingConfig
-from tabforge.session import ensure_dir, is_local_path, local_fs_path
+from tabforge.sources.files import exists, read_text, write_text
 
 REQUIRED = ("model", "preprocessor.json", "feature_schema.json", "metrics.json")
 
 
-def _write_text(spark: SparkSession, path: str, text: str) -> None:
-    if is_local_path(path):
-        p = local_fs_path(path)
-        os.makedirs(os.path.dirname(p), exist_ok=True)
-        with open(p, "w", encoding="utf-8") as fh:
-            fh.write(text)
-    else:  # distributed file system: one small text file through Spark
-        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
-
-
-def _read_text(spark: SparkSession, path: str) -> str:
-    if is_local_path(path):
-        with open(local_fs_path(path), encoding="utf-8") as fh:
-            return fh.read()
-    return "\n".join(r[0] for r in spark.read.text(path).collect())
+def _save_model(path: str, model: Model | TrainedModel) -> dict:
+    """Write the model; returns what else is needed to load it."""
+    if not isinstance(model, TrainedModel):
+        model.write().overwrite().save(f"{path}/model")
+        return {}
+    if not model.is_success:
+        raise ValueError(f"{model.name} is not a fitted model")
+    if model.model == KNN:
+        model.knn_train.write.mode("overwrite").parquet(f"{path}/model")
+    else:
+        PipelineModel(stages=[model.model]).write().overwrite().save(f"{path}/model")
+    return {"name": model.name, "task": model.task, "classes": model.classes, "k": model.k, "knn": model.model == KNN}
 
 
-def _exists(path: str) -> bool:
-    return os.path.exists(local_fs_path(path)) if is_local_path(path) else True
+def _load_model(spark: SparkSession, path: str, how: dict, model_cls: type) -> Model | TrainedModel:
+    if not how:
+        return model_cls.load(f"{path}/model")
+    out = TrainedModel(how["name"], how["task"], "success", 0, classes=how["classes"], k=how["k"])
+    if how["knn"]:
+        out.model, out.knn_train = KNN, spark.read.parquet(f"{path}/model")
+    else:
+        out.model = PipelineModel.load(f"{path}/model").stages[0]
+    return out
 
 
-def save_bundle(spark: SparkSession, path: str, *, model: Model, pre: PreprocessorModel, schema: FeatureSchema,
-                metrics: dict, config: PreprocessingConfig | None = None, meta: dict | None = None) -> str:
-    ensure_dir(path)
-    model.write().overwrite().save(f"{path}/model")
-    _write_text(spark, f"{path}/preprocessor.json", pre.to_json())
-    _write_text(spark, f"{path}/feature_schema.json", schema.to_json())
-    _write_text(spark, f"{path}/metrics.json", json.dumps(metrics))
-    _write_text(spark, f"{path}/meta.json", json.dumps(meta or {}))
+def save_bundle(spark: SparkSession, path: str, *, model: Model | TrainedModel, pre: PreprocessorModel,
+                schema: FeatureSchema, metrics: dict, config: PreprocessingConfig | None = None,
+                meta: dict | None = None) -> str:
+    how = _save_model(path, model)
+    params = copy.deepcopy(pre.params)
+    for i, entry in enumerate(e for e in params.get("categorical", {}).values() if e.get("table")):
+        entry["table_path"] = f"tables/{i}"
+        pre.tables[entry["table"]].write.mode("overwrite").parquet(f"{path}/{entry['table_path']}")
+    parts = {
+        "preprocessor": params, "feature_schema": schema.to_dict(), "metrics": metrics, "meta": meta or {}, "trained": how,
+    }
     if config is not None:
-        _write_text(spark, f"{path}/config.json", json.dumps(config.to_dict()))
+        parts["config"] = config.to_dict()
+    for name, value in parts.items():
+        write_text(spark, f"{path}/{name}.json", json.dumps(value, ensure_ascii=False))
     return path
 
 
-def load_bundle(spark: SparkSession, path: str, model_cls=PipelineModel):
-    missing = [p for p in REQUIRED if not _exists(f"{path}/{p}")]
+def load_bundle(spark: SparkSession, path: str, model_cls: type = PipelineModel):
+    missing = [p for p in REQUIRED if not exists(spark, f"{path}/{p}")]
     if missing:
         raise FileNotFoundError(f"bundle {path} is missing {missing}")
-    params = json.loads(_read_text(spark, f"{path}/preprocessor.json"))
-    tables = {}
-    for c, e in params.get("categorical", {}).items():
-        if e.get("table"):
-            tables[e["table"]] = spark.read.parquet(e["table_path"])
-    pre = PreprocessorModel(params, tables)
-    schema = FeatureSchema.from_json(_read_text(spark, f"{path}/feature_schema.json"))
-    metrics = json.loads(_read_text(spark, f"{path}/metrics.json"))
-    cfg_path = f"{path}/config.json"
-    config = (PreprocessingConfig.from_dict(json.loads(_read_text(spark, cfg_path))) if _exists(cfg_path)
-              else PreprocessingConfig())
-    meta = json.loads(_read_text(spark, f"{path}/meta.json")) if _exists(f"{path}/meta.json") else {}
-    model = model_cls.load(f"{path}/model")
-    return model, pre, schema, metrics, config, meta
+
+    def part(name: str) -> dict:
+        return json.loads(read_text(spark, f"{path}/{name}.json")) if exists(spark, f"{path}/{name}.json") else {}
+
+    params = part("preprocessor")
+    tables = {e["table"]: spark.read.parquet(f"{path}/{e['table_path']}")
+              for e in params.get("categorical", {}).values() if e.get("table")}
+    model = _load_model(spark, path, part("trained"), model_cls)
+    return (model, PreprocessorModel(params, tables), FeatureSchema.from_dict(part("feature_schema")), part("metrics"),
+            PreprocessingConfig.from_dict(part("config")), part("meta"))

@@ -1,16 +1,20 @@
-"""CSV input with the reference's guards, and CSV/Parquet sinks.
+"""CSV input with header guards, and CSV/Parquet sinks.
 
 Header problems are checked on the raw header line (Spark would silently rename
 blank or duplicate names). Missing-value tokens (matched exactly, as pandas does)
 are mapped to NULL on the text columns before types are inferred, so ``'NA'``
-never turns a numeric column into text. Rows with too many fields are quarantined (or fail the read when
-``strict``); rows with too few fields are kept, padded with NULLs.
+never turns a numeric column into text. Rows with too many fields, an empty extra
+field included, fail the read, or are returned as raw lines when it is not
+``strict``; rows with too few fields are kept, padded with NULLs. A quoted line break
+needs ``multi_line``; without it such a file is rejected, never split.
 """
 
 from __future__ import annotations
 
 import csv as _csv
 import io
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,41 +52,57 @@ def check_header(names: list[str]) -> None:
         raise InputError(f"duplicate header names: {dup}")
 
 
+# Types in the order they are tried: a column gets the first one that all of its values have.
+_INTEGER = r"^\s*[+-]?\d+\s*$"
+_TYPES = {
+    "bigint": lambda v: v.rlike(_INTEGER) & F.trim(v).try_cast("bigint").isNotNull(),
+    "decimal(38,0)": lambda v: v.rlike(_INTEGER) & F.trim(v).try_cast("decimal(38,0)").isNotNull(),
+    "double": lambda v: v.rlike(NUMBER_PATTERN),
+    "boolean": lambda v: v.isin("True", "TRUE", "true", "False", "FALSE", "false"),
+}
+# Set behind a line to see how many fields come before it.
+_END = "\u0001"
+
+
 def _infer_type(df: DataFrame, cols: list[str]) -> dict[str, str]:
-    """Per text column: 'bigint' if all non-null values are integers, 'double'
-    if all are numbers, else 'string' (one aggregate)."""
-    int_pat = r"^\s*[+-]?\d+\s*$"
-    aggs = []
-    for i, c in enumerate(cols):
-        v = q(c)
-        aggs += [F.count(v).alias(f"n{i}"), F.count_if(v.rlike(int_pat)).alias(f"i{i}"),
-                 F.count_if(v.rlike(NUMBER_PATTERN)).alias(f"d{i}")]
+    """Type of each text column by its non-null values, 'string' if there are none (one aggregate)."""
+    aggs = [F.count(q(c)).alias(f"n{i}") for i, c in enumerate(cols)]
+    aggs += [F.count_if(fits(q(c))).alias(f"{t}{i}") for i, c in enumerate(cols) for t, fits in _TYPES.items()]
     r = df.agg(*aggs).first()
-    out = {}
-    for i, c in enumerate(cols):
-        n = r[f"n{i}"]
-        out[c] = "bigint" if n > 0 and r[f"i{i}"] == n else "double" if n > 0 and r[f"d{i}"] == n else "string"
-    return out
+    return {c: next((t for t in _TYPES if 0 < r[f"n{i}"] == r[f"{t}{i}"]), "string") for i, c in enumerate(cols)}
 
 
-def read_tabular(spark: SparkSession, path: str, *, sep: str = ",", strict: bool = False,
-                 infer: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(rows, quarantined) from a CSV file or folder with a header line.
+def read_tabular(spark: SparkSession, path: str, *, sep: str = ",", strict: bool = True, infer: bool = True,
+                 multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejected) from a CSV file or folder with a header line.
 
-    Rows with more fields than the header go to ``quarantined`` (raw line), or
-    raise ``InputError`` when ``strict``. Types: bigint / double / string.
+    Rows with more fields than the header raise ``InputError``, or come back whole in
+    ``rejected`` (line) when not ``strict``. Types: bigint, decimal(38,0) for integers
+    beyond it, double, boolean, string. ``multi_line`` reads quoted line breaks, at the
+    cost of one task per file.
     """
     names = read_header(spark, path, sep)
     check_header(names)
     n = len(names)
-    # One spare column: a row with more fields than the header fills it.
-    schema = T.StructType([T.StructField(f"_f{i}", T.StringType()) for i in range(n + 1)])
-    raw = (spark.read.schema(schema).option("header", True).option("sep", sep).option("mode", "PERMISSIVE")
-           .option("enforceSchema", True).csv(path))
-    too_long = F.col(f"_f{n}").isNotNull()
-    bad = raw.where(too_long).select(F.concat_ws(sep, *[F.col(f"_f{i}") for i in range(n + 1)]).alias("line"))
-    good = raw.where(~too_long).drop(f"_f{n}")
-    if strict and not bad.isEmpty():
+    if not multi_line:
+        quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+        if not spark.read.text(path).where(quotes % 2 == 1).isEmpty():
+            raise InputError("a quoted field holds a line break; read the file with multi_line")
+    fields = [T.StructField(f"_f{i}", T.StringType()) for i in range(n)]
+    options = {"sep": sep, "mode": "PERMISSIVE"}
+    raw = spark.read.schema(T.StructType([*fields, T.StructField("_line", T.StringType())])).options(
+        header=True, enforceSchema=True, columnPruning=False, columnNameOfCorruptRecord="_line", multiLine=multi_line, **options
+    ).csv(path)
+    # Lines with another number of fields come with their text. Only these are parsed again: with an end mark as one
+    # more field, the mark is among the first n + 1 unless the line has too many (empty ones count).
+    marked = F.from_csv(F.concat("_line", F.lit(sep + _END)), F.lit(", ".join(f"_f{i} string" for i in range(n + 1))), options)
+    ends = [F.coalesce(marked[f"_f{i}"] == _END, F.lit(False)) for i in range(n + 1)]
+    too_long = F.col("_line").isNotNull() & ~reduce(or_, ends)
+    # always true; keeps a field in plans that need nothing but the line, which the reader refuses
+    read = F.length(F.coalesce("_f0", F.lit(""))) >= 0
+    rejected = raw.where(too_long & read).select(F.col("_line").alias("line"))
+    good = raw.where(~too_long & read).drop("_line")
+    if strict and not rejected.isEmpty():
         raise InputError("rows with more fields than the header")
     cleaned = good.select(*[F.when(F.col(f"_f{i}").isin(*NA_TOKENS) | F.col(f"_f{i}").isNull(), None)
                             .otherwise(F.col(f"_f{i}")).alias(name) for i, name in enumerate(names)])
@@ -92,7 +112,7 @@ def read_tabular(spark: SparkSession, path: str, *, sep: str = ",", strict: bool
         types = _infer_type(cleaned, names)
         cleaned = cleaned.select(*[(F.trim(q(c)).try_cast(t) if t != "string" else q(c)).alias(c)
                                    for c, t in types.items()])
-    return cleaned, bad
+    return cleaned, rejected
 
 
 def write_csv(df: DataFrame, path: str, *, header: bool = True) -> str:

@@ -37,12 +37,30 @@ def test_na_tokens_and_types(spark):
 
 
 def test_malformed_rows(spark):
-    text = "a,b,c\n1,2,3\n4,5,6,7\n8,9\n"
-    rows, bad = CSV.read_tabular(spark, _csv(text))
-    assert rows.count() == 2 and bad.count() == 1
+    text = "a,b,c\n1,2,3\n4,5,6,7\n8,9\n1,2,3,\n5,,7,8,9\n"
+    rows, bad = CSV.read_tabular(spark, _csv(text), strict=False)
+    assert rows.count() == 2
+    assert sorted(r["line"] for r in bad.collect()) == ["1,2,3,", "4,5,6,7", "5,,7,8,9"]  # whole, empty fields too
     assert [r["c"] for r in rows.orderBy("a").collect()] == [3, None]
     with pytest.raises(CSV.InputError):
-        CSV.read_tabular(spark, _csv(text), strict=True)
+        CSV.read_tabular(spark, _csv(text))
+
+
+def test_numbers_beyond_64_bits_and_booleans(spark):
+    text = "id,flag,big,mixed\n12345678901234567890,True,1,True\n98765432109876543210,false,2,no\n"
+    rows, _ = CSV.read_tabular(spark, _csv(text))
+    assert dict(rows.dtypes) == {"id": "decimal(38,0)", "flag": "boolean", "big": "bigint", "mixed": "string"}
+    got = rows.orderBy("big").collect()
+    assert [int(r["id"]) for r in got] == [12345678901234567890, 98765432109876543210]
+    assert [r["flag"] for r in got] == [True, False]
+
+
+def test_quoted_line_breaks(spark):
+    text = 'a,b\n1,"x\ny"\n2,z\n'
+    with pytest.raises(CSV.InputError):
+        CSV.read_tabular(spark, _csv(text))
+    rows, _ = CSV.read_tabular(spark, _csv(text), multi_line=True)
+    assert [r["b"] for r in rows.orderBy("a").collect()] == ["x\ny", "z"]
 
 
 def test_like_failed_wildcard(spark):
