@@ -6,31 +6,34 @@ in one task. These helpers give the same exact answers with work that stays
 spread over the cluster:
 
 * ``exact_quantiles`` — linear-interpolated quantiles (numpy / DuckDB
-  ``quantile_cont`` semantics). Ranges that hold at most ``direct_limit`` values
-  are finished with a bounded exact aggregate; larger ranges are narrowed with a
-  histogram over ``percentile_approx`` split points first.
+  ``quantile_cont`` semantics) of any number of columns and probabilities in a
+  number of jobs that depends on neither. The value range of each wanted rank is
+  narrowed with histograms until it holds at most ``direct_limit`` values, which are
+  then sorted.
 * ``with_position`` — 0-based position of each row within its group under a
   total order, via range partitioning + per-partition offsets.
 * ``flag_smallest`` — mark the ``k`` rows with the smallest (32-bit hash, key)
-  per group using two 16-bit histograms; only rows sharing the boundary hash
-  value are ever ranked row by row.
+  per class using two 16-bit histograms; only rows sharing the boundary hash
+  value are ever ranked row by row, and data rows are never shuffled.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
+from typing import Any
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabforge.functions.columns import q, to_double
 
-# Ranges with at most this many non-null values are finished exactly in one
-# aggregate (memory per task is bounded by it).
-DIRECT_LIMIT = 1_000_000
-HIST_BUCKETS = 512
+# Ranges with at most this many values are sorted in one task each.
+DIRECT_LIMIT = 10_000
+HIST_CUTS = 64
+# Bounds of each class are held by the driver.
+MAX_CLASSES = 10_000
 # Groups with at most this many rows are ranked with one window (one task per
 # group, bounded work); larger groups take the distributed paths below.
 DIRECT_RANK_LIMIT = 1_000_000
@@ -54,49 +57,47 @@ def _interp(v_lo: float, v_hi: float, pos: float) -> float:
     return (hi - pos) * v_lo + (pos - lo) * v_hi
 
 
-def _kth_value(df: DataFrame, c: Column, k: int, direct_limit: int) -> float:
-    """k-th smallest (0-based) non-null value of ``c``; exact."""
-    lo, hi, offset = -math.inf, math.inf, 0
-    m = None
-    for _ in range(200):
-        sub = df.select(c.alias("v")).where(F.col("v").isNotNull())
-        if lo != -math.inf:
-            sub = sub.where(F.col("v") >= F.lit(lo))
-        if hi != math.inf:
-            sub = sub.where(F.col("v") < F.lit(hi))
-        if m is None:
-            m = sub.count()
-        if m <= direct_limit:
-            row = sub.agg(F.element_at(F.array_sort(F.collect_list("v")), F.lit(k - offset + 1)).alias("x")).first()
-            return float(row["x"])
-        probs = [i / HIST_BUCKETS for i in range(1, HIST_BUCKETS)]
-        approx = sub.agg(F.percentile_approx("v", probs, 10000).alias("s")).first()["s"]
-        cuts = sorted({float(s) for s in approx if lo < float(s) < hi})
-        if not cuts:
-            # One value dominates: split off the minimum itself.
-            mn = sub.agg(F.min("v")).first()[0]
-            cuts = [math.nextafter(float(mn), math.inf)]
-        splits = [-math.inf, *cuts, math.inf]
-        hist = (
-            Bucketizer(splits=splits, inputCol="v", outputCol="b")
-            .transform(sub)
-            .groupBy("b")
-            .agg(F.count("*").alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx"))
-            .orderBy("b")
-            .collect()
-        )  # at most HIST_BUCKETS rows
-        before = 0
-        for r in hist:
-            if k - offset < before + r["n"]:
-                if r["mn"] == r["mx"]:
-                    return float(r["mn"])
-                b = int(r["b"])
-                lo, hi = max(lo, splits[b]), min(hi, splits[b + 1])
-                offset += before
-                m = r["n"]
-                break
-            before += r["n"]
-    raise RuntimeError("quantile refinement did not converge")
+@dataclass(frozen=True)
+class _Range:
+    """Values of one column from ``low`` to ``high``: ``n`` of them, ``before`` smaller ones, and the wanted ranks."""
+
+    column: str
+    low: float
+    high: float
+    before: int
+    n: int
+    ranks: tuple[int, ...]
+
+
+def _in_ranges(df: DataFrame, values: dict[str, Column], ranges: Sequence[_Range]) -> DataFrame:
+    """(at, v): the values that lie in each range; one scan for all."""
+    rows = [F.struct(F.lit(i).alias("at"), F.when(values[r.column].between(r.low, r.high), values[r.column]).alias("v"))
+            for i, r in enumerate(ranges)]
+    return df.select(F.inline(F.array(*rows))).where(F.col("v").isNotNull())
+
+
+def _narrowed(df: DataFrame, values: dict[str, Column], ranges: Sequence[_Range]) -> list[_Range]:
+    """Cut each range at about ``HIST_CUTS`` approximate quantiles; the pieces that hold wanted ranks. Two jobs."""
+    rows = _in_ranges(df, values, ranges)
+    grid = [i / HIST_CUTS for i in range(1, HIST_CUTS)]
+    approx = rows.groupBy("at").agg(F.percentile_approx("v", grid, 10_000).alias("cuts")).collect()  # one row a range
+    # a cut's own value gets a piece of its own, so a value that dominates cannot hold things up
+    cuts = [(r["at"], sorted({x for c in r["cuts"] for x in (float(c), math.nextafter(float(c), math.inf))})) for r in approx]
+    table = df.sparkSession.createDataFrame(cuts, "at int, cuts array<double>")
+    piece = F.size(F.filter("cuts", lambda c: c <= F.col("v")))
+    hist = (
+        rows.join(F.broadcast(table), "at").groupBy("at", piece.alias("piece"))
+        .agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).orderBy("at", "piece").collect()
+    )  # at most 2 * HIST_CUTS rows a range
+    out = []
+    before = {i: r.before for i, r in enumerate(ranges)}
+    for h in hist:
+        r, start = ranges[h["at"]], before[h["at"]]
+        before[h["at"]] += h["n"]
+        inside = tuple(k for k in r.ranks if start <= k < start + h["n"])
+        if inside:
+            out.append(_Range(r.column, h["low"], h["high"], start, h["n"], inside))
+    return out
 
 
 def exact_quantiles(
@@ -122,25 +123,31 @@ def exact_quantiles(
     else:
         row = df.agg(*[F.count(vals[c]).alias(f"n{i}") for i, c in enumerate(cols)]).first()
         n = {c: int(row[f"n{i}"]) for i, c in enumerate(cols)}
-    out: dict[str, list[float | None]] = {}
-    small = [c for c in cols if 0 < n[c] <= direct_limit]
-    if small:
-        parr = F.array(*[F.lit(float(p)) for p in probs])
-        row = df.agg(*[F.percentile(vals[c], parr).alias(f"p{i}") for i, c in enumerate(small)]).first()
-        for i, c in enumerate(small):
-            out[c] = [float(x) for x in row[f"p{i}"]]
-    for c in cols:
-        if n[c] == 0:
-            out[c] = [None] * len(probs)
-        elif c not in out:
-            res = []
-            for p in probs:
-                pos = (n[c] - 1) * float(p)
-                v_lo = _kth_value(df, vals[c], math.floor(pos), direct_limit)
-                v_hi = v_lo if math.ceil(pos) == math.floor(pos) else _kth_value(df, vals[c], math.ceil(pos), direct_limit)
-                res.append(_interp(v_lo, v_hi, pos))
-            out[c] = res
-    return out
+    places = {c: [(n[c] - 1) * float(p) for p in probs] for c in cols if n[c]}
+    ranges = [_Range(c, -math.inf, math.inf, 0, n[c], tuple(sorted({f(x) for x in at for f in (math.floor, math.ceil)})))
+              for c, at in places.items()]
+    found: dict[tuple[str, int], float] = {}
+    while ranges:
+        for r in ranges:
+            if r.low == r.high:
+                found |= {(r.column, k): r.low for k in r.ranks}
+        ranges = [r for r in ranges if r.low != r.high]
+        wide = [r for r in ranges if r.n > direct_limit]
+        if not wide:
+            break
+        ranges = [r for r in ranges if r.n <= direct_limit] + _narrowed(df, vals, wide)
+    if ranges:
+        wanted = df.sparkSession.createDataFrame(
+            [(i, [k - r.before for k in r.ranks]) for i, r in enumerate(ranges)], "at int, places array<int>")
+        rows = _in_ranges(df, vals, ranges).groupBy("at").agg(F.array_sort(F.collect_list("v")).alias("v"))
+        got = rows.join(F.broadcast(wanted), "at").select("at", F.transform("places", lambda k: F.get("v", k)).alias("v"))
+        for g in got.collect():  # one row a range
+            r = ranges[g["at"]]
+            found |= {(r.column, k): float(v) for k, v in zip(r.ranks, g["v"], strict=True)}
+    return {
+        c: [_interp(found[c, math.floor(x)], found[c, math.ceil(x)], x) for x in places[c]] if n[c] else [None] * len(probs)
+        for c in cols
+    }
 
 
 # --------------------------------------------------------------------- positions
@@ -199,81 +206,70 @@ def with_position(
 
 def flag_smallest(
     df: DataFrame,
-    group_cols: Sequence[str],
+    group_col: str | None,
     score_col: str,
     tie_col: str,
-    alloc: DataFrame,
-    k_col: str = "k",
+    take: Sequence[tuple[Any, int]],
     out: str = "selected",
-    small_groups: bool = True,
-    max_rows: int | None = None,
 ) -> DataFrame:
-    """Flag the ``k`` rows of each group with the smallest (score, tie) pair.
-
-    ``score_col`` is an unsigned 32-bit hash; ``alloc`` has ``group_cols`` + ``k_col``.
-    Equivalent to ``row_number() over (partition by g order by score, tie) <= k``.
-    ``small_groups`` (e.g. classes) lets the per-group boundary table be broadcast.
-    ``max_rows`` (largest group size, when known) ≤ ``DIRECT_RANK_LIMIT`` selects
-    the one-window path; otherwise two 16-bit histograms find each group's
-    boundary hash and only rows sharing it are ranked.
+    """Flag the ``k`` rows of each class with the smallest (score, tie) pair.
+
+    ``score_col`` is an unsigned 32-bit hash; ``take`` lists (class, k), or one
+    (None, k) when there are no classes. Equivalent to
+    ``row_number() over (partition by class order by score, tie) <= k``. Three scans
+    find each class's boundary: the upper and the lower half of the hash, then the tie
+    value. The bounds, a row a class, are literals or a broadcast table; a class count
+    above ``MAX_CLASSES`` is refused.
     """
-    g = list(group_cols)
-    alloc = alloc.select(*g, F.col(k_col).alias("_k"))  # avoid clashing with data columns
-    k_col = "_k"
-    if max_rows is not None and max_rows <= DIRECT_RANK_LIMIT:
-        a = F.broadcast(alloc) if small_groups else alloc
-        w = Window.partitionBy(*g).orderBy(score_col, tie_col)
-        return (df.join(a, on=g, how="left").withColumn(out, F.coalesce(F.row_number().over(w) <= F.col(k_col),
-                                                                        F.lit(False))).drop(k_col))
-    hi16 = F.shiftright(F.col(score_col), 16)
-    # Pass 1: which top-16-bit bucket holds the k-th row of each group.
-    h1 = df.groupBy(*g, hi16.alias("_b")).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    h1 = h1.join(alloc, on=g, how="inner").withColumn("_cum", F.sum("_c").over(w))
-    b1 = (
-        h1.where((F.col("_cum") >= F.col(k_col)) & (F.col(k_col) > 0))
-        .groupBy(*g)
-        .agg(F.min_by(F.struct("_b", (F.col("_cum") - F.col("_c")).alias("_below")), F.col("_b")).alias("_s"))
-        .select(*g, F.col("_s._b").alias("_b1"), F.col("_s._below").alias("_below1"))
-    )
-    # Pass 2: inside that bucket, which exact score value holds the k-th row.
-    in_b1 = df.join(b1, on=g, how="inner").where(hi16 == F.col("_b1"))
-    h2 = in_b1.groupBy(*g, F.col(score_col).alias("_h")).agg(F.count("*").alias("_c"))
-    w2 = Window.partitionBy(*g).orderBy("_h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    h2 = (
-        h2.join(b1.join(alloc, on=g), on=g)
-        .withColumn("_cum", F.col("_below1") + F.sum("_c").over(w2))
-        .where(F.col("_cum") >= F.col(k_col))
-        .groupBy(*g)
-        .agg(F.min_by(F.struct("_h", (F.col("_cum") - F.col("_c")).alias("_below")), F.col("_h")).alias("_s"))
-        .select(*g, F.col("_s._h").alias("_hstar"), F.col("_s._below").alias("_below2"))
-    )
-    bound = h2.join(alloc, on=g, how="inner")
-    if small_groups:
-        bound = F.broadcast(bound)
-    # Only rows whose score equals the boundary value are ranked one by one;
-    # that set holds about n / 2**32 rows per group.
-    wt = Window.partitionBy(*g).orderBy(tie_col)
-    tstar = (
-        df.join(bound, on=g, how="inner")
-        .where(F.col(score_col) == F.col("_hstar"))
-        .withColumn("_rn", F.row_number().over(wt))
-        .where(F.col("_rn") == F.col(k_col) - F.col("_below2"))
-        .select(*g, F.col(tie_col).alias("_tstar"))
-    )
-    bound = bound.join(tstar, on=g, how="inner")
-    if small_groups:
-        bound = F.broadcast(bound)
-    marked = df.join(bound, on=g, how="left")
-    marked = marked.withColumn(
-        out,
-        F.coalesce(
-            (F.col(score_col) < F.col("_hstar"))
-            | ((F.col(score_col) == F.col("_hstar")) & (F.col(tie_col) <= F.col("_tstar"))),
-            F.lit(False),
-        ),
-    )
-    return marked.drop("_hstar", "_below2", "_tstar", k_col)
+    if len(take) > MAX_CLASSES:
+        raise ValueError(f"{len(take)} classes; at most {MAX_CLASSES} can be split at once")
+    spark = df.sparkSession
+    g = [group_col] if group_col else []
+    kind = [(group_col, df.schema[group_col].dataType.simpleString())] if group_col else []
+
+    def small(rows: Sequence[tuple], *columns: tuple[str, str]) -> DataFrame:
+        schema = ", ".join(f"`{n}` {t}" for n, t in [*kind, *columns])
+        return F.broadcast(spark.createDataFrame([r if g else r[1:] for r in rows], schema))
+
+    def attach(rows: DataFrame, bounds: Sequence[tuple], *columns: tuple[str, str], how: str = "inner") -> DataFrame:
+        """The class's bounds as columns."""
+        if g:
+            return rows.join(small(bounds, *columns), g, how)
+        return rows.withColumns({n: F.lit(v).cast(t) for (n, t), v in zip(columns, bounds[0][1:], strict=True)})
+
+    def crossing(counts: DataFrame, place: str) -> dict[Any, tuple[int, int]]:
+        """Per class: where the running count reaches k, and how many rows lie before."""
+        run = Window.partitionBy(*g).orderBy(place)  # at most 65 536 rows a class
+        counts = counts.withColumn("_upto", F.col("_below") + F.sum("_n").over(run))
+        hit = counts.where((F.col("_upto") >= F.col("_k")) & (F.col("_upto") - F.col("_n") < F.col("_k")))
+        rows = hit.select(*g, F.col(place).alias("_at"), (F.col("_upto") - F.col("_n")).alias("_before")).collect()
+        return {(r[0] if g else None): (r["_at"], r["_before"]) for r in rows}  # one row a class
+
+    wanted = {c: int(k) for c, k in take if k > 0}
+    if not wanted:
+        return df.withColumn(out, F.lit(False))
+    upper = F.shiftright(F.col(score_col), 16)
+    how_many = ("_k", "bigint"), ("_below", "bigint")
+    first = crossing(
+        attach(df.groupBy(*g, upper.alias("_bucket")).agg(F.count("*").alias("_n")), [(c, k, 0) for c, k in wanted.items()], *how_many),
+        "_bucket")
+    whole = [c for c in wanted if c not in first]  # classes with fewer rows than are wanted
+    bounds: list[tuple] = [(c, (1 << 32) - 1, None) for c in whole]
+    if first:
+        inside = attach(df, [(c, b) for c, (b, _) in first.items()], ("_bucket", "bigint")).where(upper == F.col("_bucket"))
+        counts = inside.groupBy(*g, F.col(score_col).alias("_bound")).agg(F.count("*").alias("_n"))
+        second = crossing(attach(counts, [(c, wanted[c], below) for c, (_, below) in first.items()], *how_many), "_bound")
+        # Only rows whose score equals the boundary value are ranked one by one: about n / 2**32 rows a class.
+        at = attach(df, [(c, h, wanted[c] - below) for c, (h, below) in second.items()], ("_bound", "bigint"), ("_rest", "bigint"))
+        ranked = at.where(F.col(score_col) == F.col("_bound")).withColumn(
+            "_rank", F.row_number().over(Window.partitionBy(*g).orderBy(tie_col)))
+        last = {(r[0] if g else None): r["_bound_tie"] for r in ranked.where(F.col("_rank") == F.col("_rest")).select(
+            *g, F.col(tie_col).alias("_bound_tie")).collect()}  # one row a class
+        bounds += [(c, second[c][0], last[c]) for c in second]
+    marked = attach(df, bounds, ("_bound", "bigint"), ("_bound_tie", df.schema[tie_col].dataType.simpleString()), how="left")
+    score = F.col(score_col)
+    before = (score < F.col("_bound")) | ((score == F.col("_bound")) & (F.col("_bound_tie").isNull() | (F.col(tie_col) <= F.col("_bound_tie"))))
+    return marked.withColumn(out, F.coalesce(before, F.lit(False))).drop("_bound", "_bound_tie")
 
 
 # --------------------------------------------------------------------- prefix sums

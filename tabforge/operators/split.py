@@ -12,12 +12,13 @@ task.
 from __future__ import annotations
 
 import math
+from typing import Any
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabforge.functions.columns import DEFAULT_SEED, hash32, q
-from tabforge.functions.stats import flag_smallest
+from tabforge.functions.stats import MAX_CLASSES, flag_smallest
 
 
 def _check(test_size: float) -> None:
@@ -29,33 +30,33 @@ def split_random(df: DataFrame, key_col: str, test_size: float = 0.2, seed: int
                  out: str = "is_test") -> DataFrame:
     """Flag ``ceil(n·test_size)`` rows (smallest hash of the key) as test."""
     _check(test_size)
-    n = df.count()
-    n_test = math.ceil(n * test_size)
-    spark = df.sparkSession
-    h = df.withColumn("_h", hash32(q(key_col), seed)).withColumn("_g", F.lit(0))
-    alloc = spark.createDataFrame([(0, int(n_test))], "_g int, k long")
-    return flag_smallest(h, ["_g"], "_h", key_col, alloc, out=out, max_rows=n).drop("_g", "_h")
+    n_test = math.ceil(df.count() * test_size)
+    hashed = df.withColumn("_h", hash32(q(key_col), seed))
+    return flag_smallest(hashed, None, "_h", key_col, [(None, n_test)], out=out).drop("_h")
 
 
-def stratified_allocation(df: DataFrame, label_col: str, test_size: float) -> DataFrame:
-    """Per-class test counts (largest remainder). Rows = classes (small)."""
-    counts = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n_c"))
-    w_all = Window.partitionBy()  # one row per class: bounded by the number of classes
-    al = counts.withColumn("n", F.sum("n_c").over(w_all)).withColumn("n_test", F.ceil(F.col("n") * F.lit(test_size)))
-    # double arithmetic: n_c · n_test overflows 64-bit integers on huge tables
-    qv = F.col("n_c").cast("double") * F.col("n_test") / F.col("n")
-    al = al.withColumn("base", F.floor(qv)).withColumn("rem", qv - F.floor(qv))
-    al = al.withColumn("short", F.col("n_test") - F.sum("base").over(w_all))
-    rank = F.row_number().over(Window.orderBy(F.col("rem").desc(), F.col(label_col).asc()))
-    return al.withColumn("k", (F.col("base") + F.when(rank <= F.col("short"), 1).otherwise(0)).cast("long")).select(
-        label_col, "n_c", "k")
+def class_counts(df: DataFrame, label_col: str) -> list[tuple[Any, int]]:
+    """(class, rows) in class order. A label with more than ``MAX_CLASSES`` values is no class label and is refused."""
+    rows = df.groupBy(label_col).count().limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"{label_col} has more than {MAX_CLASSES} values")
+    return sorted(((r[0], r["count"]) for r in rows), key=lambda r: (r[0] is None, r[0]))
+
+
+def stratified_allocation(counts: list[tuple[Any, int]], test_size: float) -> list[tuple[Any, int]]:
+    """Test rows of each class (largest remainder, ties to the smaller class)."""
+    n = sum(c for _, c in counts)
+    n_test = math.ceil(n * test_size)
+    quota = [c * n_test / n for _, c in counts]
+    rest = n_test - sum(math.floor(x) for x in quota)
+    favoured = set(sorted(range(len(counts)), key=lambda i: (math.floor(quota[i]) - quota[i], i))[:rest])
+    return [(c, math.floor(quota[i]) + (i in favoured)) for i, (c, _) in enumerate(counts)]
 
 
-def stratify_possible(alloc_rows: list, n: int, n_test: int) -> bool:
-    n_classes = len(alloc_rows)
-    if n_classes == 0 or min(r["n_c"] for r in alloc_rows) < 2:
-        return False
-    return n_test >= n_classes and (n - n_test) >= n_classes
+def stratify_possible(counts: list[tuple[Any, int]], n_test: int) -> bool:
+    """Every class has two rows, and either side has a row for every class."""
+    n = sum(c for _, c in counts)
+    return bool(counts) and min(c for _, c in counts) >= 2 and min(n_test, n - n_test) >= len(counts)
 
 
 def split_stratified(df: DataFrame, key_col: str, label_col: str, test_size: float = 0.2,
@@ -64,17 +65,12 @@ def split_stratified(df: DataFrame, key_col: str, label_col: str, test_size: flo
     impossible (a class with < 2 rows, or a side smaller than the class count).
     Returns (flagged frame, method used)."""
     _check(test_size)
-    alloc = stratified_allocation(df, label_col, test_size)
-    rows = alloc.collect()  # one row per class
-    n = sum(r["n_c"] for r in rows)
-    n_test = math.ceil(n * test_size)
-    if not stratify_possible(rows, n, n_test):
+    counts = class_counts(df, label_col)
+    if not stratify_possible(counts, math.ceil(sum(c for _, c in counts) * test_size)):
         return split_random(df, key_col, test_size, seed, out), "random"
-    h = df.withColumn("_h", hash32(q(key_col), seed))
-    small = df.sparkSession.createDataFrame([(r[label_col], int(r["k"])) for r in rows],
-                                            alloc.select(label_col, "k").schema)
-    biggest = max(r["n_c"] for r in rows)
-    return flag_smallest(h, [label_col], "_h", key_col, small, out=out, max_rows=biggest).drop("_h"), "stratified"
+    hashed = df.withColumn("_h", hash32(q(key_col), seed))
+    take = stratified_allocation(counts, test_size)
+    return flag_smallest(hashed, label_col, "_h", key_col, take, out=out).drop("_h"), "stratified"
 
 
 def class_weights(df: DataFrame, label_col: str) -> DataFrame:
@@ -85,5 +81,10 @@ def class_weights(df: DataFrame, label_col: str) -> DataFrame:
 
 
 def with_class_weight(df: DataFrame, label_col: str, out: str = "weight") -> DataFrame:
-    """Attach the balanced class weight to every row (classes are broadcast)."""
-    return df.join(F.broadcast(class_weights(df, label_col).withColumnRenamed("weight", out)), on=label_col, how="left")
+    """Attach the balanced class weight to every row; the class count is checked before classes are broadcast."""
+    counts = class_counts(df, label_col)
+    n = sum(c for _, c in counts)
+    kind = df.schema[label_col].dataType.simpleString()
+    weights = df.sparkSession.createDataFrame(
+        [(v, n / (len(counts) * c)) for v, c in counts if v is not None], f"`{label_col}` {kind}, `{out}` double")
+    return df.join(F.broadcast(weights), on=label_col, how="left")
