@@ -11,8 +11,9 @@ columns with a single row drop out inside their block.
 The product is formed in two steps, and only links that connect something new are
 needed:
 
-1. In each column all rows are multiplied with one hub, the row that shares most of
-   its prefix. Groups of near copies hang together after this.
+1. In each column all rows are multiplied with one hub, the row in which the column
+   stands first for its size: it has fewest n-grams of its own, as the text that the
+   others are copies of. Groups of near copies hang together after this.
 2. Columns that still hold different components are multiplied with themselves,
    keeping pairs of different components that pass the size bound and the positional
    bound (what may still follow the shared column must reach the overlap needed).
@@ -37,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabforge.llm.common import NGRAM_MULTIPLIERS, add_chunks, components, histogram_chunks, mixed, stored
+from tabforge.llm.common import NGRAM_MULTIPLIERS, add_chunks, components, histogram_chunks, mixed, pieces, stored
 
 _ENTRY = np.dtype([("h", "<u8"), ("d0", "<u8"), ("d1", "<u8"), ("n", "<u4"), ("p", "<u4")])
 
@@ -51,7 +52,7 @@ class JaccardParams:
 
     words: int = 5
     percent: int = 75
-    sketch_bits: int = 18
+    sketch_bits: int = 20
     entries: int = 500_000
     hot: int = 200_000
     bloom_bits: int = 1 << 23
@@ -90,6 +91,11 @@ def _differ_at_least(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ folded).sum())
 
 
+def _as_binary(ids: np.ndarray) -> pa.Array:
+    """Rows of two 64-bit numbers as 16-byte values."""
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(ids), [None, pa.py_buffer(ids.tobytes())]).cast(pa.binary())
+
+
 def _bucket(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> np.uint64(64 - bits)).astype(np.int64)
 
@@ -122,7 +128,7 @@ class _Join:
             counts = np.zeros(bins, np.int64)
             names = ["key", "t", "n", "d", "bitmap", "at", "counts"]
             key_type = None
-            for b in batches:
+            for b in pieces(batches):
                 sets = [shingles(t, p.words) for t in b.column(1).to_pylist()]
                 if sets:
                     counts += np.bincount(_bucket(np.concatenate(sets), p.sketch_bits), minlength=bins)
@@ -148,7 +154,10 @@ class _Join:
         return both.where("n is not null").drop("at", "counts"), sketch
 
     def columns(self) -> DataFrame:
-        """(h, d, n, p): the prefix entries of all columns with two rows or more, written once."""
+        """(h, d, n, p, hub, m): the prefix entries of all columns with two rows or more, written once.
+
+        ``hub`` and its size ``m`` are null in columns that were dealt out by row.
+        """
         p, sketch = self.p, np.minimum(self.sketch, 2**31 - 1).astype(np.int32)
         total = self.rows.agg(F.sum("n")).first()[0] or 0
         blocks = max(1, -(-(total * (100 - p.percent) // 100) // p.entries))
@@ -174,7 +183,7 @@ class _Join:
                      pa.array([e[a:z].tobytes() for a, z in zip(at, ends, strict=False)], pa.binary())],
                     ["block", "entries"])
 
-            for b in batches:
+            for b in pieces(batches):
                 for t in b.column(0).to_pylist():
                     s = shingles(t, p.words)
                     if not len(s) or (d := _digest(s)) in seen:
@@ -196,17 +205,25 @@ class _Join:
             e = e[np.lexsort((e["d1"], e["d0"], e["h"]))]
             # a row seen by several tasks has equal entries
             e = e[np.r_[True, (e["h"][1:] != e["h"][:-1]) | (e["d0"][1:] != e["d0"][:-1]) | (e["d1"][1:] != e["d1"][:-1])]]
-            if key[0].as_py() < blocks:
+            cold = key[0].as_py() < blocks
+            if cold:
                 same = e["h"][1:] == e["h"][:-1]
                 e = e[np.r_[False, same] | np.r_[same, False]]
-            d = np.stack([e["d0"], e["d1"]], axis=1).tobytes()
-            fixed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(e), [None, pa.py_buffer(d)])
+            ids = np.stack([e["d0"], e["d1"]], axis=1)
+            hub, m = pa.nulls(len(e), pa.binary()), pa.nulls(len(e), pa.int64())
+            if cold and len(e):  # a hot column's rows are in several tasks, which cannot tell
+                first = np.r_[True, e["h"][1:] != e["h"][:-1]]
+                order = np.lexsort((e["d1"], e["d0"], e["p"] / e["n"], np.cumsum(first)))
+                at = np.repeat(order[np.flatnonzero(first)], np.diff(np.r_[np.flatnonzero(first), len(e)]))
+                hub, m = _as_binary(ids[at]), pa.array(e["n"][at].astype(np.int64))
             return pa.table({
-                "h": e["h"].view("<i8"), "d": fixed.cast(pa.binary()), "n": e["n"].astype(np.int64), "p": e["p"].astype(np.int64),
+                "h": e["h"].view("<i8"), "d": _as_binary(ids), "n": e["n"].astype(np.int64), "p": e["p"].astype(np.int64),
+                "hub": hub, "m": m,
             })
 
+        schema = "h long, d binary, n long, p long, hub binary, m long"
         packed = self.texts.select("text").mapInArrow(cut, "block long, entries binary")
-        return stored(packed.groupBy("block").applyInArrow(keep, "h long, d binary, n long, p long"), "jaccard-columns")
+        return stored(packed.groupBy("block").applyInArrow(keep, schema), "jaccard-columns")
 
     def sets(self, wanted: DataFrame) -> DataFrame:
         """(d, s): the packed n-gram set of every wanted d, written once."""
@@ -216,7 +233,7 @@ class _Join:
 
         def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bits = np.zeros(p.bloom_bits, bool)
-            for b in batches:
+            for b in pieces(batches):
                 bits[_bloom_places(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), p.bloom_bits)] = True
             at, blobs = histogram_chunks(np.packbits(bits, bitorder="little").view("<i8"))
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(blobs, pa.binary())], ["at", "counts"])
@@ -230,7 +247,7 @@ class _Join:
             return pa.array(hit.reshape(4, -1).all(axis=0))
 
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in pieces(batches):
                 sets = [shingles(t, p.words) for t in b.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()),
@@ -245,7 +262,7 @@ class _Join:
         percent = self.p.percent
 
         def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in pieces(batches):
                 a, b, m, n, x, y = (c.to_pylist() for c in batch.columns)
                 keep = [
                     _differ_at_least(*maps) <= size - 2 * -(-percent * size // (100 + percent))
@@ -268,7 +285,7 @@ class _Join:
         sets = self.sets(wanted)
 
         def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in pieces(batches):
                 a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                 left, right = batch.column(2), batch.column(3)
                 keep = np.zeros(len(a), bool)
@@ -294,19 +311,18 @@ class _Join:
 
     def hub_pairs(self, columns: DataFrame) -> DataFrame:
         """Step 1: (hub, row) of every column, where sizes allow a link."""
-        percent = self.p.percent
-        prefix = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1
-        degree = columns.groupBy("d").agg((F.count("*") / F.max(prefix)).alias("shared"))
-        ranked = columns.join(degree, "d").select("h", "d", "n", "shared")
-        hubs = ranked.groupBy("h").agg(F.min(F.struct(-F.col("shared"), F.col("d"), F.col("n"))).alias("hub"))
-        pairs = ranked.join(hubs, "h").select(F.col("hub.d").alias("a"), F.col("d").alias("b"), "n", F.col("hub.n").alias("m"))
-        close = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
-        return pairs.where((F.col("a") != F.col("b")) & close).select("a", "b").distinct()
+        place = F.struct((F.col("p") / F.col("n")).alias("place"), "d", "n")
+        hot = columns.where("hub is null").drop("hub", "m")
+        hubs = hot.groupBy("h").agg(F.min(place).alias("first"))
+        hot = hot.join(hubs, "h").select("d", "n", F.col("first.d").alias("hub"), F.col("first.n").alias("m"))
+        pairs = columns.where("hub is not null").select("d", "n", "hub", "m").union(hot)
+        close = 100 * F.least("n", "m") >= self.p.percent * F.greatest("n", "m")
+        return pairs.where((F.col("hub") != F.col("d")) & close).select(F.col("hub").alias("a"), F.col("d").alias("b")).distinct()
 
     def open_pairs(self, columns: DataFrame, linked: DataFrame) -> DataFrame:
         """Step 2: pairs of different components that share a column and pass all bounds."""
         percent = self.p.percent
-        own = columns.join(linked.withColumnRenamed("node", "d"), "d", "left")
+        own = columns.drop("hub", "m").join(linked.withColumnRenamed("node", "d"), "d", "left")
         own = own.withColumn("component", F.coalesce("component", "d"))
         several = own.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"))
         own = stored(own.join(several.where("low != high").select("h"), "h", "left_semi"), "jaccard-open")
