@@ -12,11 +12,11 @@ from __future__ import annotations
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tabforge.functions.columns import hash32
 from tabforge.functions.stats import with_position
 from tabforge.operators.knn import knn
-from tabforge.operators.split import class_weights, with_class_weight  # noqa: F401  (re-exported)
 
 # Salts of the three SMOTE hashes.
 SALT_BASE, SALT_NEIGHBOUR, SALT_GAP = 43, 44, 45
@@ -74,9 +74,16 @@ def smote(df: DataFrame, *, id_col: str, label_col: str, vec_col: str, k: int =
 
 
 def smote_resample(df: DataFrame, *, id_col: str, label_col: str, vec_col: str, k: int = 5) -> DataFrame:
-    """Training rows plus synthetic rows; a synthetic row's id is a negative
-    64-bit hash of (label, j), so ids stay deterministic."""
-    syn = smote(df, id_col=id_col, label_col=label_col, vec_col=vec_col, k=k)
-    base = df.select(F.col(id_col).cast("long").alias(id_col), label_col, F.col(vec_col).cast("array<double>"))
-    syn_id = -F.abs(F.xxhash64(F.col(label_col).cast("string"), F.col("j"))) - 1
-    return base.unionByName(syn.select(syn_id.alias(id_col), label_col, vec_col))
+    """Training rows plus synthetic rows. Whole-number ids stay what they are, and a
+    synthetic row's is a negative 64-bit hash of (label, j); other ids become
+    text, and a synthetic row's is ``synthetic:label:j``. Either way ids are deterministic."""
+    kind = df.schema[id_col].dataType
+    rows = df.select(F.col(id_col).alias("_key"), label_col, F.col(vec_col).cast("array<double>").alias(vec_col))
+    # the kNN needs whole-number ids: a hash of the key does, and the key itself where it is one
+    whole = isinstance(kind, IntegralType)
+    number = F.col("_key").cast("long") if whole else F.xxhash64("_key")
+    syn = smote(rows.withColumn("_number", number), id_col="_number", label_col=label_col, vec_col=vec_col, k=k)
+    label, j = F.col(label_col).cast("string"), F.col("j")
+    syn_id = -F.abs(F.xxhash64(label, j)) - 1 if whole else F.concat_ws(":", F.lit("synthetic"), label, j)
+    key = F.col("_key").cast("long" if whole else "string")
+    return rows.select(key.alias(id_col), label_col, vec_col).unionByName(syn.select(syn_id.alias(id_col), label_col, vec_col))

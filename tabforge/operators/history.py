@@ -111,35 +111,37 @@ def mark_best(models: DataFrame, job_col: str = "training_job_id", score_col: st
 
 
 def training_history(jobs: DataFrame, projects: DataFrame, models: DataFrame, *, project_id: int | None = None,
-                     status: str | None = None, since=None, until=None,
+                     status: str | None = None, since=None, until=None, order_cols: Sequence[str] = ("model_id",),
                      limit: int = DEFAULT_HISTORY_LIMIT) -> DataFrame:
-    """Jobs with project name, per-job model counts and the best model."""
+    """Newest jobs with project name, per-job model counts and the best model.
+
+    The list is cut before any model is looked at: left joins cannot remove jobs, so
+    only the models of the ``limit`` listed jobs are aggregated. ``models`` need no
+    best flag; without one, ``mark_best`` runs over these models by ``order_cols``.
+    """
     _check_limit(limit)
     j = history_filter(jobs, project_id=project_id, status=status, since=since, until=until)
-    agg = models.groupBy("training_job_id").agg(
-        F.count(F.lit(1)).alias("n_total"),
-        F.count_if(F.col("metric_score").isNull()).alias("n_failed"))
-    best = models.where(F.col("is_best")).select(
-        "training_job_id", F.col("algorithm_name").alias("best_algo"), F.col("metric_score").alias("best_metric"))
-    p = projects.select("project_id", "project_name")
-    out = (
-        j.join(p, on="project_id", how="inner")
-        .join(agg, on="training_job_id", how="left")
-        .join(best, on="training_job_id", how="left")
-    )
-    n_total = F.coalesce(F.col("n_total"), F.lit(0))
-    n_failed = F.coalesce(F.col("n_failed"), F.lit(0))
-    return (
-        out.select(
-            "training_job_id", "project_id", "project_name", "dataset_id", "task_type", "target_column",
-            "metric_key", "status", "created_at", "started_at", "ended_at",
-            duration_ms(F.col("started_at"), F.col("ended_at")).alias("duration_ms"),
-            F.greatest(F.lit(0), n_total - n_failed).cast("bigint").alias("n_models_success"),
-            n_failed.cast("bigint").alias("n_models_failed"),
-            "best_algo", "best_metric")
+    newest = (
+        j.join(projects.select("project_id", "project_name"), on="project_id", how="inner")
         .orderBy(F.col("created_at").desc(), F.col("training_job_id").desc())
         .limit(limit)
     )
+    own = models.join(F.broadcast(newest.select("training_job_id")), on="training_job_id", how="left_semi")  # limit rows
+    if "is_best" not in models.columns:
+        own = mark_best(own, order_cols=order_cols)
+    best = F.struct(F.col("algorithm_name").alias("algo"), F.col("metric_score").alias("score"))
+    per_job = own.groupBy("training_job_id").agg(
+        F.count_if(F.col("metric_score").isNull()).alias("n_failed"),
+        F.count_if(F.col("metric_score").isNotNull()).alias("n_success"),
+        F.max(F.when(F.col("is_best"), best)).alias("best"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
+    out = newest.join(per_job, on="training_job_id", how="left").select(
+        "training_job_id", "project_id", "project_name", "dataset_id", "task_type", "target_column",
+        "metric_key", "status", "created_at", "started_at", "ended_at",
+        duration_ms(F.col("started_at"), F.col("ended_at")).alias("duration_ms"),
+        zero("n_success").alias("n_models_success"), zero("n_failed").alias("n_models_failed"),
+        F.col("best.algo").alias("best_algo"), F.col("best.score").alias("best_metric"))
+    return out.orderBy(F.col("created_at").desc(), F.col("training_job_id").desc())
 
 
 def prediction_history(predictions: DataFrame, models: DataFrame, jobs: DataFrame, projects: DataFrame, *,
@@ -311,3 +313,13 @@ def duplicate_names(projects: DataFrame, name_col: str = "project_name") -> Data
         .where(F.col("n_projects") > 1)
         .withColumn("valid_length", (F.length("normalized_name") >= 1) & (F.length("normalized_name") <= NAME_MAX_LEN))
     )
+
+
+def newest_of(rows: DataFrame, parent_col: str, parent, key_col: str, *, time_col: str = "created_at",
+              limit: int = DEFAULT_HISTORY_LIMIT, offset: int = 0) -> DataFrame:
+    """A parent's rows (datasets or jobs of a project, predictions of a model), newest first, ties by key descending."""
+    _check_limit(limit)
+    if offset < 0:
+        raise ValueError("offset must be 0 or more")
+    own = rows.where(F.col(parent_col) == F.lit(parent))
+    return own.orderBy(F.col(time_col).desc(), F.col(key_col).desc()).offset(offset).limit(limit)

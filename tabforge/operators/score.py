@@ -72,6 +72,14 @@ def score_models(trained: Sequence[TrainedModel], test: DataFrame, task: str, *,
     return spark.createDataFrame(rows, schema)
 
 
+def plot_data(model: TrainedModel, test: DataFrame, *, id_col: str) -> DataFrame:
+    """What a model's plot shows: its confusion matrix, or a sample of (true, predicted) values."""
+    pred = model.predict(test, id_col, keep=["label"])
+    if model.task == "classification":
+        return M.confusion_matrix(pred, "label", "prediction")
+    return M.scatter_sample(pred, "label", "prediction", [id_col])
+
+
 def model_status(scores: DataFrame) -> DataFrame:
     """One row per model (algo, order, status)."""
     return scores.groupBy("algo", "order").agg(F.min("status").alias("status"))

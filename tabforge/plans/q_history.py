@@ -58,8 +58,8 @@ WHERE created_at >= (SELECT max(created_at) FROM s_jobs) - INTERVAL 30 DAY"""))
 def q_period_filter(spark, sf):
     """Jobs of the last 30 days relative to the newest job (explicit as-of instant)."""
     j = standin(spark, sf, "s_jobs")
-    as_of = j.agg(F.max("created_at")).first()[0]
-    return H.period_filter(j, "created_at", "30d", as_of).select("training_job_id", "created_at")
+    newest = j.agg(F.max("created_at")).scalar()
+    return H.period_filter(j, "created_at", "30d", newest).select("training_job_id", "created_at")
 
 
 @register("admin_stats", sql=with_standins(["s_projects", "s_datasets", "s_jobs", "s_models", "s_predictions"], """
@@ -98,7 +98,8 @@ ORDER BY j.created_at DESC, j.training_job_id DESC LIMIT 200""")
 @register("training_history", sql=_TH_SQL)
 def q_training_history(spark, sf):
     """Newest 200 jobs with project, model success/failure counts and best model."""
-    return H.training_history(standin(spark, sf, "s_jobs"), standin(spark, sf, "s_projects"), _models(spark, sf))
+    return H.training_history(standin(spark, sf, "s_jobs"), standin(spark, sf, "s_projects"), standin(spark, sf, "s_models"),
+                              order_cols=("model_line", "model_price"))
 
 
 @register("job_duration_ms", sql=with_standins(["s_jobs"], """
@@ -267,3 +268,15 @@ def q_duplicate_names(spark, sf):
 
     p = table(spark, sf, "part").select(F.col("p_name").alias("project_name"))
     return H.duplicate_names(p)
+
+
+@register("jobs_of_project", sql=with_standins(["s_jobs"], """
+SELECT training_job_id, project_id, status, created_at FROM s_jobs
+WHERE project_id = (SELECT min(project_id) FROM s_jobs)
+ORDER BY created_at DESC, training_job_id DESC LIMIT 20 OFFSET 5"""))
+def q_jobs_of_project(spark, sf):
+    """A project's training jobs, newest first: 20 of them after the first 5."""
+    j = standin(spark, sf, "s_jobs")
+    first = j.agg(F.min("project_id")).first()[0]  # stands for the project a user picked
+    return H.newest_of(j, "project_id", first, "training_job_id", limit=20, offset=5).select(
+        "training_job_id", "project_id", "status", "created_at")
