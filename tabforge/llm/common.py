@@ -24,7 +24,15 @@ NGRAM_MULTIPLIERS = np.array(
 )
 
 
+#: Rows of an Arrow batch. Spark's default suits numbers; as many texts are tens of MB in each of the JVM's and
+#: the worker's buffers.
+ARROW_ROWS = 500
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of texts, read in a session whose Arrow batches are short unless the user has set their length."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

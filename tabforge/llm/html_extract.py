@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabforge.llm.common import pieces
+
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
@@ -190,7 +192,7 @@ def extract_main_text(pages: DataFrame, html: str = "html", params: BlockParams
 
     @F.arrow_udf("string")
     def extract(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in pieces(batches):
             yield pa.array([main_text(t, p) for t in batch.to_pylist()], pa.string())
 
     kept = [c for c in pages.columns if c.lower() not in ("text", "n_chars")]

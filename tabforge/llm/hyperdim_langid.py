@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabforge.llm.common import fresh_name, histogram_sum
+from tabforge.llm.common import fresh_name, histogram_sum, pieces
 
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
@@ -117,7 +117,7 @@ def fit_prototypes(docs: DataFrame, text: str, lang: str, train: Column, p: Prof
     def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         profiler = Profiler(p)
         totals = np.zeros(len(langs) * p.ngrams, np.int64)
-        for b in batches:
+        for b in pieces(batches):
             for t, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if has_letter(t):
                     codes = profiler.codes(t)
@@ -155,7 +155,7 @@ def predict_language(
     @F.arrow_udf(kind)
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         profiler = Profiler(p)
-        for batch in batches:
+        for batch in pieces(batches):
             texts = batch.to_pylist()
             names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
             known = [i for i, t in enumerate(texts) if langs and has_letter(t)]

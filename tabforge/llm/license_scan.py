@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabforge.llm.common import fresh_name, histogram_sum
+from tabforge.llm.common import fresh_name, histogram_sum, pieces
 
 # Bytes that separate words become a space and A-Z become a-z; UTF-8 bytes beyond
 # ASCII stay, so words are the runs of [0-9a-z] and non-ASCII characters.
@@ -108,7 +108,7 @@ def block_frequency(texts: DataFrame, column: str, templates: dict[str, list[str
 
     def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         totals = dict.fromkeys(vocabulary, 0)
-        for b in batches:
+        for b in pieces(batches):
             for text in b.column(0).to_pylist():
                 for line in text.split("\n") if text else ():
                     for w in place.keys() & fold(line).split():
@@ -161,7 +161,7 @@ def scan_licenses(
 
     @F.arrow_udf(OUTPUT)
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in pieces(batches):
             rows = []
             for t in batch.to_pylist():
                 folded = fold(t or "")
