@@ -14,6 +14,7 @@ from tabforge.operators import balance as B
 from tabforge.operators import metrics as M
 from tabforge.operators import preprocess as PP
 from tabforge.operators import train as TR
+from tabforge.operators.profile import category_vocab
 from tabforge.operators.score import model_status, plot_data, score_models
 from tabforge.operators.split import split_random, split_stratified, with_class_weight
 from tabforge.plans.config import FeatureSchema, PreprocessingConfig, TrainingConfig
@@ -40,6 +41,7 @@ class TrainingRun:
     key: str
     rows_without_target: int
     config: PreprocessingConfig
+    vocabulary: DataFrame  # every category of every categorical column
 
     def best(self) -> TR.TrainedModel:
         name = self.leaderboard.where("is_best").first()["algo"]
@@ -54,7 +56,7 @@ class TrainingRun:
         best = self.best()
         return save_bundle(self.scores.sparkSession, path, model=best, pre=self.preprocessor, schema=self.schema,
                            metrics={r["metric"]: r["value"] for r in self.scores.where(F.col("algo") == best.name).collect()},
-                           config=self.config)
+                           config=self.config, vocabulary=self.vocabulary)
 
 
 def keyed(df: DataFrame, key: str | None) -> tuple[DataFrame, str]:
@@ -107,4 +109,5 @@ def run_training(df: DataFrame, cfg: TrainingConfig, *, overrides: dict | None =
     scores = score_models(trained, test, cfg.task_type, id_col=key)
     metrics = M.CLASSIFICATION_METRICS if cfg.task_type == "classification" else M.REGRESSION_METRICS
     lb = M.leaderboard(scores.where(F.col("metric").isNotNull()), model_status(scores), metric_key, list(metrics))
-    return TrainingRun(lb, scores, trained, model, schema, metric_key, method, train, test, key, without, pcfg)
+    return TrainingRun(lb, scores, trained, model, schema, metric_key, method, train, test, key, without, pcfg,
+                       category_vocab(data, schema.categorical))

@@ -11,10 +11,11 @@ from __future__ import annotations
 
 import copy
 import json
+from dataclasses import replace
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.base import Model
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from tabforge.operators.preprocess import PreprocessorModel
 from tabforge.operators.train import KNN, TrainedModel
@@ -51,8 +52,12 @@ def _load_model(spark: SparkSession, path: str, how: dict, model_cls: type) -> M
 
 def save_bundle(spark: SparkSession, path: str, *, model: Model | TrainedModel, pre: PreprocessorModel,
                 schema: FeatureSchema, metrics: dict, config: PreprocessingConfig | None = None,
-                meta: dict | None = None) -> str:
+                meta: dict | None = None, vocabulary: DataFrame | None = None) -> str:
+    """``vocabulary`` (column, value) holds the training categories of all categorical columns, however many."""
     how = _save_model(path, model)
+    if vocabulary is not None:
+        schema = replace(schema, vocabulary="vocabulary")
+        vocabulary.select("column", "value").write.mode("overwrite").parquet(f"{path}/{schema.vocabulary}")
     params = copy.deepcopy(pre.params)
     for i, entry in enumerate(e for e in params.get("categorical", {}).values() if e.get("table")):
         entry["table_path"] = f"tables/{i}"
@@ -81,3 +86,10 @@ def load_bundle(spark: SparkSession, path: str, model_cls: type = PipelineModel)
     model = _load_model(spark, path, part("trained"), model_cls)
     return (model, PreprocessorModel(params, tables), FeatureSchema.from_dict(part("feature_schema")), part("metrics"),
             PreprocessingConfig.from_dict(part("config")), part("meta"))
+
+
+def load_vocabulary(spark: SparkSession, path: str, schema: FeatureSchema) -> DataFrame:
+    """(column, value): the categories that the bundle's model has seen."""
+    if not schema.vocabulary:
+        raise FileNotFoundError(f"bundle {path} has no vocabulary")
+    return spark.read.parquet(f"{path}/{schema.vocabulary}")
