@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabforge.functions.columns import hash32
+from tabforge.session import scratch_path
 
 MAX_PIVOTS = 1024
 MAX_GROUP_CELLS = 200_000
@@ -108,6 +109,10 @@ def knn(query: DataFrame, train: DataFrame, k: int, *, id_col: str = "id", vec_c
     tr_d = tr.withColumn("_pd", to_pivots(F.col("t_vec")))
     tr_c = tr_d.select("t_id", "t_vec", "grp", (F.array_position("_pd", F.array_min("_pd")) - 1).cast("int").alias("cell"),
                        F.array_min("_pd").alias("_r"))
+    # Cells are read by three steps: assigned once, written to the shared folder.
+    path = scratch_path(tr.sparkSession, "knn-cells")
+    tr_c.write.parquet(path)
+    tr_c = tr.sparkSession.read.schema(tr_c.schema).parquet(path)
     per: dict = {}
     for r in tr_c.groupBy("grp", "cell").agg(F.max("_r").alias("rad"), F.count(F.lit(1)).alias("n")).collect():
         per.setdefault(r["grp"], {})[r["cell"]] = (r["rad"], r["n"])  # ≤ groups × m rows
