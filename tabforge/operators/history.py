@@ -262,6 +262,19 @@ def job_status_fold(status_events: DataFrame, job_col: str = "job_id", time_col:
     )
 
 
+def run_log_lines(lines: DataFrame, job_col: str = "job_id", line_col: str = "line", time_col: str = "ts",
+                  id_col: str = "event_id") -> DataFrame:
+    """(job, line_no, line): each job's lines numbered from 0 in (time, id) order.
+
+    The log without its concatenation: a job with a third of all lines stays spread
+    over the range partitions of ``with_position``.
+    """
+    from tabforge.functions.stats import with_position
+
+    numbered = with_position(lines.select(job_col, line_col, time_col, id_col), [job_col], [time_col, id_col], out="line_no")
+    return numbered.select(job_col, "line_no", line_col)
+
+
 def run_log_concat(lines: DataFrame, job_col: str = "job_id", line_col: str = "line", time_col: str = "ts",
                    id_col: str = "event_id") -> DataFrame:
     """Per job: every line newline-terminated, concatenated in (time, id) order."""

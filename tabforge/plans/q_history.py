@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tabforge.operators import history as H
 from tabforge.plans.registry import register
-from tabforge.plans.standins import standin, with_standins
+from tabforge.plans.standins import standin, table, with_standins
 
 # Fixed query parameters used by the registered history queries.
 PROJECT_ID = 7
@@ -280,3 +280,43 @@ def q_jobs_of_project(spark, sf):
     first = j.agg(F.min("project_id")).first()[0]  # stands for the project a user picked
     return H.newest_of(j, "project_id", first, "training_job_id", limit=20, offset=5).select(
         "training_job_id", "project_id", "status", "created_at")
+
+
+@register("run_log_lines", sql=with_standins(["s_status_events"], """
+SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY ts, event_id) - 1 AS line_no, line FROM s_status_events"""))
+def q_run_log_lines(spark, sf):
+    """Per-job run log as numbered lines."""
+    return H.run_log_lines(standin(spark, sf, "s_status_events"))
+
+
+@register("mark_best_min", sql=with_standins(["s_models"], """
+SELECT training_job_id, model_line, model_price, metric_score,
+  metric_score IS NOT NULL AND row_number() OVER (PARTITION BY training_job_id
+    ORDER BY metric_score NULLS LAST, model_line, model_price) = 1 AS is_best FROM s_models"""))
+def q_mark_best_min(spark, sf):
+    """The best model of each job when a smaller score is better."""
+    marked = H.mark_best(standin(spark, sf, "s_models"), order_cols=("model_line", "model_price"), direction="min")
+    return marked.select("training_job_id", "model_line", "model_price", "metric_score", "is_best")
+
+
+_SUMMARY = """CASE event_type
+  WHEN 'error' THEN concat('{"status": "failed", "error": "scoring failed: x", "train_time_ms": ', CAST(event_id AS VARCHAR(20)), '}')
+  WHEN 'signup' THEN concat('{"metrics": {"f1": 0.5, "note": "x", "n": ', CAST(event_id AS VARCHAR(20)), '}, "train_time_ms": 3}')
+  WHEN 'click' THEN '{"metrics": {}, "train_time_ms": null}'
+  ELSE '{"accuracy": 0.25, "train_time_ms": 7}' END"""
+
+
+@register("metric_json_nested", sql=f"""
+WITH e AS (SELECT event_id, {_SUMMARY} AS j FROM events),
+m AS (SELECT *, CASE WHEN json_exists(j, '$.metrics') THEN json_extract(j, '$.metrics') ELSE j END AS src FROM e),
+v AS (SELECT *, TRY_CAST(json_extract_string(src, '$.f1') AS DOUBLE) AS f1, TRY_CAST(json_extract_string(src, '$.n') AS DOUBLE) AS n,
+  TRY_CAST(json_extract_string(src, '$.accuracy') AS DOUBLE) AS accuracy FROM m)
+SELECT event_id, f1, n, accuracy, json_extract_string(j, '$.error') AS error,
+  TRY_CAST(json_extract_string(j, '$.train_time_ms') AS BIGINT) AS train_time_ms,
+  coalesce(json_extract_string(j, '$.status'), CASE WHEN coalesce(f1, n, accuracy) IS NOT NULL THEN 'success' ELSE 'failed' END) AS status
+FROM v""")
+def q_metric_json_nested(spark, sf):
+    """Nested metrics, text among them, errors and explicit or implied status out of metric summaries."""
+    rows = table(spark, sf, "events").select("event_id", F.expr(_SUMMARY).alias("j"))
+    out = H.metric_json_extract(rows, "j")
+    return out.select("event_id", *[F.col("metrics")[m].alias(m) for m in ("f1", "n", "accuracy")], "error", "train_time_ms", "status")
