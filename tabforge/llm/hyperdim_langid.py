@@ -2,11 +2,12 @@
 
 Every letter symbol has a random vector of +1/-1. An n-gram's vector binds
 (multiplies) its letters' vectors, each rotated by its place; a text's vector
-bundles (adds) the vectors of its n-grams; a language's prototype bundles its
+bundles (adds) the vectors of its n-grams, one found c times with weight log2(1 + c),
+so that a phrase said over and over does not drown the rest; a language's prototype bundles its
 training texts, each scaled to length one. The prototype closest to a text by
 cosine gives its language.
 
-Bundling is linear, so training counts n-grams per language (one histogram a
+Adding is linear, so training counts n-grams per language (one histogram a
 partition, weighted by 1/length of the text) and builds the prototypes from the
 sums; prediction multiplies a batch's count matrix, over the n-grams that occur in
 it, with those n-grams' vectors. Nothing but the histograms leaves the tasks.
@@ -39,7 +40,7 @@ class ProfileParams:
     symbols: int = 40
     n: int = 3
     seed: int = 7
-    batch: int = 64
+    batch: int = 32
 
     @property
     def ngrams(self) -> int:
@@ -58,6 +59,10 @@ def _symbol_table(p: ProfileParams) -> np.ndarray:
     return table
 
 
+def weight(counts: np.ndarray) -> np.ndarray:
+    return np.log2(1.0 + counts)
+
+
 class Profiler:
     """Counts n-grams of texts and turns counts into hypervectors. One per task."""
 
@@ -89,14 +94,14 @@ class Profiler:
         return out
 
     def bundled(self, texts: list[str]) -> np.ndarray:
-        """One vector a text: the sum of its n-grams' vectors."""
+        """One vector a text: the weighted sum of its n-grams' vectors."""
         codes = [self.codes(t) for t in texts]
         owner = np.repeat(np.arange(len(texts)), [len(c) for c in codes])
         flat = np.concatenate(codes) if codes else np.empty(0, np.int64)
         counts = np.bincount(owner * self.p.ngrams + flat, minlength=len(texts) * self.p.ngrams)
         counts = counts.reshape(len(texts), self.p.ngrams)
         present = np.flatnonzero(counts.any(axis=0))
-        return counts[:, present].astype(np.float32) @ self.vectors(present).astype(np.float32)
+        return weight(counts[:, present]).astype(np.float32) @ self.vectors(present).astype(np.float32)
 
 
 def has_letter(text: str | None) -> bool:
@@ -123,7 +128,7 @@ def fit_prototypes(docs: DataFrame, text: str, lang: str, train: Column, p: Prof
                     codes = profiler.codes(t)
                     got = np.bincount(codes, minlength=p.ngrams)
                     at = np.flatnonzero(got)
-                    c = got[at]
+                    c = weight(got[at])
                     totals[place[x] * p.ngrams + at] += np.rint(c * (_UNIT / np.sqrt(float(c @ c)))).astype(np.int64)
         return totals
 

@@ -53,6 +53,8 @@ def test_encode_spreads_long_texts(spark):
     assert got.columns == ["doc_id", "text", "lang", "Score", "ids", "decoded"]  # ids replaces IDS
     rows = got.collect()
     assert len(rows) == docs.count()
+    both = bpe.encode_texts(docs, BPE_PATH, decoded=True, leaf_chars=64, spread_chars=1000)
+    assert sorted(map(repr, both.select(*got.columns).collect())) == sorted(map(repr, rows))
     for r in rows:
         want = library.encode(r["text"] or "", add_special_tokens=False).ids
         assert np.frombuffer(r["ids"], "<u4").tolist() == want
@@ -211,6 +213,9 @@ def test_bundling_counts_equals_the_definition():
             bound *= np.roll(profiler.letters[s], 2 - k)
         want += bound
     assert np.array_equal(profiler.bundled([text, "zz"])[0], want)
+    often = profiler.bundled(["ab ab ab"])[0]  # " ab" and "ab " three times, "b a" twice
+    letters = profiler.vectors(np.array([0 * 1600 + 1 * 40 + 2, 1 * 1600 + 2 * 40 + 0, 2 * 1600 + 0 * 40 + 1]))
+    assert np.allclose(often, 2 * letters[0] + 2 * letters[1] + np.log2(3) * letters[2], rtol=1e-6)
 
 
 def test_language_query_on_held_out_documents(spark):
