@@ -66,6 +66,8 @@ def pieces(batches: Iterator, rows: int = 256) -> Iterator:
     for batch in batches:
         for at in range(0, len(batch), rows):
             yield batch.slice(at, rows)
+    batch = None
+    pa.default_memory_pool().release_unused()  # workers live on; what Arrow keeps would add up over stages
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

@@ -53,7 +53,7 @@ class JaccardParams:
     words: int = 5
     percent: int = 75
     sketch_bits: int = 20
-    entries: int = 500_000
+    entries: int = 250_000
     hot: int = 200_000
     bloom_bits: int = 1 << 23
 
@@ -160,7 +160,7 @@ class _Join:
         """
         p, sketch = self.p, np.minimum(self.sketch, 2**31 - 1).astype(np.int32)
         total = self.rows.agg(F.sum("n")).first()[0] or 0
-        blocks = max(1, -(-(total * (100 - p.percent) // 100) // p.entries))
+        self.blocks = blocks = max(1, -(-(total * (100 - p.percent) // 100) // p.entries))
         salts = max(1, -(-int(sketch.max(initial=0)) // p.hot))
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,18 +322,52 @@ class _Join:
     def open_pairs(self, columns: DataFrame, linked: DataFrame) -> DataFrame:
         """Step 2: pairs of different components that share a column and pass all bounds."""
         percent = self.p.percent
-        own = columns.drop("hub", "m").join(linked.withColumnRenamed("node", "d"), "d", "left")
+        own = columns.drop("m").join(linked.withColumnRenamed("node", "d"), "d", "left")
         own = own.withColumn("component", F.coalesce("component", "d"))
-        several = own.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        own = stored(own.join(several.where("low != high").select("h"), "h", "left_semi"), "jaccard-open")
+
+        def multiply(group: pa.Table) -> pa.Table:
+            """Whole columns of one block with themselves."""
+            ids, d = np.unique(np.array(group.column("d").to_pylist(), "S16"), return_inverse=True)
+            component = np.unique(np.array(group.column("component").to_pylist(), "S16"), return_inverse=True)[1]
+            h, n, at = (group.column(c).to_numpy() for c in ("h", "n", "p"))
+            order = np.lexsort((n, h))
+            h, n, at, d, component = h[order], n[order], at[order], d[order], component[order]
+            first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            rows = np.diff(np.r_[first, len(h)])
+            several = np.minimum.reduceat(component, first) != np.maximum.reduceat(component, first)
+            end = np.repeat(first + rows, rows)
+            small = at < n + (-2 * percent * n // (100 + percent)) + 1
+            x = np.flatnonzero(np.repeat(several, rows))
+            found = [np.empty((0, 2), np.int64)]
+            step = 0
+            while len(x):  # x with the row ``step`` places behind it, which is as large or larger
+                step += 1
+                x = x[x + step < end[x]]
+                y = x + step
+                near = 100 * n[x] >= percent * n[y]
+                x, y = x[near], y[near]  # rows further behind are larger still
+                reach = np.minimum(n[x] - at[x], n[y] - at[y]) >= -(-percent * (n[x] + n[y]) // (100 + percent))
+                ok = reach & (component[x] != component[y]) & (small[x] | small[y] & (n[x] == n[y]))
+                found.append(np.sort(np.stack([d[x[ok]], d[y[ok]]], axis=1), axis=1))
+            pairs = np.unique(np.concatenate(found), axis=0)
+            names = [[i.ljust(16, b"\0") for i in ids[side].tolist()] for side in pairs.T]
+            return pa.table({"a": pa.array(names[0], pa.binary()), "b": pa.array(names[1], pa.binary())})
+
+        cold = own.where("hub is not null").withColumn("block", F.pmod("h", F.lit(self.blocks)))
+        cold = cold.select("block", "h", "d", "n", "p", "component").groupBy("block").applyInArrow(multiply, "a binary, b binary")
+
+        hot = own.where("hub is null").drop("hub")
+        several = hot.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        hot = stored(hot.join(several.where("low != high").select("h"), "h", "left_semi"), "jaccard-hot")
         small = F.col("p") < F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent)) + 1
-        x = own.where(small).select("h", *(F.col(c).alias(f"x_{c}") for c in ("d", "n", "p", "component")))
-        y = own.select("h", *(F.col(c).alias(f"y_{c}") for c in ("d", "n", "p", "component")))
+        x = hot.where(small).select("h", *(F.col(c).alias(f"x_{c}") for c in ("d", "n", "p", "component")))
+        y = hot.select("h", *(F.col(c).alias(f"y_{c}") for c in ("d", "n", "p", "component")))
         xn, yn = F.col("x_n"), F.col("y_n")
         bound = F.least(xn - F.col("x_p"), yn - F.col("y_p")) >= _needed(xn, yn, percent)
         fits = (F.col("x_component") != F.col("y_component")) & (xn <= yn) & (100 * xn >= percent * yn) & bound
         pairs = x.join(y, "h").where(fits)
-        return pairs.select(F.least("x_d", "y_d").alias("a"), F.greatest("x_d", "y_d").alias("b")).distinct()
+        hot = pairs.select(F.least("x_d", "y_d").alias("a"), F.greatest("x_d", "y_d").alias("b"))
+        return cold.union(hot).distinct()
 
 
 def jaccard_components(
