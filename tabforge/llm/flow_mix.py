@@ -32,12 +32,16 @@ WEIGHT_CYCLE = (5.0, 2.0, 1.0)
 
 @dataclass(frozen=True)
 class MixParams:
-    """``rows_per_range``: rows of a pattern that are put in order at once. ``rounds``: fill-up rounds."""
+    """``rows_per_range``: rows of a pattern that are put in order at once. ``rounds``: fill-up rounds.
+
+    ``most_patterns``: patterns, and sources, that the driver solves the flow for; more are refused.
+    """
 
     max_repeats: int = 3
     seed: int = 11
     rounds: int = 5
     rows_per_range: int = 50_000
+    most_patterns: int = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -176,7 +180,9 @@ def mix_sources(
     )
     slim = stored(marked.select(F.col(key).alias("key"), F.col(order).alias("hash"), "size"), "mix")
     found = slim.where("key is not null").groupBy("key").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
-    patterns = sorted((r["key"], r["words"], r["n"]) for r in found.collect())  # one row a pattern
+    patterns = sorted((r["key"], r["words"], r["n"]) for r in found.limit(p.most_patterns + 1).collect())
+    if max(len(patterns), len(targets)) > p.most_patterns:
+        raise ValueError(f"more than {p.most_patterns} membership patterns or sources")
     sources = sorted(targets, key=lambda s: (s is None, s or ""))
     place = {s: i for i, s in enumerate(sources)}
     member_of = [[place[s] for s in json.loads(k) if s in place] for k, _, _ in patterns]
@@ -241,7 +247,9 @@ def mix_sources(
     )
 
 
-def source_sizes(docs: DataFrame, size: Column, source: str) -> dict[str | None, int]:
-    """All words of each source; one row a source."""
-    sums = docs.groupBy(F.col(source).alias("source")).agg(F.sum(size).alias("words")).collect()
+def source_sizes(docs: DataFrame, size: Column, source: str, most: int = MixParams.most_patterns) -> dict[str | None, int]:
+    """All words of each source; more than ``most`` sources are refused."""
+    sums = docs.groupBy(F.col(source).alias("source")).agg(F.sum(size).alias("words")).limit(most + 1).collect()
+    if len(sums) > most:
+        raise ValueError(f"more than {most} sources")
     return {r["source"]: r["words"] for r in sums}

@@ -34,13 +34,17 @@ _UNIT = 1 << 20  # fixed-point one, so that sums do not depend on their order
 
 @dataclass(frozen=True)
 class ProfileParams:
-    """``symbols``: 0 is any run of non-letters, 1-26 are a-z, the rest share all other letters by hash."""
+    """``symbols``: 0 is any run of non-letters, 1-26 are a-z, the rest share all other letters by hash.
+
+    ``most_languages``: the driver holds a histogram for each; more are refused.
+    """
 
     dimension: int = 512
     symbols: int = 40
     n: int = 3
     seed: int = 7
     batch: int = 32
+    most_languages: int = 1_000
 
     @property
     def ngrams(self) -> int:
@@ -114,7 +118,9 @@ def fit_prototypes(docs: DataFrame, text: str, lang: str, train: Column, p: Prof
     The driver holds one histogram of ``symbols ** n`` bins a language.
     """
     rows = docs.where(train & F.col(lang).isNotNull()).select(text, lang)
-    langs = sorted(r[0] for r in rows.select(lang).distinct().collect())  # one value a language
+    langs = sorted(r[0] for r in rows.select(lang).distinct().limit(p.most_languages + 1).collect())
+    if len(langs) > p.most_languages:
+        raise ValueError(f"{lang} has more than {p.most_languages} values")
     if not langs:
         return [], np.zeros((0, p.dimension), np.float32)
     place = {x: i for i, x in enumerate(langs)}
