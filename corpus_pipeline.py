@@ -90,8 +90,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document that is left, with digests of them and of the decoded text."""
-    encoded = bpe.encode_texts(docs.select("doc_id", "text"), BPE_PATH)
-    return bpe.decode_ids(encoded, BPE_PATH).select(
+    return bpe.encode_texts(docs.select("doc_id", "text"), BPE_PATH, decoded=True).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         "ids",

@@ -22,6 +22,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabforge.llm.common import fresh_name, pieces, stored
 
@@ -120,49 +121,67 @@ def _packed(ids: np.ndarray) -> bytes:
     return ids.astype("<u4").tobytes()
 
 
+RESULT = T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
+
+
 def encode_texts(
-    docs: DataFrame, path: str, text: str = "text", leaf_chars: int = LEAF_CHARS, spread_chars: int = SPREAD_CHARS,
+    docs: DataFrame, path: str, text: str = "text", decoded: bool = False, leaf_chars: int = LEAF_CHARS,
+    spread_chars: int = SPREAD_CHARS,
 ) -> DataFrame:
     """Adds ``ids``, the text's token ids as little-endian unsigned 32-bit integers, to every row.
 
-    A null or empty text has no ids (an empty value). Texts over ``spread_chars`` are
-    cut into rows of at most that length, encoded wherever there is room and joined
-    per text. Repeated rows get equal ids; an empty table gives an empty result. An
-    input column named ids is replaced. ``path`` must be readable on the executors.
+    With ``decoded``, the ids are decoded on the spot and their text is added too (see
+    ``decode_ids``). A null or empty text has no ids (an empty value) and decodes to an
+    empty text. Texts over ``spread_chars`` are cut into rows of at most that length,
+    encoded wherever there is room and joined per text. Repeated rows get equal ids; an
+    empty table gives an empty result. Input columns named like an output are replaced.
+    ``path`` must be readable on the executors.
     """
 
-    @F.arrow_udf("binary")
-    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = vocabulary(path)
-        for batch in pieces(batches):
-            yield pa.array([_packed(own.encode(t, leaf_chars)) if t else b"" for t in batch.to_pylist()], pa.binary())
+    def result(own: Vocabulary, all_ids: list[np.ndarray], back: bool) -> pa.StructArray:
+        texts = [own.decode(i) if back else None for i in all_ids]
+        packed = pa.array([_packed(i) for i in all_ids], pa.binary())
+        return pa.StructArray.from_arrays([packed, pa.array(texts, pa.string())], RESULT.names)
+
+    def encoder(back: bool):
+        @F.arrow_udf(RESULT)
+        def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            own = vocabulary(path)
+            for batch in pieces(batches):
+                yield result(own, [own.encode(t or "", leaf_chars) for t in batch.to_pylist()], back)
+
+        return encode
 
     def join(key: tuple, group: pa.Table) -> pa.Table:
         at = np.argsort(group.column("part").to_numpy())
         blobs = group.column("ids").to_pylist()
-        ids = vocabulary(path).join_all([np.frombuffer(blobs[i], "<u4") for i in at])
-        return pa.table({"row": [key[0].as_py()], "ids": pa.array([_packed(ids)], pa.binary())})
+        own = vocabulary(path)
+        joined = result(own, [own.join_all([np.frombuffer(blobs[i], "<u4") for i in at])], decoded)
+        return pa.table({"row": [key[0].as_py()], "ids": joined.field("ids"), "decoded": joined.field("decoded")})
 
-    names = [c for c in docs.columns if c.lower() != "ids"]
-    row, part, got = (fresh_name(docs, n) for n in ("row", "part", "got"))
+    added = ["ids", "decoded"] if decoded else ["ids"]
+    names = [c for c in docs.columns if c.lower() not in added]
+    row, held = (fresh_name(docs, n) for n in ("row", "held"))
     source = F.col(text)
     is_long = F.coalesce(F.length(source) > spread_chars, F.lit(False))
-    short = docs.where(~is_long).select(*names, encode(source).alias("ids"))
+    short = docs.where(~is_long).select(*names, encoder(decoded)(source).alias(held))
+    short = short.select(*names, *(F.col(held)[c].alias(c) for c in added))
     # Numbered once and written, so that a row keeps its number whatever is computed again.
     long = stored(docs.where(is_long).select(*docs.columns, F.monotonically_increasing_id().alias(row)), "long-texts")
     cut = F.transform(
         F.sequence(F.lit(0), F.ceil(F.length(source) / spread_chars).cast("int") - 1),
         lambda i: F.substring(source, i * spread_chars + 1, F.lit(spread_chars)),
     )
-    parts = long.select(F.col(row).alias("row"), F.posexplode(cut).alias("part", "piece"))
-    parts = parts.repartition("row", "part").select("row", "part", encode(F.col("piece")).alias("ids"))
-    joined = parts.groupBy("row").applyInArrow(join, "row long, ids binary")
-    joined = joined.select(F.col("row").alias(row), F.col("ids").alias(got))
-    return short.unionByName(long.join(joined, row).select(*names, F.col(got).alias("ids")))
+    parts = long.select(F.col(row).alias("row"), F.posexplode(cut).alias("part", "piece")).repartition("row", "part")
+    parts = parts.select("row", "part", encoder(False)(F.col("piece"))["ids"].alias("ids"))
+    joined = parts.groupBy("row").applyInArrow(join, "row long, ids binary, decoded string")
+    joined = joined.select(F.col("row").alias(row), F.struct("ids", "decoded").alias(held))
+    whole = long.join(joined, row).select(*names, *(F.col(held)[c].alias(c) for c in added))
+    return short.unionByName(whole)
 
 
 def decode_ids(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
-    """Adds ``decoded``, the text of packed ids; null ids give an empty text. A column named decoded is replaced."""
+    """Adds ``decoded``, the text of packed ids with U+FFFD for bytes that are no UTF-8; null ids give an empty text. A column named decoded is replaced."""
 
     @F.arrow_udf("string")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -66,8 +66,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded; digests of both."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = bpe.encode_texts(docs, BPE_PATH)
-    return bpe.decode_ids(encoded, BPE_PATH).select(
+    return bpe.encode_texts(docs, BPE_PATH, decoded=True).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
