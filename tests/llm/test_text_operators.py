@@ -198,6 +198,18 @@ def test_quality_query_tells_labelled_documents_apart(spark):
     assert good > 0.98 and bad < 0.2
 
 
+@pytest.mark.parametrize("classes", [(1,), (0, 1)])
+def test_quality_keeps_trusted_documents_that_are_left_out_of_the_fit(spark, classes):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(2)) == 0
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where(F.col("quality").isin(*classes))
+    judged = quality_llr.quality_rules(docs, labels.where(~out))
+    held = judged.join(labels.where(out & (F.col("quality") == 1)), "doc_id").where("not base_failed")
+    n, kept = held.agg(F.count("*"), F.sum(F.col("kept").cast("int"))).first()
+    assert n > 100 and kept >= 0.97 * n
+
+
 # --- language --------------------------------------------------------------------------------------------------------
 
 
