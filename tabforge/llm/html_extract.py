@@ -5,8 +5,12 @@ characters as it has, or nothing when it belongs to page furniture (menus, heade
 footers, forms, adverts, comments and the like, told by element or by the names in
 class, id and role) or is mostly links. Weights are summed over a sliding window of
 lines; text surges where the sums leave zero and dives where they return to it.
-A stretch counts when its highest sum reaches a share of the page's highest, and
-the weighted lines between its surge and its dive are kept.
+A stretch counts when its highest sum reaches the surge level or, on pages with
+little text, a share of the page's highest; the weighted lines between its surge and
+its dive are kept.
+
+Lines in article and main elements need no surge: all that are not furniture are
+kept, links included. Where they hold most of the page's text, no other line is.
 """
 
 from __future__ import annotations
@@ -55,11 +59,16 @@ _QUOTED = re.compile(r"(?:class|id|role|title|alt|href|src|content|data-[\w-]+)\
 
 @dataclass(frozen=True)
 class BlockParams:
-    """``window``: lines summed up. ``share``: of the page's highest sum that a stretch must reach."""
+    """``window``: lines summed up. A stretch must reach ``surge`` characters or ``share`` of the page's highest sum.
+
+    ``marked``: share of the weighted characters that articles must hold for lines outside them to weigh nothing.
+    """
 
     window: int = 3
     share: float = 0.2
     most_links: float = 0.5
+    surge: int = 100
+    marked: float = 0.5
 
 
 def is_furniture(name: str, attrs: str, in_article: bool) -> bool:
@@ -78,7 +87,7 @@ def is_furniture(name: str, attrs: str, in_article: bool) -> bool:
 @dataclass
 class Line:
     text: str
-    links: int
+    links: int  # characters of link text, cleaned like the text
     furniture: bool
     article: bool
 
@@ -87,18 +96,19 @@ def lines_of(page: str) -> list[Line]:
     """The page's lines of text in order, with what is known about each."""
     lines: list[Line] = []
     parts: list[str] = []
-    links = 0
+    linked: list[str] = []
     open_: list[tuple[str, bool]] = []  # (element, whether it starts furniture)
     zones = articles = anchors = 0
 
+    def cleaned(pieces: list[str]) -> str:
+        return " ".join(entities.unescape("".join(pieces)).split())
+
     def cut() -> None:
-        nonlocal links
         if parts:
-            text = " ".join(entities.unescape("".join(parts)).split())
-            if text:
-                lines.append(Line(text, links, zones > 0, articles > 0))
+            if text := cleaned(parts):
+                lines.append(Line(text, len(cleaned(linked)), zones > 0, articles > 0))
             parts.clear()
-        links = 0
+        linked.clear()
 
     def close(depth: int) -> None:
         nonlocal zones, articles, anchors
@@ -113,7 +123,8 @@ def lines_of(page: str) -> list[Line]:
         if m.start() > at:
             piece = page[at : m.start()]
             parts.append(piece)
-            links += len(piece) * (anchors > 0)
+            if anchors:
+                linked.append(piece)
         at = m.end()
         name = (m["name"] or "").lower()
         if not name:
@@ -152,7 +163,8 @@ def lines_of(page: str) -> list[Line]:
             articles += name in ("article", "main")
             anchors += name == "a"
     parts.append(page[at:])
-    links += len(page[at:]) * (anchors > 0)
+    if anchors:
+        linked.append(page[at:])
     cut()
     return lines
 
@@ -160,12 +172,16 @@ def lines_of(page: str) -> list[Line]:
 def main_text(page: str | None, p: BlockParams = BlockParams()) -> str:  # noqa: B008
     """The kept lines joined by newlines; empty for a null or empty page."""
     lines = lines_of(page or "")
-    marked = any(x.article and not x.furniture for x in lines)
+    inside = [x.article and not x.furniture for x in lines]
     weights = [
-        0 if x.furniture or marked and not x.article or x.links > p.most_links * len(x.text) else len(x.text) for x in lines
+        0 if x.furniture or not own and x.links > p.most_links * len(x.text) else len(x.text)
+        for x, own in zip(lines, inside, strict=True)
     ]
+    held = sum(w for w, own in zip(weights, inside, strict=True) if own)
+    if held and held >= p.marked * sum(weights):
+        return "\n".join(x.text for x, own in zip(lines, inside, strict=True) if own)
     sums = [sum(weights[i : i + p.window]) for i in range(len(weights))]
-    least = p.share * max(sums, default=0)
+    least = min(p.surge, p.share * max(sums, default=0))
     kept: list[str] = []
     start = 0
     while start < len(sums):
@@ -175,8 +191,8 @@ def main_text(page: str | None, p: BlockParams = BlockParams()) -> str:  # noqa:
         dive = start
         while dive < len(sums) and sums[dive]:
             dive += 1
-        if max(sums[start:dive]) >= least:
-            kept += [x.text for x, w in zip(lines[start:dive], weights[start:dive], strict=True) if w]
+        surges = max(sums[start:dive]) >= least
+        kept += [lines[i].text for i in range(start, dive) if weights[i] and (surges or inside[i])]
         start = dive
     return "\n".join(kept)
 

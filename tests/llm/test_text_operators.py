@@ -292,6 +292,24 @@ def test_stretches_below_the_share_are_dropped():
     assert html_extract.main_text(page, p) == ("long " * 50).strip()
 
 
+def test_article_text_is_kept_whatever_else_the_page_holds():
+    furniture = "<div class=ad>advert</div><nav>menu</nav><aside>more</aside>"
+    long, short = "long " * 20_000, "short " * 150
+    for page in (f"<p>{long}</p>{furniture}<p>{short}</p>", f"<p>{long[:5000]}</p>{furniture}<p>{short}</p>"):
+        texts = [" ".join(x.split()) for x in re.findall("<p>(.*?)</p>", page)]
+        assert html_extract.main_text(page).split("\n") == texts
+        assert html_extract.main_text(f"<article>{page}</article>").split("\n") == texts
+    page = f"<article><h2>Teaser</h2></article><div><p>{short}</p></div>"
+    assert html_extract.main_text(page) == "Teaser\n" + short.strip()
+    page = f"<article><p>{short}</p>{furniture}<p><a href=x>A linked sentence.</a></p></article><p>outside</p>"
+    assert html_extract.main_text(page) == short.strip() + "\nA linked sentence."
+
+
+def test_links_are_measured_on_cleaned_text():
+    page = "<p>Text &amp; more <a href=x>\n" + " " * 80 + "a&nbsp;&quot;link&quot;</a> in it, and so on</p>"
+    assert html_extract.main_text(page) == 'Text & more a "link" in it, and so on'
+
+
 def test_html_query_keeps_the_article(spark):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF001}/pages.parquet").collect()}
     for r in QUERIES["op8_html_extract"](spark, SF001).collect():
