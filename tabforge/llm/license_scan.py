@@ -1,7 +1,10 @@
 """License scan: phrase places, and an exact set-similarity join with templates.
 
-A text block (a line) meets a template when it holds at least ``threshold`` of
-the template's distinct words. Template words are ordered by how many blocks of
+A text block meets a template when it holds at least ``threshold`` of the
+template's distinct words. Blocks are lines, or with ``passages`` the windows of as
+many words as the longest template has, across line breaks, and lines and paragraphs
+of at most two windows: wrapped templates are met, and words strewn over a long line
+are no template. Template words are ordered by how many blocks of
 the whole table hold them, rarest first. A block that meets a template misses at
 most ``n - need`` of its ``n`` words, so it holds one of the first
 ``n - need + 1`` (prefix filter); it has ``need`` words at least (length filter);
@@ -121,6 +124,32 @@ def block_frequency(texts: DataFrame, column: str, templates: dict[str, list[str
     return dict(zip(vocabulary, sums.tolist(), strict=True))
 
 
+def passage_blocks(
+    words: list[bytes], lines: list[list[bytes]], index: TemplateIndex, known: set[bytes], width: int
+) -> Iterator[set[bytes]]:
+    """Blocks of a text: its lines and paragraphs of at most ``2 * width`` words and its windows of ``width`` words.
+
+    A window that starts elsewhere holds no more ``known`` words (the templates') than the one at its first
+    known word, so only these are built, and of them those with a word of a prefix.
+    """
+    part: list[bytes] = []  # lines up to one without words
+    for line in [*lines, []]:
+        if len(line) <= 2 * width:
+            yield set(line)
+        if not line:
+            if len(part) <= 2 * width:
+                yield set(part)
+            part = []
+        part += line
+    hits = [i for i, w in enumerate(words) if w in index.prefix]
+    done = 0
+    for i in hits:
+        for start in range(max(done, i - width + 1), i + 1):
+            if words[start] in known:
+                yield set(words[start : start + width])
+        done = i + 1
+
+
 def _places(words: list[bytes], joined: bytes, phrase: list[bytes]) -> list[int]:
     """Word places where the phrase's words stand consecutively."""
     needle, found = b" " + b" ".join(phrase) + b" ", []
@@ -143,13 +172,13 @@ OUTPUT = T.StructType([
 
 def scan_licenses(
     docs: DataFrame, text: str = "text", phrases: dict[str, str] | None = None,
-    templates: dict[str, list[str]] | None = None, threshold: float = 0.9,
+    templates: dict[str, list[str]] | None = None, threshold: float = 0.9, passages: bool = False,
 ) -> DataFrame:
     """Adds the columns of ``OUTPUT`` to every row of ``docs``.
 
     ``n_base`` counts all places of all phrases, ``first_word``/``last_word`` are the
     smallest and largest start. ``labels`` holds the phrases' labels and those of the
-    templates that some block meets; ``score`` is the largest containment found, 1.0
+    templates that some block (a line; with ``passages`` see above) meets; ``score`` is the largest containment found, 1.0
     where only a phrase was found, else 0.0. A null text is an empty one: no words,
     no labels, score 0.0. Repeated rows are scanned one by one, an empty table gives
     an empty result. Input columns named like an output are replaced.
@@ -157,6 +186,8 @@ def scan_licenses(
     phrases = PHRASES if phrases is None else phrases
     templates = TEMPLATES if templates is None else templates
     index = TemplateIndex.build(templates, block_frequency(docs, text, templates), threshold)
+    known = {w for ws in index.words for w in ws}
+    width = max((len(fold(t).split()) for ts in templates.values() for t in ts), default=0)
     wanted = [(fold(p).split(), label) for p, label in phrases.items()]
 
     @F.arrow_udf(OUTPUT)
@@ -176,10 +207,12 @@ def scan_licenses(
                 found = []
                 if not index.prefix.keys().isdisjoint(words):
                     # a newline is one byte and folding keeps lengths, so lines can be cut after folding
-                    raw, at = (t or "").encode(), 0
+                    raw, at, lines = (t or "").encode(), 0, []
                     for line in raw.split(b"\n"):
-                        block = set(folded[at : at + len(line)].split())
+                        lines.append(folded[at : at + len(line)].split())
                         at += len(line) + 1
+                    blocks = passage_blocks(words, lines, index, known, width) if passages else map(set, lines)
+                    for block in blocks:
                         found += index.met(block)
                 if found:
                     labels.update(label for label, _ in found)

@@ -127,6 +127,20 @@ def test_license_scan_against_brute_force(spark, threshold):
     assert threshold == 0.9 or any(0 < r["score"] < 1 for r in rows)
 
 
+def test_license_query_meets_wrapped_templates_only(spark, tmp_path):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy{}of this software and associated"
+    bsd = "Redistribution and use in source and binary forms, with or without{}modification, are permitted provided"
+    apache = "you may not use this file except in{}compliance with the License."
+    by, nc = "Licensed under CC{}BY 4.0", "Licensed under{}CC BY-NC 4.0"
+    strewn = [" ".join(w + " filler" * 9 for w in re.findall(r"\w+", t)) for t in (mit, bsd, apache)]
+    made = {t.format(gap): label for gap in (" ", "\n", "\n# ", "\r\n * ") for t, label in ((mit, "mit"), (bsd, "bsd"), (apache, "apache-2.0"))}
+    made = {f"word {'word ' * 500}\n{t}\nword": label for t, label in made.items()} | {"\n".join(mit.split()).replace("{}", "\n"): "mit"}
+    made |= {t: "" for t in strewn} | {f"{by}\n\n{nc}".format("\n", "\n"): "cc-by,cc-by-4.0,cc-by-nc-4.0"}
+    spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["labels"] for r in QUERIES["op5_license_scan"](spark, str(tmp_path)).collect()}
+    assert [got[i] for i in range(len(made))] == list(made.values())
+
+
 def test_license_scan_without_templates_or_rows(spark):
     assert license_scan.scan_licenses(odd(spark), templates={}).where("labels != base_labels").count() == 0
     assert license_scan.scan_licenses(odd(spark, [])).count() == 0
