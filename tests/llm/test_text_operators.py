@@ -197,6 +197,16 @@ def test_quality_score_is_the_mean_log_ratio(spark):
         assert got[i]["kept"] == (i < 3)
 
 
+def test_quality_buckets_grow_with_the_corpus(spark):
+    small = spark.createDataFrame([(0, "a b c")], "doc_id long, text string")
+    large = spark.range(1000).select(F.col("id").alias("doc_id"), F.expr("concat_ws(' ', transform(sequence(1, 1000), i -> 1000 * id + i))").alias("text"))
+    labels = spark.createDataFrame([(0, 1)], "doc_id long, quality int")
+    for docs, distinct in ((small, 5), (large, 2 * 1000 * 1000 - 1000)):
+        assert quality_llr.distinct_ngrams(docs, "text") == pytest.approx(distinct, rel=0.05)
+        n = len(quality_llr.fit_llr(docs, labels, "doc_id", "text", "quality", quality_llr.LlrParams()).weights)
+        assert n >= 1 << 16 and distinct / n <= 16.8
+
+
 def test_quality_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     got = quality_llr.quality_rules(odd(spark), none)
