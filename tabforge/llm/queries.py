@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabforge.llm import (
+    ball_tree,
     bpe,
     flow_mix,
     host_reputation,
@@ -16,6 +17,8 @@ from tabforge.llm import (
     hyperdim_langid,
     jaccard_join,
     license_scan,
+    piece_agenda,
+    prefix_trie,
     quality_llr,
     sharding,
     subspace_join,
@@ -26,6 +29,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 SHARDS = 16
 BPE_PATH = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_PATH = public_tokenizers.path("piece_bpe_32k.model")
 URL_RULES = [
     host_reputation.Rule("com", "/", "allow"),
     host_reputation.Rule("example.com", "/en/", "block"),
@@ -133,11 +137,35 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", "size", "source_size", "target", "taken", "repeats")
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of every benchmark item."""
+    return ball_tree.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie over all rebuilt conversations."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return prefix_trie.prefix_trie(prefix_trie.rebuilt_conversations(turns))
+
+
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded by the SentencePiece vocabulary; digests of both."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = piece_agenda.encode_pieces(docs, PIECE_PATH, decoded=False, digest=True)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"),
+        "decoded_sha256",
+        "agrees",
+    )
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
         op1_sharding, op2_subspace_join, op3_url_filter, op4_bpe, op5_license_scan, op6_quality, op7_language_id,
-        op8_html_extract, op9_jaccard, op10_mix,
+        op8_html_extract, op9_jaccard, op10_mix, op11_search, op12_prefix_trie, op13_pieces,
     )
 }
 
@@ -269,6 +297,55 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
 JOIN (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id) c ON c.doc_id = d.doc_id
 """
 
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+_OP11_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '{_TERM}') AS ws FROM documents
+), s AS (SELECT count(*) FILTER (len(ws) > 0) AS n, sum(len(ws))::BIGINT AS l FROM d
+), tf AS (SELECT r, w, count(*) AS tf FROM (SELECT r, unnest(ws) AS w FROM d) GROUP BY ALL
+), wt AS (
+  SELECT w, floor(1000 * ln((2 * any_value(n) + 2) / (2 * count(*) + 1)))::BIGINT AS wt FROM tf, s GROUP BY w
+), m AS (SELECT r, doc_id, 100 - 25 + (25 * len(ws) * n) // l AS m FROM d, s WHERE len(ws) > 0
+), i AS (SELECT row_number() OVER () AS i, item_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '{_TERM}') AS ws FROM benchmark
+), q AS (SELECT i, item_id, w, count(*) AS c FROM (SELECT i, item_id, unnest(ws) AS w FROM i) GROUP BY ALL
+), f AS (
+  SELECT i, item_id, r, doc_id, sum(c * wt * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM q JOIN wt USING (w) JOIN tf USING (w) JOIN m USING (r) GROUP BY ALL
+)
+SELECT item_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score
+FROM f WHERE score > 0 QUALIFY rank <= 20
+"""
+
+# CRC-32 of a decimal number's characters, bit by bit (fixed value: the reflected polynomial).
+_CRC32 = """xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+    lambda a, b: list_reduce([xor(a, b)] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0],
+      lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)), 4294967295)"""
+
+_OP12_SQL = f"""
+WITH t AS (
+  SELECT conv_id, turn, {{'id': length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''),
+    'n': length(coalesce(text, ''))}} AS t FROM conversations WHERE conv_id IS NOT NULL
+), o AS (SELECT conv_id, list(t ORDER BY turn NULLS FIRST) AS ts, {_CRC32} % 6 AS h FROM t GROUP BY conv_id
+), r AS (
+  SELECT o.conv_id, coalesce(b.ts, [])[1:o.h] || o.ts[o.h + 1:] AS ts FROM o LEFT JOIN o b ON b.conv_id = o.conv_id - o.conv_id % 100
+), p AS (
+  SELECT conv_id, d, list_transform(ts[1:d], lambda x: x.id) AS p, CASE WHEN d > 0 THEN ts[d].n ELSE 0 END AS n, len(ts) = d AS ends
+  FROM (SELECT *, unnest(range(0, len(ts) + 1)) AS d FROM r)
+), m AS (
+  SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(n) AS own,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM p GROUP BY p, d
+), c AS (
+  SELECT m.*, u.conv_id AS parent_conv_id, (SELECT count(*) FROM m x WHERE x.d = m.d + 1 AND x.p[1:m.d] = m.p) AS n_children
+  FROM m LEFT JOIN m u ON u.d = m.d - 1 AND u.p = m.p[1:m.d - 1]
+)
+SELECT any_value(c.conv_id) AS conv_id, c.d AS depth, any_value(c.parent_conv_id) AS parent_conv_id, any_value(c.n_convs) AS n_convs,
+  any_value(c.n_children) AS n_children, count(*) FILTER (x.n_children = 0) AS n_leaves, sum(x.own)::BIGINT AS saved_tokens,
+  any_value(c.ends_sha256) AS ends_sha256
+FROM c JOIN c x ON x.d >= c.d AND x.p[1:c.d] = c.p GROUP BY c.p, c.d
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_search": _OP11_SQL, "op12_prefix_trie": _OP12_SQL,
     "op2_subspace_join": _OP2_SQL, "op3_url_filter": _OP3_SQL, "op5_license_scan": _OP5_SQL, "op9_jaccard": _OP9_SQL,
 }
