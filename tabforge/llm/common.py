@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +16,7 @@ from tabforge.session import scratch_path
 # white space. ``bytes.split()`` cuts UTF-8 text at exactly these characters.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
+_LIBC = ctypes.CDLL(None)
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # Odd 64-bit multipliers: the k-th word of an n-gram is multiplied by the k-th one.
@@ -24,15 +26,16 @@ NGRAM_MULTIPLIERS = np.array(
 )
 
 
-#: Rows of an Arrow batch. Spark's default suits numbers; as many texts are tens of MB in each of the JVM's and
-#: the worker's buffers.
-ARROW_ROWS = 500
+#: Bytes of an Arrow batch. With Spark's default of 64 MB, long texts fill tens of MB in each of the JVM's and the
+#: worker's buffers. The number of rows stays as the session has it.
+ARROW_BYTES = 1 << 21
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of texts, read in a session whose Arrow batches are short unless the user has set their length."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) is None:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """A table of texts, read in a session whose Arrow batches are short unless the user has set their size."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) in (None, "67108864b"):  # Spark's default
+        spark.conf.set(key, str(ARROW_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -67,7 +70,14 @@ def pieces(batches: Iterator, rows: int = 256) -> Iterator:
         for at in range(0, len(batch), rows):
             yield batch.slice(at, rows)
     batch = None
-    pa.default_memory_pool().release_unused()  # workers live on; what Arrow keeps would add up over stages
+    give_back()
+
+
+def give_back() -> None:
+    """Free memory goes back to the system: workers live on, and what they keep would add up over stages."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):  # glibc
+        _LIBC.malloc_trim(0)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -78,16 +88,22 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def histogram_chunks(counts: np.ndarray, chunk: int = 4096) -> tuple[list[int], list[bytes]]:
-    """(start, packed counts) of the non-zero chunks of a histogram."""
+    """(start, packed counts) of the non-zero chunks of a histogram; see ``unpacked``."""
     at, blobs = [], []
     for i in range(0, len(counts), chunk):
         part = counts[i : i + chunk]
         if part.any():
             at.append(i)
-            blobs.append(part.astype("<i8").tobytes())
+            fits = part.min() >= 0 and next((k for k in ("<u1", "<u2", "<u4") if part.max() <= np.iinfo(k).max), None)
+            blobs.append(part.astype(fits or "<i8").tobytes() + bytes([np.dtype(fits or "<i8").itemsize]))
     return at, blobs
 
 
+def unpacked(blob: bytes) -> np.ndarray:
+    """64-bit counts; a chunk's last byte is the width of those before it."""
+    return np.frombuffer(blob, {1: "<u1", 2: "<u2", 4: "<u4", 8: "<i8"}[blob[-1]], (len(blob) - 1) // blob[-1]).astype(np.int64)
+
+
 def add_chunks(chunks: DataFrame, bins: int, tasks: int = 16, combine: np.ufunc = np.add) -> np.ndarray:
     """Combine the chunks (at, counts) that partitions sent; the driver receives ``8 * bins`` bytes."""
 
@@ -95,17 +111,18 @@ def add_chunks(chunks: DataFrame, bins: int, tasks: int = 16, combine: np.ufunc
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for at, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                got = np.frombuffer(blob, "<i8")
-                sums[at] = combine(sums[at], got) if at in sums else got.copy()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())],
-            ["at", "counts"],
-        )
+                got = unpacked(blob)
+                sums[at] = combine(sums[at], got) if at in sums else got
+        packed = [histogram_chunks(v, len(v)) for v in sums.values()]
+        ats, blobs = list(sums), [b[0] if b else np.zeros(1, "<u1").tobytes() + b"\1" for _, b in packed]
+        yield pa.RecordBatch.from_arrays([pa.array(ats, pa.int32()), pa.array(blobs, pa.binary())], ["at", "counts"])
+        sums.clear()
+        give_back()
 
     total = np.zeros(bins, np.int64)
     sent = chunks.select("at", "counts").repartition(tasks, "at")
     for row in sent.mapInArrow(add, "at int, counts binary").collect():
-        got = np.frombuffer(row["counts"], "<i8")
+        got = unpacked(row["counts"])
         total[row["at"] : row["at"] + len(got)] = got
     return total
 

@@ -193,18 +193,24 @@ def test_quality_score_is_the_mean_log_ratio(spark):
     logs = [np.log(c + p.smoothing) - np.log(c.sum() + p.smoothing * p.buckets) for c in (raw, target)]
     for i, t in enumerate(good + bad):
         at = quality_llr.ngram_buckets(t.encode().split(), p.buckets)
-        assert got[i]["llr"] == pytest.approx((logs[1] - logs[0])[at].mean())
+        assert got[i]["llr"] == pytest.approx((logs[1] - logs[0])[at].mean(), abs=1e-6)
         assert got[i]["kept"] == (i < 3)
 
 
 def test_quality_buckets_grow_with_the_corpus(spark):
-    small = spark.createDataFrame([(0, "a b c")], "doc_id long, text string")
-    large = spark.range(1000).select(F.col("id").alias("doc_id"), F.expr("concat_ws(' ', transform(sequence(1, 1000), i -> 1000 * id + i))").alias("text"))
     labels = spark.createDataFrame([(0, 1)], "doc_id long, quality int")
-    for docs, distinct in ((small, 5), (large, 2 * 1000 * 1000 - 1000)):
-        assert quality_llr.distinct_ngrams(docs, "text") == pytest.approx(distinct, rel=0.05)
-        n = len(quality_llr.fit_llr(docs, labels, "doc_id", "text", "quality", quality_llr.LlrParams()).weights)
-        assert n >= 1 << 16 and distinct / n <= 16.8
+    for size, buckets in ((60, 1 << 16), (300_000, 1 << 18), (1_200_000, 1 << 19)):
+        docs = spark.range(1000).select(F.col("id").alias("doc_id"), F.expr(f"repeat('a b c ', {size} div 6)").alias("text"))
+        p = quality_llr.with_buckets(docs, "text", quality_llr.LlrParams())
+        assert p.buckets == buckets
+    small = docs.limit(3).withColumn("text", F.lit("a b c"))
+    assert len(quality_llr.fit_llr(small, labels, "doc_id", "text", "quality", quality_llr.LlrParams()).weights) == 1 << 16
+
+
+def test_words_and_pairs_share_no_bucket():
+    words = [b"w%d" % i for i in range(500)]
+    at = quality_llr.ngram_buckets(words, 1 << 10)
+    assert at[:500].max() < 512 <= at[500:].min() and at.max() < 1 << 10
 
 
 def test_quality_without_labels_or_rows(spark):
