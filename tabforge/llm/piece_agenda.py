@@ -7,8 +7,9 @@ right; the first is merged and its two new neighbours enter the agenda, until it
 Two neighbouring characters that no piece contains side by side never share a symbol, so
 a text is cut there into chunks without changing its ids. Chunks of a batch are encoded
 once each. Those of equal length stand in one matrix, a chunk a row, and all rows take the
-first entry of their agenda in step; long chunks use a heap. Every text's ids are then
-held against the sentencepiece library inside the same Arrow batch.
+first entry of their agenda in step; long chunks use a heap. Inside the same Arrow batch
+the ids are held against the sentencepiece library: every distinct word once, as it comes
+up, and texts that are not single-spaced as a whole.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -50,7 +52,7 @@ class PieceVocabulary:
         self.of_byte = np.array([own.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.int32)
         # A symbol is a piece's id or, for a character that is no piece, size + its code point.
         self.base = self.size + 0x110000
-        self.of_char = np.arange(self.size, self.base, dtype=np.int64)
+        self.of_char = np.arange(self.size, self.base, dtype=np.int32)
         for p, i in named.items():
             if len(p) == 1:
                 self.of_char[ord(p)] = i
@@ -64,10 +66,12 @@ class PieceVocabulary:
                 if left is not None and right is not None:
                     pairs[left * self.base + right] = (order[scores[i]], i)
         self.pairs = pairs
-        self.keys = np.array(sorted(pairs), np.int64)
-        self.ranks, self.merged = np.array([pairs[k] for k in self.keys.tolist()], np.int32).reshape(-1, 2).T
+        self.ranks, self.merged = np.array(list(pairs.values()), np.int32).reshape(-1, 2).T
+        self._hash_pairs(np.array(list(pairs), np.int64))
         self.pattern = self._chunk_pattern(named)
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # ids of chunks
+        self.differ: set[str] = set()  # words that the library encodes in another way
+        self.words: dict[str, bytes] = {}  # ids of what follows one space, up to the next
 
     @staticmethod
     def _chunk_pattern(named: Iterable[str]) -> re.Pattern | None:
@@ -84,18 +88,36 @@ class PieceVocabulary:
         letter = f"[^{SPACE}{mark}{alone}]"
         return re.compile(f"{SPACE}*{letter}+|{SPACE}*[{mark}]+{letter}*|{SPACE}+|[{alone}]")
 
+    def _hash_pairs(self, keys: np.ndarray) -> None:
+        """A table of slots, at most a quarter full; a pair stands in the first free slot from its own on."""
+        bits = max(4, int(4 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.slot_key, self.slot_pair = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
+        for i, (key, slot) in enumerate(zip(keys.tolist(), self._slots(keys).tolist(), strict=True)):
+            while self.slot_key[slot] >= 0:
+                slot = (slot + 1) & self.mask
+            self.slot_key[slot], self.slot_pair[slot] = key, i
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
     def _agenda(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Place in the pair table, or -1."""
-        key = left * self.base + right
-        at = np.searchsorted(self.keys, key)
-        at[at == len(self.keys)] = 0
-        return np.where(self.keys[at] == key, at, -1)
+        """Number of the pair, or -1."""
+        key = (left * np.int64(self.base) + right).ravel()
+        slot = self._slots(key)
+        held = self.slot_key[slot]
+        todo = np.flatnonzero((held != key) & (held >= 0))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & self.mask
+            held = self.slot_key[slot[todo]]
+            todo = todo[(held != key[todo]) & (held >= 0)]
+        return self.slot_pair[slot].reshape(left.shape)
 
     def _in_step(self, symbols: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(rows, their symbols) for a matrix of chunks, each time some have an empty agenda."""
         rows = np.arange(len(symbols))
         at = self._agenda(symbols[:, :-1], symbols[:, 1:])
-        ranks = np.where(at >= 0, self.ranks[at], NONE)
+        ranks = np.where(at >= 0, self.ranks[at], NONE).astype(np.int32)
         while len(rows):
             if symbols.shape[1] < 2:
                 yield rows, symbols
@@ -110,16 +132,16 @@ class PieceVocabulary:
                 every = np.arange(len(rows))
                 if not len(rows):
                     return
-            new = self.merged[at[every, best]].astype(np.int64)
+            symbols[every, best] = self.merged[at[every, best]]
+            keep = np.ones(symbols.shape, bool)
+            keep[every, best + 1] = False  # what stands behind the pair moves up
             width = symbols.shape[1] - 1
-            columns = np.arange(width)
-            moved = columns + (columns > best[:, None])  # what stands behind the pair moves up
-            symbols = np.take_along_axis(symbols, moved, 1)
-            symbols[every, best] = new
+            symbols = symbols[keep].reshape(-1, width)
             if width < 2:
                 continue
-            moved = columns[:-1] + (columns[:-1] >= best[:, None])
-            at, ranks = np.take_along_axis(at, moved, 1), np.take_along_axis(ranks, moved, 1)
+            keep = np.ones(at.shape, bool)
+            keep[every, best] = False
+            at, ranks = at[keep].reshape(-1, width - 1), ranks[keep].reshape(-1, width - 1)
             for shift in (-1, 0):  # the pairs that end and start at the new symbol
                 k = best + shift
                 has = (k >= 0) & (k < width - 1)
@@ -160,7 +182,11 @@ class PieceVocabulary:
         )
         return np.concatenate(list(parts)).astype("<i4").tobytes()
 
-    def _learn(self, chunks: list[str]) -> None:
+    def _learned(self, chunks: list[str]) -> dict[str, bytes]:
+        """Packed ids of each chunk."""
+        out: dict[str, bytes] = {}
+        if not chunks:
+            return out
         lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
         starts = np.cumsum(lengths) - lengths
         symbols = self.of_char[np.frombuffer("".join(chunks).encode("utf-32-le"), "<u4")]
@@ -169,31 +195,81 @@ class PieceVocabulary:
             if n > MATRIX_CHARS:
                 for k in those.tolist():
                     found = self._by_heap(symbols[starts[k] : starts[k] + n].tolist())
-                    self.known[chunks[k]] = self._ids(np.array(found, np.int64))
+                    out[chunks[k]] = self._ids(np.array(found, np.int64))
                 continue
             for rows, left in self._in_step(symbols[starts[those][:, None] + np.arange(n)]):
-                names = those[rows].tolist()
+                names = map(chunks.__getitem__, those[rows].tolist())
                 if (left < self.size).all():
-                    flat, step = left.astype("<i4").tobytes(), 4 * left.shape[1]
-                    for k, at in zip(names, range(0, len(flat), step), strict=True):
-                        self.known[chunks[k]] = flat[at : at + step]
+                    packed = np.ascontiguousarray(left, "<i4").view(f"V{4 * left.shape[1]}").ravel().tolist()
+                    out.update(zip(names, packed, strict=True))
                 else:
-                    for k, row in zip(names, left, strict=True):
-                        self.known[chunks[k]] = self._ids(row)
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of every text."""
-        cut = [self._cut(self.library.normalize(t)) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        self._learn(list({c for chunks in cut for c in chunks if c not in self.known}))
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, chunks)), "<i4") for chunks in cut]
+                    out.update((c, self._ids(row)) for c, row in zip(names, left, strict=True))
+        return out
 
     def _cut(self, text: str) -> list[str]:
         if self.pattern is None:
             return [text] if text else []
         return self.pattern.findall(text)
 
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of every text."""
+        return self._encode(texts, False)[0]
+
+    def checked(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
+        """Packed ids of every text, the library's where it differs, and whether it agrees.
+
+        A word is held against the library when it is new, other texts are as a whole.
+        """
+        return self._encode(texts, True)
+
+    def _library_ids(self, texts: list[str]) -> list[bytes]:
+        return [array("i", x).tobytes() for x in self.library.encode(texts, num_threads=1)]
+
+    def _encode(self, texts: list[str], check: bool) -> tuple[list[bytes], list[bool]]:
+        for held in (self.known, self.words):
+            if len(held) > REMEMBERED:
+                held.clear()
+        # With single spaces only, a space and what follows is cut and looked up as one word.
+        words: list[str] = []
+        ends, others = [], {}
+        for i, t in enumerate(map(self.library.normalize, texts)):
+            if self.pattern and t.startswith(SPACE) and SPACE + SPACE not in t:
+                words += t[1:].split(SPACE)
+            else:
+                others[i] = self._cut(t)
+            ends.append(len(words))
+        found = list(map(self.words.get, words))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        new = {words[i] for i in missing}
+        whole = {SPACE + w for w in new if w.isalnum()}  # no marks, no characters that stand alone
+        parts = {w: self._cut(SPACE + w) for w in new if not w.isalnum()}
+        learned = self._learned(list(whole))
+        chunks = {c for cut in (*parts.values(), *others.values()) for c in cut if c not in self.known}
+        self.known |= self._learned(list(chunks))
+        self.words.update((c[1:], ids) for c, ids in learned.items())
+        for w, cut in parts.items():
+            self.words[w] = b"".join(map(self.known.__getitem__, cut))
+        if check and new:
+            asked = list(new)  # the library puts a space before a text, as there is before a word
+            for w, ids in zip(asked, self._library_ids(asked), strict=True):
+                if self.words[w] != ids:
+                    self.words[w] = ids
+                    self.differ.add(w)
+        for i in missing:
+            found[i] = self.words[words[i]]
+        starts = [0, *ends]
+        packed = [
+            b"".join(map(self.known.__getitem__, others[i]) if i in others else found[starts[i] : ends[i]])
+            for i in range(len(texts))
+        ]
+        agrees = [True] * len(texts)
+        if check and others:
+            for i, ids in zip(others, self._library_ids([texts[i] for i in others]), strict=True):
+                packed[i], agrees[i] = ids, packed[i] == ids
+        if self.differ:
+            agrees = [a and self.differ.isdisjoint(words[starts[i] : ends[i]]) for i, a in enumerate(agrees)]
+        return packed, agrees
+
 
 @lru_cache(maxsize=2)
 def piece_vocabulary(path: str) -> PieceVocabulary:
@@ -213,8 +289,9 @@ def encode_pieces(
 
     ``ids`` (array<int>): without begin and end ids. ``decoded``: the ids' text, as the
     library decodes them; with ``digest`` also its SHA-256 in ``decoded_sha256``, so that
-    the text itself need not come back. ``agrees``: whether the library encodes the text to
-    the same ids (null without ``check``); where it does not, the row takes the library's.
+    the text itself need not come back. ``agrees``: whether the library encodes the text, or
+    all of its words, to the same ids (null without ``check``); where it does not, the row
+    takes the library's.
 
     A null or empty text has no ids and decodes to an empty text. Texts of any length are
     encoded whole; what a task holds besides is bounded by ``REMEMBERED`` chunks. Repeated
@@ -228,16 +305,13 @@ def encode_pieces(
         own = piece_vocabulary(path)
         for batch in pieces(batches):
             texts = [t or "" for t in batch.to_pylist()]
-            found, agrees = own.encode(texts), [None] * len(texts)
-            if check:
-                for i, expected in enumerate(own.library.encode(texts, num_threads=1)):
-                    expected = np.array(expected, np.int32)
-                    agrees[i] = np.array_equal(found[i], expected)
-                    found[i] = expected
-            back = [own.library.decode(ids.tolist()) for ids in found] if decoded or digest else [None] * len(texts)
+            found, agrees = own.checked(texts) if check else (own.encode(texts), [None] * len(texts))
+            back: list = [None] * len(texts)
+            if decoded or digest:
+                back = own.library.decode([np.frombuffer(x, "<i4").tolist() for x in found], num_threads=1)
             sums = [hashlib.sha256(t.encode()).hexdigest() if digest else None for t in back]
-            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-            flat = np.concatenate([np.empty(0, np.int32), *found])
+            ends = np.cumsum([0, *(len(x) // 4 for x in found)]).astype(np.int32)
+            flat = np.frombuffer(b"".join(found), "<i4")
             columns = [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32())),
                        pa.array(back if decoded else [None] * len(texts), pa.string()),
                        pa.array(sums, pa.string()), pa.array(agrees, pa.bool_())]

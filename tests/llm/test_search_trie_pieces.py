@@ -190,6 +190,10 @@ def library():
     return sentencepiece.SentencePieceProcessor(model_file=PIECE_PATH)
 
 
+def ids(own, texts):
+    return [np.frombuffer(packed, "<i4").tolist() for packed in own.encode(texts)]
+
+
 def test_agenda_equals_library(library):
     rng = random.Random(1)
     own = piece_agenda.piece_vocabulary(PIECE_PATH)
@@ -198,21 +202,33 @@ def test_agenda_equals_library(library):
     for _ in range(3000):
         t = "".join(rng.choices(alphabet, k=rng.randint(0, 100)))
         texts.append(t.replace(" ", "") if rng.random() < 0.2 else t + " " * rng.randint(0, 30))
-    got = own.encode(texts)
-    assert [g.tolist() for g in got] == library.encode(texts)
+    assert ids(own, texts) == library.encode(texts)
+
+
+def test_check_finds_and_mends_a_difference(library):
+    own = piece_agenda.PieceVocabulary(PIECE_PATH)
+    texts = ["the same words", "other ones", "the  same", "the other"]
+    packed, agrees = own.checked(texts)
+    assert agrees == [True] * 4 and [np.frombuffer(x, "<i4").tolist() for x in packed] == library.encode(texts)
+    own.words.clear()
+    own.known.clear()
+    own.merged = np.roll(own.merged, 1)  # a broken agenda
+    packed, agrees = own.checked(texts)
+    assert not all(agrees) and [np.frombuffer(x, "<i4").tolist() for x in packed] == library.encode(texts)
 
 
 def test_heap_and_matrix_agree(library, monkeypatch):
     rng = random.Random(2)
     own = piece_agenda.PieceVocabulary(PIECE_PATH)
     texts = ["".join(rng.choices("abcdeinthors", k=rng.randint(1, 40))) for _ in range(500)]
-    in_step = [g.tolist() for g in own.encode(texts)]
+    in_step = ids(own, texts)
     own.known.clear()
+    own.words.clear()
     monkeypatch.setattr(piece_agenda, "MATRIX_CHARS", 0)
-    assert [g.tolist() for g in own.encode(texts)] == in_step == library.encode(texts)
+    assert ids(own, texts) == in_step == library.encode(texts)
     monkeypatch.setattr(own, "pattern", None)  # a text as one chunk
     own.known.clear()
-    assert [g.tolist() for g in own.encode(texts)] == in_step
+    assert ids(own, texts) == in_step
 
 
 def test_pieces_of_odd_rows(spark, library):
