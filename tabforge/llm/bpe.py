@@ -13,6 +13,7 @@ joined per text; others are cut and joined inside their task.
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterator
 from functools import lru_cache
@@ -121,17 +122,20 @@ def _packed(ids: np.ndarray) -> bytes:
     return ids.astype("<u4").tobytes()
 
 
-RESULT = T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
+RESULT = T.StructType([
+    T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType()), T.StructField("decoded_sha256", T.StringType())
+])
 
 
 def encode_texts(
-    docs: DataFrame, path: str, text: str = "text", decoded: bool = False, leaf_chars: int = LEAF_CHARS,
-    spread_chars: int = SPREAD_CHARS,
+    docs: DataFrame, path: str, text: str = "text", decoded: bool = False, digest: bool = False,
+    leaf_chars: int = LEAF_CHARS, spread_chars: int = SPREAD_CHARS,
 ) -> DataFrame:
     """Adds ``ids``, the text's token ids as little-endian unsigned 32-bit integers, to every row.
 
     With ``decoded``, the ids are decoded on the spot and their text is added too (see
-    ``decode_ids``). A null or empty text has no ids (an empty value) and decodes to an
+    ``decode_ids``); with ``digest`` the SHA-256 of that text, ``decoded_sha256``, so that
+    the text need not leave the worker. A null or empty text has no ids (an empty value) and decodes to an
     empty text. Texts over ``spread_chars`` are cut into rows of at most that length,
     encoded wherever there is room and joined per text. Repeated rows get equal ids; an
     empty table gives an empty result. Input columns named like an output are replaced.
@@ -139,9 +143,14 @@ def encode_texts(
     """
 
     def result(own: Vocabulary, all_ids: list[np.ndarray], back: bool) -> pa.StructArray:
-        texts = [own.decode(i) if back else None for i in all_ids]
-        packed = pa.array([_packed(i) for i in all_ids], pa.binary())
-        return pa.StructArray.from_arrays([packed, pa.array(texts, pa.string())], RESULT.names)
+        packed, texts, sums = [], [], []
+        for ids in all_ids:
+            whole = own.decode(ids) if back else None
+            packed.append(_packed(ids))
+            texts.append(whole if decoded else None)
+            sums.append(hashlib.sha256(whole.encode()).hexdigest() if back and digest else None)
+        columns = [pa.array(packed, pa.binary()), pa.array(texts, pa.string()), pa.array(sums, pa.string())]
+        return pa.StructArray.from_arrays(columns, RESULT.names)
 
     def encoder(back: bool):
         @F.arrow_udf(RESULT)
@@ -152,19 +161,34 @@ def encode_texts(
 
         return encode
 
-    def join(key: tuple, group: pa.Table) -> pa.Table:
-        at = np.argsort(group.column("part").to_numpy())
-        blobs = group.column("ids").to_pylist()
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Parts sorted by (row, part) to one result a row. Equal subtrees are joined as soon as both are there."""
         own = vocabulary(path)
-        joined = result(own, [own.join_all([np.frombuffer(blobs[i], "<u4") for i in at])], decoded)
-        return pa.table({"row": [key[0].as_py()], "ids": joined.field("ids"), "decoded": joined.field("decoded")})
+        now, tree = None, []  # (height, ids)
 
-    added = ["ids", "decoded"] if decoded else ["ids"]
+        def rows(ids: list[tuple[int, np.ndarray]], number: int) -> pa.RecordBatch:
+            whole = result(own, [own.join_all([x for _, x in ids])], decoded or digest)
+            return pa.RecordBatch.from_arrays([pa.array([number]), *whole.flatten()], ["row", *RESULT.names])
+
+        for batch in pieces(batches):
+            for row, blob in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if row != now:
+                    if tree:
+                        yield rows(tree, now)
+                    now, tree = row, []
+                tree.append((0, np.frombuffer(blob, "<u4")))
+                while len(tree) > 1 and tree[-1][0] == tree[-2][0]:
+                    (height, left), (_, right) = tree[-2:]
+                    tree[-2:] = [(height + 1, own.join(left, right))]
+        if tree:
+            yield rows(tree, now)
+
+    added = ["ids"] + ["decoded"] * decoded + ["decoded_sha256"] * digest
     names = [c for c in docs.columns if c.lower() not in added]
     row, held = (fresh_name(docs, n) for n in ("row", "held"))
     source = F.col(text)
     is_long = F.coalesce(F.length(source) > spread_chars, F.lit(False))
-    short = docs.where(~is_long).select(*names, encoder(decoded)(source).alias(held))
+    short = docs.where(~is_long).select(*names, encoder(decoded or digest)(source).alias(held))
     short = short.select(*names, *(F.col(held)[c].alias(c) for c in added))
     # Numbered once and written, so that a row keeps its number whatever is computed again.
     long = stored(docs.where(is_long).select(*docs.columns, F.monotonically_increasing_id().alias(row)), "long-texts")
@@ -174,9 +198,10 @@ def encode_texts(
     )
     parts = long.select(F.col(row).alias("row"), F.posexplode(cut).alias("part", "piece")).repartition("row", "part")
     parts = parts.select("row", "part", encoder(False)(F.col("piece"))["ids"].alias("ids"))
-    joined = parts.groupBy("row").applyInArrow(join, "row long, ids binary, decoded string")
-    joined = joined.select(F.col("row").alias(row), F.struct("ids", "decoded").alias(held))
-    whole = long.join(joined, row).select(*names, *(F.col(held)[c].alias(c) for c in added))
+    parts = parts.repartition("row").sortWithinPartitions("row", "part")
+    whole = parts.mapInArrow(joined, "row long, ids binary, decoded string, decoded_sha256 string")
+    whole = whole.select(F.col("row").alias(row), F.struct(*RESULT.names).alias(held))
+    whole = long.join(whole, row).select(*names, *(F.col(held)[c].alias(c) for c in added))
     return short.unionByName(whole)
 
 

@@ -70,11 +70,11 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded; digests of both."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.encode_texts(docs, BPE_PATH, decoded=True).select(
+    return bpe.encode_texts(docs, BPE_PATH, digest=True).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        "decoded_sha256",
     )
 
 
