@@ -9,7 +9,7 @@ the other, each by augmenting paths that may re-route what earlier ones sent.
 
 A pattern that is to give ``f`` of its ``w`` words gives every document ``f // w``
 times and some once more: documents in seeded order until one would overshoot the
-rest, then smaller ones after it, a few rounds long. The choice is a handful of
+rest, then smaller ones after it, until no document left would fit. The choice is a handful of
 cut-off hashes per pattern, so documents are chosen where they lie; only (hash,
 size) rows are shuffled, summed up by hash range before any is ordered. The driver
 holds one row per source and per pattern.
@@ -32,14 +32,13 @@ WEIGHT_CYCLE = (5.0, 2.0, 1.0)
 
 @dataclass(frozen=True)
 class MixParams:
-    """``rows_per_range``: rows of a pattern that are put in order at once. ``rounds``: fill-up rounds.
+    """``rows_per_range``: rows of a pattern that are put in order at once.
 
     ``most_patterns``: patterns, and sources, that the driver solves the flow for; more are refused.
     """
 
     max_repeats: int = 3
     seed: int = 11
-    rounds: int = 5
     rows_per_range: int = 50_000
     most_patterns: int = 100_000
 
@@ -200,9 +199,7 @@ def mix_sources(
         rows = slim.join(F.broadcast(ids), "key").select("pattern", "hash", "size")  # one row a pattern
         ranges = max(1, -(-max(n for _, _, n in patterns) // p.rows_per_range))
         after: dict[int, int | None] = dict.fromkeys(gaps)
-        for _ in range(p.rounds):
-            if not gaps:
-                break
+        while gaps:  # a cut moves on in every round, and what is missing shrinks below the document at it
             got = _cutoffs(rows, gaps, after, ranges)
             for i in list(gaps):
                 cut, words = got.get(i, (None, 0))

@@ -23,7 +23,7 @@ from tabforge.llm import (
     sharding,
     subspace_join,
 )
-from tabforge.llm.common import table
+from tabforge.llm.common import stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -123,13 +123,13 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to the sources' weights; a document belongs to the source it names."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    docs = table(spark, sf_dir, "documents")
     words = flow_mix.word_count(F.col("text"))
-    sizes = flow_mix.source_sizes(docs, words, "source")
+    slim = stored(docs.select("doc_id", "source", words.alias("words"), F.xxhash64("text").alias("text_id")), "mix-sizes")
+    sizes = flow_mix.source_sizes(slim, F.col("words"), "source")
     targets = flow_mix.source_targets(sizes)
-    mixed = flow_mix.mix_sources(
-        docs, words, F.array("source"), targets, identity=[F.col("doc_id"), F.xxhash64("text")]
-    )
+    identity = [F.col("doc_id"), F.col("text_id")]
+    mixed = flow_mix.mix_sources(slim, F.col("words"), F.array("source"), targets, identity)
     per_source = spark.createDataFrame(
         [(s, sizes[s], float(targets[s])) for s in sizes], "name string, source_size long, target double"
     )

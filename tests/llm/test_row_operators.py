@@ -164,6 +164,18 @@ def test_mix_edges(spark):
     assert flow_mix.mix_sources(docs, words, F.lit(None).cast("array<string>"), targets, [F.col("doc_id")]).where("taken > 0").count() == 0
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_mix_leaves_no_document_that_fits(spark, seed):
+    rng = random.Random(seed)
+    sizes = [min(5000, int(rng.paretovariate(0.5))) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(sizes)), "doc_id long, n long").withColumn("source", F.lit("a"))
+    target = sum(sizes) * 0.37
+    got = flow_mix.mix_sources(docs, F.col("n"), F.array("source"), {"a": target}, [F.col("doc_id")], flow_mix.MixParams(seed=seed)).collect()
+    gap = round(target) - sum(r["taken"] for r in got)
+    assert gap >= 0 and all(r["repeats"] <= 1 for r in got)
+    assert not [r for r in got if r["repeats"] == 0 and r["n"] <= gap]
+
+
 def test_mix_query_meets_targets(spark):
     rows = QUERIES["op10_mix"](spark, SF001).join(
         spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "source"), "doc_id"
