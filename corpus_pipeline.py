@@ -46,7 +46,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the corpus's own ``lang`` values teach.
+    """Documents in a language that the corpus's own ``lang`` values teach; repeated rows fare alike.
 
     Rejects ``und`` (null texts, texts without a letter) and texts far from every
     prototype. Where no row has a ``lang`` nothing can be learned, and only texts
@@ -63,21 +63,26 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of the n-gram Jaccard join: the one with the smallest doc_id.
+    """One row of each component of the n-gram Jaccard join: the one with the smallest doc_id, rows without one last.
 
-    Of rows that repeat a doc_id one stays. Rows without a doc_id all stay, as no
-    component can name them.
+    Components are those of rows, by a number that is written once, so that unlike texts
+    under one doc_id all stay and of equal ids in a component one row does. Null texts and
+    texts without words are copies of nothing and stay. An empty table stays empty.
     """
-    found = jaccard_join.jaccard_components(docs.select("doc_id", "text"))
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    names = ["doc_id", "text"]
+    rows = stored(_apart(docs, names).withColumn("row", F.monotonically_increasing_id()), "numbered")
+    found = jaccard_join.jaccard_components(rows.select("row", "text"), key="row")
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    least = found.join(rows.select("row", "doc_id"), "row").groupBy("component_id").agg(F.min(first)["row"].alias("row"))
+    return _together(rows.join(least.select("row"), "row", "left_semi"), docs, names)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them (0 to 3 times).
+    """Documents as often as the mix takes them (0 to 3 times), each time as a row of its own.
 
-    Texts without words are never taken.
+    Texts without words are never taken. Documents without a source are a source of their
+    own. Rows that repeat doc_id and text are taken equally often; which of several equally
+    good choices is made follows from a seeded hash of both. An empty table stays empty.
     """
     names = ["doc_id", "text", "source"]
     words = flow_mix.word_count(F.col("text"))
@@ -89,13 +94,18 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document that is left, with digests of them and of the decoded text."""
-    return bpe.encode_texts(docs.select("doc_id", "text"), BPE_PATH, decoded=True).select(
+    """Token ids of every document that is left, with digests of them and of the decoded text.
+
+    The last stage: of the columns of documents only doc_id stays. Null and empty texts have
+    no ids; repeated rows get equal ones; texts of any length are encoded whole; an empty
+    table gives an empty result.
+    """
+    return bpe.encode_texts(docs.select("doc_id", "text"), BPE_PATH, digest=True).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         "ids",
         F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        "decoded_sha256",
     )
 
 
