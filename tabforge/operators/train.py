@@ -1,7 +1,8 @@
-"""Algorithm registry and training loop on ``pyspark.ml``.
+"""Algorithm registry and training loop: linear models of ``pyspark.ml``, own trees and boosting, kNN.
 
 Every spec builds a distributed estimator from the training statistics it needs
-(row count, label spread). One failure becomes a ``failed`` model and never
+(row count, label spread); trees of any depth are :mod:`tabforge.operators.trees`,
+boosting is :mod:`tabforge.operators.boosting`. One failure becomes a ``failed`` model and never
 stops the others. The feature matrix is assembled and cached once; each spec is
 its own set of Spark jobs, and a few specs run at a time.
 
@@ -24,24 +25,19 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.ml.classification import (
-    DecisionTreeClassifier,
-    GBTClassifier,
-    LogisticRegression,
-    OneVsRest,
-    RandomForestClassifier,
-)
+from pyspark import inheritable_thread_target
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark import inheritable_thread_target
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabforge.functions.columns import DEFAULT_SEED, hash32
+from tabforge.functions.stats import flag_smallest
+from tabforge.operators.boosting import BoostEstimator, BoostParams
 from tabforge.operators.knn import knn, knn_classify, knn_regress
-
-MAX_TREE_DEPTH = 30  # Spark's limit; the reference grows trees without one
+from tabforge.operators.trees import ForestEstimator, ForestParams, TreeModel
 
 
 @dataclass(frozen=True)
@@ -66,54 +62,26 @@ def _logistic(ctx, ov):
                               standardization=False, tol=1e-6)
 
 
-def _tree_clf(ctx, ov):
-    p = _p({}, ov, maxDepth=MAX_TREE_DEPTH, maxBins=64)
-    return DecisionTreeClassifier(maxDepth=p["maxDepth"], maxBins=p["maxBins"], seed=DEFAULT_SEED)
-
-
-def _tree_reg(ctx, ov):
-    p = _p({}, ov, maxDepth=MAX_TREE_DEPTH, maxBins=64)
-    return DecisionTreeRegressor(maxDepth=p["maxDepth"], maxBins=p["maxBins"], seed=DEFAULT_SEED)
-
-
-def _rf_clf(ctx, ov):
-    p = _p({}, ov, numTrees=200, maxDepth=MAX_TREE_DEPTH, bootstrap=True)
-    return RandomForestClassifier(numTrees=p["numTrees"], maxDepth=p["maxDepth"], featureSubsetStrategy="sqrt",
-                                  bootstrap=p["bootstrap"], seed=DEFAULT_SEED)
-
+def _forest(trees: int, **kw):
+    """Trees are grown to the end unless ``maxDepth`` is given."""
+    def build(ctx, ov):
+        p = _p({}, ov, numTrees=trees, maxDepth=None, bootstrap=kw.get("bootstrap", False))
+        params = ForestParams(trees=p["numTrees"], max_depth=p["maxDepth"], bootstrap=p["bootstrap"], seed=DEFAULT_SEED,
+                              tries=kw.get("tries", "all") if "n_classes" in ctx else "all",
+                              random_cuts=kw.get("random_cuts", False))
+        return ForestEstimator(params, ctx.get("n_classes", 0))
+    return build
 
-def _rf_reg(ctx, ov):
-    p = _p({}, ov, numTrees=200, maxDepth=MAX_TREE_DEPTH, bootstrap=True)
-    return RandomForestRegressor(numTrees=p["numTrees"], maxDepth=p["maxDepth"], featureSubsetStrategy="all",
-                                 bootstrap=p["bootstrap"], seed=DEFAULT_SEED)
 
-
-def _extra_clf(ctx, ov):
-    # Approximation: no bootstrap; Spark has no random-threshold trees.
-    p = _p({}, ov, numTrees=300, maxDepth=MAX_TREE_DEPTH)
-    return RandomForestClassifier(numTrees=p["numTrees"], maxDepth=p["maxDepth"], featureSubsetStrategy="sqrt",
-                                  bootstrap=False, seed=DEFAULT_SEED)
-
-
-def _extra_reg(ctx, ov):
-    p = _p({}, ov, numTrees=300, maxDepth=MAX_TREE_DEPTH)
-    return RandomForestRegressor(numTrees=p["numTrees"], maxDepth=p["maxDepth"], featureSubsetStrategy="all",
-                                 bootstrap=False, seed=DEFAULT_SEED)
-
-
-def _gbt(cls, ctx, ov, hist: bool):
-    if hist:
-        p = _p({}, ov, maxIter=300, stepSize=0.1, maxDepth=5, maxBins=255)
-    else:
-        p = _p({}, ov, maxIter=200, stepSize=0.1, maxDepth=3, maxBins=32)
-    kw = dict(maxIter=p["maxIter"], stepSize=p["stepSize"], maxDepth=p["maxDepth"], maxBins=p["maxBins"],
-              seed=DEFAULT_SEED)
-    if hist and ctx.get("early_stopping"):
-        kw.update(validationIndicatorCol="_valid", validationTol=1e-7)
-    est = cls(**kw)
-    if cls is GBTClassifier and ctx.get("n_classes", 2) > 2:
-        return OneVsRest(classifier=est)  # multiclass: no probability column
-    return est
+def _boosting(rounds: int, *, hist: bool):
+    def build(ctx, ov):
+        p = _p({}, ov, maxIter=rounds, stepSize=0.1, maxDepth=None if hist else 3, maxLeaves=31 if hist else None)
+        if ctx.get("n_classes", 2) < 2:
+            raise ValueError("boosting needs two classes at least")
+        return BoostEstimator(BoostParams(
+            ctx.get("n_classes", 0), p["maxIter"], rate=p["stepSize"], max_depth=p["maxDepth"], max_leaves=p["maxLeaves"],
+            min_rows=20 if hist else 1, newton=hist, patience=10 if hist and ctx.get("early_stopping") else None))
+    return build
 
 
 def _linear(ctx, ov):
@@ -144,24 +112,24 @@ KNN = "kneighbors"
 # The reference's registry order and default metrics.
 CLASSIFICATION_SPECS = [
     AlgoSpec("logistic_regression", "classification", "f1", _logistic, True),
-    AlgoSpec("decision_tree", "classification", "f1", _tree_clf, True),
-    AlgoSpec("random_forest", "classification", "f1", _rf_clf, True),
-    AlgoSpec("hist_gradient_boosting", "classification", "f1", lambda c, o: _gbt(GBTClassifier, c, o, True), True),
-    AlgoSpec("extra_trees", "classification", "f1", _extra_clf, True),
-    AlgoSpec("gradient_boosting", "classification", "f1", lambda c, o: _gbt(GBTClassifier, c, o, False), False),
+    AlgoSpec("decision_tree", "classification", "f1", _forest(1), True),
+    AlgoSpec("random_forest", "classification", "f1", _forest(200, tries="sqrt", bootstrap=True), True),
+    AlgoSpec("hist_gradient_boosting", "classification", "f1", _boosting(300, hist=True), True),
+    AlgoSpec("extra_trees", "classification", "f1", _forest(300, tries="sqrt", random_cuts=True), True),
+    AlgoSpec("gradient_boosting", "classification", "f1", _boosting(200, hist=False), False),
     AlgoSpec(KNN, "classification", "f1", lambda c, o: KNN, False),
 ]
 REGRESSION_SPECS = [
     AlgoSpec("linear", "regression", "rmse", _linear),
     AlgoSpec("ridge", "regression", "rmse", _ridge),
     AlgoSpec("lasso", "regression", "rmse", _lasso),
-    AlgoSpec("random_forest", "regression", "rmse", _rf_reg),
-    AlgoSpec("hist_gradient_boosting", "regression", "rmse", lambda c, o: _gbt(GBTRegressor, c, o, True)),
-    AlgoSpec("extra_trees", "regression", "rmse", _extra_reg),
-    AlgoSpec("gradient_boosting", "regression", "rmse", lambda c, o: _gbt(GBTRegressor, c, o, False)),
+    AlgoSpec("random_forest", "regression", "rmse", _forest(200, bootstrap=True)),
+    AlgoSpec("hist_gradient_boosting", "regression", "rmse", _boosting(300, hist=True)),
+    AlgoSpec("extra_trees", "regression", "rmse", _forest(300, random_cuts=True)),
+    AlgoSpec("gradient_boosting", "regression", "rmse", _boosting(200, hist=False)),
     AlgoSpec(KNN, "regression", "rmse", lambda c, o: KNN),
     AlgoSpec("elastic_net", "regression", "rmse", _elastic),
-    AlgoSpec("decision_tree", "regression", "rmse", _tree_reg),
+    AlgoSpec("decision_tree", "regression", "rmse", _forest(1)),
 ]
 
 
@@ -222,7 +190,7 @@ class TrainedModel:
                 out = df.select(id_col, *keep).join(out, id_col)
         else:
             out = self.model.transform(df.select(id_col, *keep, features_col))
-            if self.task == "classification" and "probability" in out.columns:
+            if self.task == "classification" and "probability" in out.columns and not isinstance(self.model, TreeModel):
                 out = out.withColumn("probability", vector_to_array("probability"))
         if self.task == "classification":
             back = F.create_map(*[x for i, v in enumerate(self.classes) for x in (F.lit(float(i)), F.lit(v))])
@@ -261,6 +229,9 @@ def _fit(spec: AlgoSpec, data: DataFrame, ctx: dict[str, Any], *, id_col: str, o
             out.model, out.k = KNN, k_neighbors
             out.knn_train = data.select(F.col(id_col).alias("id"), vector_to_array("features").alias("vec"),
                                         F.col("_label").alias("label"))
+        elif hasattr(est, "fit_rows"):
+            out.model = est.fit_rows(data, key=id_col, label="_label", weight=weight_col if spec.supports_weight else None,
+                                     **({"valid": "_valid"} if ctx.get("early_stopping") else {}))
         else:
             est = est.setFeaturesCol("features").setLabelCol("_label")
             if weight_col and spec.supports_weight and hasattr(est, "setWeightCol"):
@@ -272,6 +243,12 @@ def _fit(spec: AlgoSpec, data: DataFrame, ctx: dict[str, Any], *, id_col: str, o
     return out
 
 
+def bounded_rows(train: DataFrame, id_col: str, rows: int) -> DataFrame:
+    """The ``rows`` rows with the smallest key hashes: a filter by the boundary, rows stay in their partitions."""
+    hashed = train.withColumn("_hash", hash32(F.col(id_col), "fit"))
+    return flag_smallest(hashed, None, "_hash", id_col, [(None, rows)], "_fitted").where("_fitted").drop("_hash", "_fitted")
+
+
 def train_all(specs: Sequence[AlgoSpec], train: DataFrame, task: str, *, id_col: str, overrides: dict | None = None,
               weight_col: str | None = None, k_neighbors: int = 5, early_stopping: bool = False,
               max_fit_rows: int | None = None, at_once: int = 4) -> list[TrainedModel]:
@@ -283,7 +260,7 @@ def train_all(specs: Sequence[AlgoSpec], train: DataFrame, task: str, *, id_col:
     """
     overrides = overrides or {}
     if max_fit_rows is not None:
-        train = train.orderBy(hash32(F.col(id_col), "fit"), id_col).limit(max_fit_rows)
+        train = bounded_rows(train, id_col, max_fit_rows)
     # every spec reads the same matrix: materialise it once (recomputable on executor loss)
     train = train.persist()
     ctx = _label_stats(train, task) | {"early_stopping": early_stopping}

@@ -18,11 +18,6 @@ from tabforge.plans.standins import table
 
 H = "CAST('0x' || substr(md5('42:' || CAST({k} AS VARCHAR)), 1, 8) AS BIGINT)"
 
-# Labelled rows that a query's models are fitted on, smallest key hashes first. The
-# hyper-parameters are the registry's; this alone bounds what a fit costs.
-FIT_ROWS = 20_000
-
-
 def _one_feature(spark, sf):
     """part: y = retail price, x = part key (one feature), hash split on the key."""
     part = table(spark, sf, "part").select("p_partkey", F.col("p_retailprice").alias("label"))
@@ -68,7 +63,7 @@ register("train_elastic_net", sql=_lin_sql(_soft(0.25, 0.25), 4), doc="Elastic n
     lambda spark, sf: _fit_linear(spark, sf, "elastic_net", 4))
 
 
-# Trees on one feature whose values all fit into its bins are closed forms: a fully
+# Trees on one feature of few values are closed forms: a fully
 # grown tree predicts the majority class or the mean of each value. Forests are held
 # to a rule that the feature decides (a customer's region follows from the nation), so
 # every tree that is grown to the end knows it. Boosting is a recursion per value.
@@ -95,7 +90,7 @@ def _orders(spark, sf, label: str) -> DataFrame:
 def _held_out(frame: DataFrame, key: str, task: str, name: str) -> DataFrame:
     """The test rows with what the fitted model says about them."""
     spec = TR.get_specs(task, [name])
-    fitted = TR.train_all(spec, frame.where(~F.col("is_test")), task, id_col=key, max_fit_rows=FIT_ROWS)[0]
+    fitted = TR.train_all(spec, frame.where(~F.col("is_test")), task, id_col=key)[0]
     if not fitted.is_success:
         raise RuntimeError(f"{name} failed: {fitted.error}")
     return fitted.predict(frame.where("is_test"), key)
@@ -103,10 +98,9 @@ def _held_out(frame: DataFrame, key: str, task: str, name: str) -> DataFrame:
 
 def _rows_sql(table_sql: str, key: str, columns: str) -> str:
     """``sp``: all rows with the split; ``tr``: the rows that models are fitted on."""
-    fit = f"CAST('0x' || substr(md5('fit:' || CAST({key} AS VARCHAR)), 1, 8) AS BIGINT)"
     return f"""t AS (SELECT {key}, {columns} FROM {table_sql}),
 sp AS (SELECT *, row_number() OVER (ORDER BY {H.format(k=key)}, {key}) <= (SELECT ceil(0.2 * count(*)) FROM t) AS is_test FROM t),
-tr AS (SELECT * FROM sp WHERE NOT is_test QUALIFY row_number() OVER (ORDER BY {fit}, {key}) <= {FIT_ROWS})"""
+tr AS (SELECT * FROM sp WHERE NOT is_test)"""
 
 
 _CUSTOMERS = "customer JOIN nation ON c_nationkey = n_nationkey"
@@ -135,16 +129,34 @@ SELECT o_orderkey, round(m.y, 3) AS prediction FROM sp JOIN m USING (x) WHERE is
 
 
 def _boost_clf_sql(rounds: int) -> str:
-    """The first tree fits the labels -1 and 1; every other one a tenth of the loss's gradient."""
+    """From the log-odds, every round adds a tenth of a Newton step of each value."""
     return f"""
 WITH RECURSIVE {_rows_sql('orders', 'o_orderkey', f'{_STATUS_SQL}, {_HIGH_SQL}')},
-p AS (SELECT x, avg(y) AS p FROM tr GROUP BY x),
-f(x, p, i, f) AS (SELECT x, p, 1, 2 * p - 1 FROM p UNION ALL
-  SELECT x, p, i + 1, f + 0.1 * (4 * p / (1 + exp(2 * f)) - 4 * (1 - p) / (1 + exp(-2 * f))) FROM f WHERE i < {rounds})
-SELECT o_orderkey, CAST(f > 0 AS INT) AS prediction, round(1 / (1 + exp(-2 * f)), 5) AS prob
+f(x, p, i, f) AS (SELECT x, avg(y), 0, (SELECT ln(avg(y) / (1 - avg(y))) FROM tr) FROM tr GROUP BY x UNION ALL
+  SELECT x, p, i + 1, f + 0.1 * (p - 1 / (1 + exp(-f))) * (1 + exp(-f)) * (1 + exp(f)) FROM f WHERE i < {rounds})
+SELECT o_orderkey, CAST(f > 0 AS INT) AS prediction, round(1 / (1 + exp(-f)), 5) AS prob
 FROM sp JOIN (SELECT x, f FROM f WHERE i = {rounds}) USING (x) WHERE is_test"""
 
 
+_URGENCY = "CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 0 WHEN o_orderpriority = '3-MEDIUM' THEN 1 ELSE 2 END"
+
+
+def _boost_three_sql(rounds: int, rate: str) -> str:
+    """Three scores, moved together: each by its own Newton step under the softmax of all."""
+    total = "(exp(f0) + exp(f1) + exp(f2))"
+    p = [f"(exp(f{k}) / {total})" for k in range(3)]
+    steps = ", ".join(f"f{k} + {rate} * (q{k} - {p[k]}) / ({p[k]} * (1 - {p[k]}))" for k in range(3))
+    shares = ", ".join(f"avg((y = {k})::INT) AS q{k}" for k in range(3))
+    starts = ", ".join(f"(SELECT ln(avg((y = {k})::INT)) FROM tr) AS f{k}" for k in range(3))
+    probs = ", ".join(f"round({p[k]}, 5) AS prob_{k}" for k in range(3))
+    return f"""
+WITH RECURSIVE {_rows_sql('orders', 'o_orderkey', f'{_STATUS_SQL}, {_URGENCY} AS y')},
+q AS (SELECT x, {shares} FROM tr GROUP BY x),
+f AS (SELECT *, 0 AS i, {starts} FROM q UNION ALL SELECT x, q0, q1, q2, i + 1, {steps} FROM f WHERE i < {rounds})
+SELECT o_orderkey, CASE WHEN f0 >= f1 AND f0 >= f2 THEN 0 WHEN f1 >= f2 THEN 1 ELSE 2 END AS prediction, {probs}
+FROM sp JOIN (SELECT * FROM f WHERE i = {rounds}) USING (x) WHERE is_test"""
+
+
 def _logistic_sql() -> str:
     """Newton steps for slope and intercept; the slope is penalised with 1/2."""
     p = {i: f"(1 / (1 + exp(-(b + {i} * w))))" for i in range(3)}
@@ -219,10 +231,19 @@ def _boost_reg_query(name: str):
     return run
 
 
-for _key, _name, _rounds in [("gradient_boosting", "gradient_boosting", 200),
-                             ("hist_gradient_boosting", "hist_gradient_boosting", 300)]:
-    register(f"train_{_key}_clf", sql=_boost_clf_sql(_rounds))(_boost_clf_query(_name))
-    register(f"train_{_key}_reg", sql=_BOOST_REG_SQL)(_boost_reg_query(_name))
+def _boost_three_query(name: str):
+    def run(spark, sf):
+        pred = _held_out(_orders(spark, sf, _URGENCY), "o_orderkey", "classification", name)
+        return pred.select("o_orderkey", "prediction", *[F.round(F.col("probability")[k], 5).alias(f"prob_{k}") for k in range(3)])
+    run.__doc__ = f"{name}, three classes: how urgent an order is, from its status."
+    return run
+
+
+# a classical step of K scores is (K - 1) / K of Newton's
+for _name, _rounds, _rate in [("gradient_boosting", 200, "0.1 * 2 / 3"), ("hist_gradient_boosting", 300, "0.1")]:
+    register(f"train_{_name}_clf", sql=_boost_clf_sql(_rounds))(_boost_clf_query(_name))
+    register(f"train_{_name}_multiclass", sql=_boost_three_sql(_rounds, _rate))(_boost_three_query(_name))
+    register(f"train_{_name}_reg", sql=_BOOST_REG_SQL)(_boost_reg_query(_name))
 
 
 # ------------------------------------------------------------------ kNN (exact, SQL-checked)
@@ -291,7 +312,7 @@ m AS (
 def _train_all(spark, sf):
     frame = _customers(spark, sf, _PRESENT)
     trained = TR.train_all(TR.get_specs("classification"), frame.where(~F.col("is_test")), "classification",
-                           id_col="c_custkey", max_fit_rows=FIT_ROWS)
+                           id_col="c_custkey")
     return frame.where("is_test").drop("is_test"), trained
 
 

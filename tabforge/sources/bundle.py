@@ -19,13 +19,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tabforge.operators.preprocess import PreprocessorModel
 from tabforge.operators.train import KNN, TrainedModel
+from tabforge.operators.trees import TreeModel
 from tabforge.plans.config import FeatureSchema, PreprocessingConfig
 from tabforge.sources.files import exists, read_text, write_text
 
 REQUIRED = ("model", "preprocessor.json", "feature_schema.json", "metrics.json")
 
 
-def _save_model(path: str, model: Model | TrainedModel) -> dict:
+def _save_model(spark: SparkSession, path: str, model: Model | TrainedModel) -> dict:
     """Write the model; returns what else is needed to load it."""
     if not isinstance(model, TrainedModel):
         model.write().overwrite().save(f"{path}/model")
@@ -34,9 +35,12 @@ def _save_model(path: str, model: Model | TrainedModel) -> dict:
         raise ValueError(f"{model.name} is not a fitted model")
     if model.model == KNN:
         model.knn_train.write.mode("overwrite").parquet(f"{path}/model")
+    elif isinstance(model.model, TreeModel):
+        model.model.save(spark, f"{path}/model")
     else:
         PipelineModel(stages=[model.model]).write().overwrite().save(f"{path}/model")
-    return {"name": model.name, "task": model.task, "classes": model.classes, "k": model.k, "knn": model.model == KNN}
+    return {"name": model.name, "task": model.task, "classes": model.classes, "k": model.k, "knn": model.model == KNN,
+            "trees": isinstance(model.model, TreeModel)}
 
 
 def _load_model(spark: SparkSession, path: str, how: dict, model_cls: type) -> Model | TrainedModel:
@@ -45,6 +49,8 @@ def _load_model(spark: SparkSession, path: str, how: dict, model_cls: type) -> M
     out = TrainedModel(how["name"], how["task"], "success", 0, classes=how["classes"], k=how["k"])
     if how["knn"]:
         out.model, out.knn_train = KNN, spark.read.parquet(f"{path}/model")
+    elif how.get("trees"):
+        out.model = TreeModel.load(spark, f"{path}/model")
     else:
         out.model = PipelineModel.load(f"{path}/model").stages[0]
     return out
@@ -54,7 +60,7 @@ def save_bundle(spark: SparkSession, path: str, *, model: Model | TrainedModel,
                 schema: FeatureSchema, metrics: dict, config: PreprocessingConfig | None = None,
                 meta: dict | None = None, vocabulary: DataFrame | None = None) -> str:
     """``vocabulary`` (column, value) holds the training categories of all categorical columns, however many."""
-    how = _save_model(path, model)
+    how = _save_model(spark, path, model)
     if vocabulary is not None:
         schema = replace(schema, vocabulary="vocabulary")
         vocabulary.select("column", "value").write.mode("overwrite").parquet(f"{path}/{schema.vocabulary}")
