@@ -1,16 +1,13 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines, one per block element. A line weighs as many
-characters as it has, or nothing when it belongs to page furniture (menus, headers,
-footers, forms, adverts, comments and the like, told by element or by the names in
-class, id and role) or is mostly links. Weights are summed over a sliding window of
-lines; text surges where the sums leave zero and dives where they return to it.
-A stretch counts when its highest sum reaches the surge level or, on pages with
-little text, a share of the page's highest; the weighted lines between its surge and
-its dive are kept.
-
-Lines in article and main elements need no surge: all that are not furniture are
-kept, links included. Where they hold most of the page's text, no other line is.
+Markup is stripped into lines, one per block element. A line weighs as many characters as
+it has, or nothing when it belongs to page furniture (menus, headers, footers, forms,
+adverts, comments and the like, told by element or by whole names in class, id and role) or
+is mostly links. Article and main elements are evidence: each of their lines weighs as much
+more as a surge needs, links or not, and where they hold most of the page's text the other
+lines weigh nothing. Weights are summed over a sliding window of lines; text surges where
+the sums leave zero and dives where they return to it, and the weighted lines between the
+two are kept where the highest sum reaches the surge level.
 """
 
 from __future__ import annotations
@@ -34,18 +31,22 @@ INLINE = frozenset(
 )
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 FURNITURE = frozenset(
-    "head nav footer aside form menu dialog noscript template svg math select button object audio video canvas map "
-    "fieldset datalist".split()
+    "head nav footer aside form menu dialog noscript template svg select button object audio video canvas map "
+    "datalist".split()
 )
-# Words in class, id and role values that mark page furniture.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+# Names in class, id and role values that mark page furniture, alone or beside each other and words of place.
 NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie "
     "cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices popup "
     "promo promoted promotion related search share sharing sidebar signup social sponsor sponsored subscribe "
     "complementary contentinfo alert alertdialog dialog".split()
 )
-BODY_NAMES = frozenset("content article main body post entry text page wrapper container layout has with no".split())
-ALWAYS = frozenset("comment comments disqus".split())
+PLACES = frozenset(
+    "site page main global primary secondary sub top bottom left right mobile desktop sticky fixed block box list bar "
+    "item items link links wrapper wrap container inner outer area slot unit widget widgets buttons button icons form "
+    "user thread reply replies posts articles stories news and the".split()
+)
 
 _TAG = re.compile(
     r"<!--(?:.*?-->|.*)|<[!?][^>]*>?"
@@ -59,28 +60,36 @@ _QUOTED = re.compile(r"(?:class|id|role|title|alt|href|src|content|data-[\w-]+)\
 
 @dataclass(frozen=True)
 class BlockParams:
-    """``window``: lines summed up. A stretch must reach ``surge`` characters or ``share`` of the page's highest sum.
+    """``window``: lines summed up. A stretch must reach ``surge`` characters, or ``share`` of the page's highest sum
+    where that is less: a short last paragraph does, a word between furniture does not.
 
-    ``marked``: share of the weighted characters that articles must hold for lines outside them to weigh nothing.
+    ``marked``: share of the characters that articles must hold for lines outside them to weigh nothing.
     """
 
     window: int = 3
     share: float = 0.2
     most_links: float = 0.5
-    surge: int = 100
+    surge: int = 20
     marked: float = 0.5
 
 
+def names_furniture(value: str) -> bool:
+    """Whether a class, id or role names furniture as a whole: ``cookie-banner`` and ``site-header`` do, ``section-header``
+    and ``share-price`` do not."""
+    words = [w for w in re.split(r"[^a-z0-9]+", value) if w and not re.fullmatch(r"\d+(x\d+)?", w)]
+    return any(w in NAMES for w in words) and all(w in NAMES or w in PLACES for w in words)
+
+
 def is_furniture(name: str, attrs: str, in_article: bool) -> bool:
     if name in FURNITURE or name == "header" and not in_article:
         return True
     if name in ("html", "body") or "=" not in attrs and "hidden" not in attrs:
         return False
-    for m in _NAMED.finditer(attrs):
-        for value in (m[1] or m[2] or m[3] or "").lower().split():
-            words = {w for w in re.split(r"[^a-z0-9]+", value) if w}
-            if words & ALWAYS or words & NAMES and not words & BODY_NAMES:
-                return True
+    if name not in HEADINGS and name not in ("article", "main"):
+        for m in _NAMED.finditer(attrs):
+            for value in (m[1] or m[2] or m[3] or "").lower().split():
+                if names_furniture(value) and not (in_article and value == "header"):
+                    return True
     return bool(_HIDDEN.search(_QUOTED.sub("", attrs)))
 
 
@@ -173,13 +182,13 @@ def main_text(page: str | None, p: BlockParams = BlockParams()) -> str:  # noqa:
     """The kept lines joined by newlines; empty for a null or empty page."""
     lines = lines_of(page or "")
     inside = [x.article and not x.furniture for x in lines]
-    weights = [
+    plain = [
         0 if x.furniture or not own and x.links > p.most_links * len(x.text) else len(x.text)
         for x, own in zip(lines, inside, strict=True)
     ]
-    held = sum(w for w, own in zip(weights, inside, strict=True) if own)
-    if held and held >= p.marked * sum(weights):
-        return "\n".join(x.text for x, own in zip(lines, inside, strict=True) if own)
+    held = sum(w for w, own in zip(plain, inside, strict=True) if own)
+    others = 0 if held and held >= p.marked * sum(plain) else 1
+    weights = [w + p.surge if own else w * others for w, own in zip(plain, inside, strict=True)]
     sums = [sum(weights[i : i + p.window]) for i in range(len(weights))]
     least = min(p.surge, p.share * max(sums, default=0))
     kept: list[str] = []
@@ -191,8 +200,8 @@ def main_text(page: str | None, p: BlockParams = BlockParams()) -> str:  # noqa:
         dive = start
         while dive < len(sums) and sums[dive]:
             dive += 1
-        surges = max(sums[start:dive]) >= least
-        kept += [lines[i].text for i in range(start, dive) if weights[i] and (surges or inside[i])]
+        if max(sums[start:dive]) >= least:
+            kept += [lines[i].text for i in range(start, dive) if weights[i]]
         start = dive
     return "\n".join(kept)
 
