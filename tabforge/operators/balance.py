@@ -17,6 +17,7 @@ from pyspark.sql.types import IntegralType
 from tabforge.functions.columns import hash32
 from tabforge.functions.stats import with_position
 from tabforge.operators.knn import knn
+from tabforge.operators.split import class_counts
 
 # Salts of the three SMOTE hashes.
 SALT_BASE, SALT_NEIGHBOUR, SALT_GAP = 43, 44, 45
@@ -32,7 +33,7 @@ def smote(df: DataFrame, *, id_col: str, label_col: str, vec_col: str, k: int =
     if task_type == "regression":
         raise ValueError("SMOTE cannot be applied to regression")
     spark = df.sparkSession
-    counts = {r[0]: r[1] for r in df.groupBy(label_col).count().collect()}  # one row per class
+    counts = dict(class_counts(df, label_col))
     n_max = max(counts.values())
     needs = {y: n_max - n for y, n in counts.items() if n < n_max}
     label_type = df.schema[label_col].dataType.simpleString()

@@ -20,6 +20,7 @@ from tabforge.functions.columns import (
     is_numeric_type,
     q,
 )
+from tabforge.functions.datetimes import readings
 from tabforge.functions.stats import with_position
 
 # Fixed values (reference thresholds and token sets).
@@ -31,16 +32,6 @@ HIGHCARD_NUNIQUE = 50
 HIGHCARD_RATIO = 0.3
 SKEW_THRESHOLD = 1.0
 
-# Accepted datetime layouts for text columns (Spark pattern, DuckDB strptime pattern).
-DATETIME_FORMATS = (
-    ("yyyy-MM-dd HH:mm:ss", "%Y-%m-%d %H:%M:%S"),
-    ("yyyy-MM-dd'T'HH:mm:ss", "%Y-%m-%dT%H:%M:%S"),
-    ("yyyy-MM-dd HH:mm", "%Y-%m-%d %H:%M"),
-    ("yyyy-MM-dd", "%Y-%m-%d"),
-    ("yyyy/MM/dd", "%Y/%m/%d"),
-    ("MM/dd/yyyy", "%m/%d/%Y"),
-)
-
 
 def missing_expr(name: str, dt: T.DataType):
     """True where the value is missing (NULL, or NaN for floating columns)."""
@@ -97,15 +88,10 @@ def suggest_excluded(prof: DataFrame, threshold: float = ID_UNIQUE_RATIO_THRESHO
     )
 
 
-def parse_datetime(c) -> F.Column:
-    """Text → timestamp using the fixed layout list; NULL when nothing fits."""
-    s = F.trim(c.cast("string"))
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(fmt)) for fmt, _ in DATETIME_FORMATS])
-
-
 def detect_datetime(df: DataFrame) -> DataFrame:
     """Datetime candidates: datetime-typed columns always; text columns whose
-    non-null values are < 80 % numeric and ≥ 95 % parseable as datetimes."""
+    non-null values are < 80 % numeric and ≥ 95 % parseable as datetimes, with day
+    and month in the order that fits more of the column's values."""
     fields = df.schema.fields
     text = [(i, f) for i, f in enumerate(fields) if isinstance(f.dataType, T.StringType)]
     aggs = [F.count(F.lit(1)).alias("_n")]
@@ -114,9 +100,9 @@ def detect_datetime(df: DataFrame) -> DataFrame:
         aggs += [
             F.count(c).alias(f"nn{i}"),
             F.count(coerce_number(c)).alias(f"num{i}"),
-            F.count(parse_datetime(c)).alias(f"dt{i}"),
+            *(F.count_if(f"_read{i}.{n}").alias(f"{n}{i}") for n in ("other", "month_first", "day_first")),
         ]
-    wide = df.agg(*aggs)
+    wide = df.select(*(q(f.name) for _, f in text), *(readings(q(f.name)).alias(f"_read{i}") for i, f in text)).agg(*aggs)
     items = []
     for i, f in enumerate(fields):
         if is_datetime_type(f.dataType):
@@ -127,7 +113,7 @@ def detect_datetime(df: DataFrame) -> DataFrame:
         elif isinstance(f.dataType, T.StringType):
             nn = F.col(f"nn{i}")
             num_ratio = F.when(nn > 0, F.col(f"num{i}") / nn)
-            dt_ratio = F.when(nn > 0, F.col(f"dt{i}") / nn)
+            dt_ratio = F.when(nn > 0, (F.col(f"other{i}") + F.greatest(f"month_first{i}", f"day_first{i}")) / nn)
             flag = (F.col("_n") > 0) & (nn > 0) & (num_ratio < NUMERIC_STRING_EXCLUSION_RATIO) & (
                 dt_ratio >= DATETIME_PARSE_SUCCESS_RATIO)
             items.append(F.struct(F.lit(i).alias("column_idx"), F.lit(f.name).alias("name"),

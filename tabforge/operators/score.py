@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tabforge.functions.columns import q
 from tabforge.operators import metrics as M
 from tabforge.operators.preprocess import PreprocessorModel, validate_scoring_input
+from tabforge.operators.split import class_counts
 from tabforge.operators.train import TrainedModel, assemble
 from tabforge.plans.config import FeatureSchema
 
@@ -28,7 +29,7 @@ def score_models(trained: Sequence[TrainedModel], test: DataFrame, task: str, *,
     labels = test.select(id_col, "label")
     y_classes = None
     if task == "classification":
-        y_classes = sorted(r["label"] for r in labels.select("label").distinct().collect())  # one row per class
+        y_classes = [c for c, _ in class_counts(labels, "label")]
     for order, t in enumerate(trained):
         if not t.is_success:
             rows.append((t.name, order, "failed", None, None, t.error, t.train_time_ms))

@@ -37,6 +37,7 @@ from tabforge.functions.columns import DEFAULT_SEED, hash32
 from tabforge.functions.stats import flag_smallest
 from tabforge.operators.boosting import BoostEstimator, BoostParams
 from tabforge.operators.knn import knn, knn_classify, knn_regress
+from tabforge.operators.split import class_counts
 from tabforge.operators.trees import ForestEstimator, ForestParams, TreeModel
 
 
@@ -211,9 +212,8 @@ class TrainedModel:
 
 def _label_stats(train: DataFrame, task: str) -> dict[str, Any]:
     if task == "classification":
-        rows = train.groupBy("label").count().collect()  # one row per class
-        return {"n": sum(r["count"] for r in rows), "classes": sorted(r["label"] for r in rows),
-                "n_classes": len(rows)}
+        counts = class_counts(train, "label")  # refuses a label with too many values
+        return {"n": sum(n for _, n in counts), "classes": [c for c, _ in counts], "n_classes": len(counts)}
     r = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("label").alias("sd")).first()
     return {"n": r["n"], "sd_y": r["sd"] or 0.0}
 

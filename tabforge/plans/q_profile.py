@@ -48,7 +48,8 @@ _TEXT_COLS = ["ts_text", "ts_text_95", "ts_text_90", "day_text", "value_text", "
 
 
 def _detect_dt_sql() -> str:
-    dt = "coalesce(" + ", ".join(f"try_strptime(trim({{c}}), '{d}')" for _, d in P.DATETIME_FORMATS) + ")"
+    layouts = ("%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M", "%Y-%m-%d", "%Y/%m/%d", "%m/%d/%Y")
+    dt = "coalesce(" + ", ".join(f"try_strptime(trim({{c}}), '{d}')" for d in layouts) + ")"
     num = "CASE WHEN regexp_matches(trim({c}), '" + NUMBER_PATTERN + "') THEN 1 END"
     cols = ["event_id", "ts"] + _TEXT_COLS
     parts = ["SELECT 1 AS column_idx, 'ts' AS name, CAST(NULL AS DOUBLE) AS numeric_ratio, "

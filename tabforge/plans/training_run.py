@@ -107,6 +107,7 @@ def run_training(df: DataFrame, cfg: TrainingConfig, *, overrides: dict | None =
     trained = TR.train_all(specs, train, cfg.task_type, id_col=key, overrides=overrides, weight_col=weight_col,
                            k_neighbors=5, max_fit_rows=max_fit_rows)
     scores = score_models(trained, test, cfg.task_type, id_col=key)
+    sp.unpersist()  # the matrices are computed anew where they are asked for again
     metrics = M.CLASSIFICATION_METRICS if cfg.task_type == "classification" else M.REGRESSION_METRICS
     lb = M.leaderboard(scores.where(F.col("metric").isNotNull()), model_status(scores), metric_key, list(metrics))
     return TrainingRun(lb, scores, trained, model, schema, metric_key, method, train, test, key, without, pcfg,
