@@ -8,14 +8,16 @@ are no template. Template words are ordered by how many blocks of
 the whole table hold them, rarest first. A block that meets a template misses at
 most ``n - need`` of its ``n`` words, so it holds one of the first
 ``n - need + 1`` (prefix filter); it has ``need`` words at least (length filter);
-and when its first prefix word stands at place ``i``, at most ``n - i`` words can
-be shared (positional filter). Blocks left are compared in full. The templates are
+and when its first prefix word stands at place ``i`` of the template and at place ``j``
+of the block's ``m`` template words in the same order, the two can share at most
+``min(n - i, m - j)`` (positional filter). Blocks left are compared in full. The templates are
 a parameter of a few hundred words; nothing that grows with the table leaves the
 tasks but one histogram over the templates' words.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -44,11 +46,17 @@ TEMPLATES = {
     "cc-by-4.0": ["Licensed under a Creative Commons Attribution 4.0 International License", "Licensed under CC BY 4.0"],
     "cc-by-nc-4.0": ["Licensed under CC BY-NC 4.0"],
     "cc-by-sa-4.0": ["Licensed under CC BY-SA 4.0"],
+    "cc0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"],
+    "epl-2.0": ["made available under the terms of the Eclipse Public License 2.0"],
     "gpl-3.0": ["licensed under the GNU General Public License, version 3"],
+    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
     "mit": [
         "Released under the MIT License",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
     ],
+    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
+    "unlicense": ["This is free and unencumbered software released into the public domain"],
+    "zlib": ["This software is provided 'as-is', without any express or implied warranty"],
 }
 
 
@@ -65,13 +73,16 @@ class TemplateIndex:
     words: list[list[bytes]] = field(default_factory=list)
     labels: list[str] = field(default_factory=list)
     prefix: dict[bytes, list[tuple[int, int]]] = field(default_factory=dict)
+    rank: dict[bytes, int] = field(default_factory=dict)  # place of every template word in the global order
 
     @classmethod
     def build(cls, templates: dict[str, list[str]], frequency: dict[bytes, int], threshold: float) -> TemplateIndex:
         index = cls()
+        every = {w for texts in templates.values() for text in texts for w in fold(text).split()}
+        index.rank = {w: i for i, w in enumerate(sorted(every, key=lambda w: (frequency.get(w, 0), w)))}
         for label in sorted(templates):
             for text in templates[label]:
-                words = sorted(set(fold(text).split()), key=lambda w: (frequency.get(w, 0), w))
+                words = sorted(set(fold(text).split()), key=index.rank.__getitem__)
                 if not words:
                     continue
                 need = max(1, int(np.ceil(threshold * len(words) - 1e-9)))
@@ -92,8 +103,9 @@ class TemplateIndex:
             for t, place in self.prefix[w]:
                 first[t] = min(place, first.get(t, place))
         met: dict[int, int] = {}
+        ranks = sorted(map(self.rank.__getitem__, block & self.rank.keys())) if first else []
         for t, place in first.items():
-            if len(block) < self.need[t] or len(self.words[t]) - place < self.need[t]:
+            if len(block) < self.need[t] or self.most_shared(t, place, ranks) < self.need[t]:
                 continue
             shared = sum(w in block for w in self.words[t])
             if shared >= self.need[t]:
@@ -104,6 +116,11 @@ class TemplateIndex:
                 yield self.labels[t], shared / len(own)
 
 
+    def most_shared(self, t: int, place: int, ranks: list[int]) -> int:
+        """What a template and a block can share, whose first common word stands at ``place`` of the template."""
+        return min(len(self.words[t]) - place, len(ranks) - bisect_left(ranks, self.rank[self.words[t][place]]))
+
+
 def block_frequency(texts: DataFrame, column: str, templates: dict[str, list[str]]) -> dict[bytes, int]:
     """How many blocks of all texts hold each word of the templates."""
     vocabulary = sorted({w for ts in templates.values() for t in ts for w in fold(t).split()})

@@ -146,6 +146,26 @@ def test_license_scan_without_templates_or_rows(spark):
     assert license_scan.scan_licenses(odd(spark, [])).count() == 0
 
 
+def test_license_positional_filter_drops_blocks_and_loses_none():
+    rng = random.Random(8)
+    vocabulary = sorted({w for ts in license_scan.TEMPLATES.values() for t in ts for w in license_scan.fold(t).split()})
+    index = license_scan.TemplateIndex.build(license_scan.TEMPLATES, {w: rng.randint(0, 50) for w in vocabulary}, 0.9)
+    dropped = kept = 0
+    for _ in range(4000):
+        t = rng.randrange(len(index.words))
+        block = set(rng.sample(index.words[t], rng.randint(1, len(index.words[t])))) | set(rng.sample(vocabulary, rng.randint(0, 6))) | {b"other"}
+        wanted = {o for o, words in enumerate(index.words) if sum(w in block for w in words) >= index.need[o]}
+        wanted = {o for o in wanted if not any(set(index.words[o]) < set(index.words[x]) for x in wanted)}
+        assert sorted(index.met(block)) == sorted((index.labels[o], sum(w in block for w in index.words[o]) / len(index.words[o])) for o in wanted)
+        ranks = sorted(index.rank[w] for w in block if w in index.rank)
+        for o, words in enumerate(index.words):
+            prefix = [i for i, w in enumerate(words[: len(words) - index.need[o] + 1]) if w in block]
+            if prefix and len(block) >= index.need[o]:
+                drop = index.most_shared(o, prefix[0], ranks) < index.need[o]
+                dropped, kept = dropped + drop, kept + (not drop)
+    assert dropped > 1000 and kept > 100
+
+
 # --- quality ---------------------------------------------------------------------------------------------------------
 
 
