@@ -51,6 +51,23 @@ def test_matrix_has_its_margins():
     assert rows.sum(axis=0).tolist() == sizes.tolist()
 
 
+def test_sharding_query_places_every_row(spark):
+    import zlib
+    from collections import Counter
+
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF001}/documents.parquet").collect()}
+    got = QUERIES["op1_sharding"](spark, SF001).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(docs)
+    for r in got:
+        data = (docs[r["doc_id"]] or "").encode()
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(data) + 1, zlib.crc32(data), "rows", None)
+    slots = {}
+    for r in got:
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert sorted(slots) == list(range(16)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+
+
 def test_large_populations_follow_the_law():
     rng = np.random.default_rng(1)
     good, bad, drawn = 3 * 10**9, 7 * 10**9, 10**6
