@@ -57,7 +57,7 @@ def test_sharding_query_places_every_row(spark):
 
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF001}/documents.parquet").collect()}
     got = QUERIES["op1_sharding"](spark, SF001).collect()
-    assert Counter(r["doc_id"] for r in got) == Counter(docs)
+    assert Counter(r["doc_id"] for r in got) == Counter(list(docs))
     for r in got:
         data = (docs[r["doc_id"]] or "").encode()
         assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(data) + 1, zlib.crc32(data), "rows", None)
