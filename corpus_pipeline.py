@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabforge.llm import bpe, flow_mix, hyperdim_langid, jaccard_join, quality_llr
-from tabforge.llm.common import stored, table
+from tabforge.llm.common import WORD_PATTERN, stored, table
 from tabforge.llm.queries import BPE_PATH
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -65,16 +65,22 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of the n-gram Jaccard join: the one with the smallest doc_id, rows without one last.
 
-    Components are those of rows, by a number that is written once, so that unlike texts
-    under one doc_id all stay and of equal ids in a component one row does. Null texts and
-    texts without words are copies of nothing and stay. An empty table stays empty.
+    A row is named by its doc_id, a digest of its text and a hash of its other columns, so
+    that unlike texts under one doc_id all stay, and of rows equal in all columns one does.
+    Null texts and texts without words are copies of nothing and stay. An empty table stays
+    empty.
     """
     names = ["doc_id", "text"]
-    rows = stored(_apart(docs, names).withColumn("row", F.monotonically_increasing_id()), "numbered")
-    found = jaccard_join.jaccard_components(rows.select("row", "text"), key="row")
-    first = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
-    least = found.join(rows.select("row", "doc_id"), "row").groupBy("component_id").agg(F.min(first)["row"].alias("row"))
-    return _together(rows.join(least.select("row"), "row", "left_semi"), docs, names)
+    rows = _apart(docs, names)
+    ordered = F.lpad(F.hex(F.col("doc_id").cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    others = F.xxhash64(F.lit(0), *(F.col(c) for c in rows.columns if c not in names))
+    name = F.concat(F.coalesce(F.concat(F.lit("0"), ordered), F.lit("1")), F.md5("text"), F.hex(others))
+    worded = F.coalesce(F.col("text").rlike(WORD_PATTERN), F.lit(False))
+    named = rows.where(worded).withColumn("__name", name)
+    found = jaccard_join.jaccard_components(named.select("__name", "text"), key="__name")
+    first = found.where("__name = component_id").select("__name").distinct()
+    kept = named.join(first, "__name", "left_semi").dropDuplicates(["__name"])
+    return _together(kept.drop("__name").unionByName(rows.where(~worded)), docs, names)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
