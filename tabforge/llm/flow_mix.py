@@ -163,8 +163,8 @@ def mix_sources(
     each repeat, the source whose quota it serves. ``identity`` columns are hashed into
     the seeded order, so the choice does not depend on how rows are dealt out; rows
     with equal identity are taken together. A null array is no membership and, like a
-    row of size 0, takes no words. An empty table gives an empty result. Input columns
-    named like an output are replaced.
+    row of size 0, takes no words. Texts of any length count whole. An empty table gives
+    an empty result. Input columns named like an output are replaced.
     """
     p = params or MixParams()
     out = ("size", "repeats", "taken", "assigned")

@@ -128,7 +128,9 @@ def judge_urls(pages: DataFrame, url: str, rules: list[Rule], prior: Prior | Non
     The labelled outcomes are the pages that a rule decides: block is bad, allow is
     good. Pages under a rule keep its verdict; the others take their host's. A null
     url, or one without ``://``, has the empty host, whose pages are judged like any
-    other host's. Repeated rows are judged one by one. Input columns named like an
+    other host's. Repeated rows are judged one by one. Of rules of equal length that fit,
+    the first by text holds; a bound equal to the limit allows. Urls of any length are
+    read whole, and an empty table gives an empty result. Input columns named like an
     output are replaced; other extra columns pass through.
     """
     p = prior or Prior()

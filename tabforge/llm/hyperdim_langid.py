@@ -156,8 +156,8 @@ def predict_language(
     Prototypes are learned from the rows where ``train`` is true and ``lang`` is not
     null. A null text, or one without a letter, is ``und`` with score 0.0, and so is
     every text when there is nothing to learn from. ``score`` is the cosine, at least
-    0. Ties go to the first language in order. Repeated rows get equal answers; an
-    empty table gives an empty result. Input columns named like an output are replaced.
+    0. Ties go to the first language in order. Repeated rows get equal answers, and
+    texts of any length are profiled whole; an empty table gives an empty result. Input columns named like an output are replaced.
     """
     p = params or ProfileParams()
     langs, prototypes = fit_prototypes(docs, text, lang, train, p)

@@ -378,8 +378,8 @@ def jaccard_components(
     ``component_id`` is the smallest key reachable by links, the row's own included.
     Rows with equal sets, repeated rows among them, are linked. Null texts and texts
     without words have an empty set, link with nothing and are their own component.
-    Null keys never are the smallest; a component of null keys only has a null id. An
-    empty table gives an empty result. Extra columns are not read.
+    Null keys never are the smallest; a component of null keys only has a null id. Texts
+    of any length are read whole. An empty table gives an empty result. Extra columns are not read.
     """
     join = _Join(docs, key, text, params or JaccardParams())
     columns = join.columns()

@@ -197,8 +197,8 @@ def scan_licenses(
     smallest and largest start. ``labels`` holds the phrases' labels and those of the
     templates that some block (a line; with ``passages`` see above) meets; ``score`` is the largest containment found, 1.0
     where only a phrase was found, else 0.0. A null text is an empty one: no words,
-    no labels, score 0.0. Repeated rows are scanned one by one, an empty table gives
-    an empty result. Input columns named like an output are replaced.
+    no labels, score 0.0. Repeated rows are scanned one by one, texts of any length
+    whole; labels met equally well are all named. An empty table gives an empty result. Input columns named like an output are replaced.
     """
     phrases = PHRASES if phrases is None else phrases
     templates = TEMPLATES if templates is None else templates

@@ -211,6 +211,15 @@ def test_mix_query_meets_targets(spark):
 # --- URL filter ------------------------------------------------------------------------------------------------------
 
 
+def test_very_long_urls_and_no_pages(spark):
+    path = "/en/" + "x" * 300_000
+    pages = spark.createDataFrame([(1, f"http://A.example.com{path}?q"), (2, "http://" + "a." * 5_000 + "net/fr/")], "page_id long, url string")
+    got = {r["page_id"]: r for r in host_reputation.judge_urls(pages, "url", URL_RULES).collect()}
+    assert (got[1]["host"], got[1]["path"], got[1]["rule"]) == ("a.example.com", path, "example.com/en/")
+    assert got[2]["rule"] == "net/fr/" and got[2]["verdict"] == "block"
+    assert host_reputation.judge_urls(pages.limit(0), "url", URL_RULES).collect() == []
+
+
 def test_urls_are_cut_and_ruled(spark):
     urls = {
         None: ("", "", None), "": ("", "", None), "no scheme/here": ("", "", None), "://": ("", "", None),
