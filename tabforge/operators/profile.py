@@ -3,13 +3,14 @@
 Every function reads the data once (or a small fixed number of times) with a
 single multi-column aggregate and returns a small DataFrame; decisions that
 depend on the result are made on those few rows, never on the data itself.
+Distinct values and their frequencies of all columns are one table (``value_counts``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,34 +49,79 @@ def present_value(name: str, dt: T.DataType):
     return c
 
 
-def profile(df: DataFrame, *, approx: bool = False) -> DataFrame:
+def _slots(name: str, dt: T.DataType) -> dict[str, Column]:
+    """A column's value in the slot of its kind (``whole``, ``real`` or ``text``), all NULL where missing. Instants
+    are microseconds, nested values JSON; grouping holds 0.0 and -0.0 for one value."""
+    v = present_value(name, dt)
+    slots = {"whole": F.lit(None).cast("bigint"), "real": F.lit(None).cast("double"), "text": F.lit(None).cast("string")}
+    if is_integral_type(dt) or isinstance(dt, T.BooleanType):
+        slots["whole"] = v.cast("bigint")
+    elif isinstance(dt, T.DateType):
+        slots["whole"] = F.unix_date(v).cast("bigint")
+    elif isinstance(dt, T.TimestampType):
+        slots["whole"] = F.unix_micros(v)
+    elif isinstance(dt, (T.FloatType, T.DoubleType)):
+        slots["real"] = v.cast("double")
+    elif isinstance(dt, T.BinaryType):
+        slots["text"] = F.hex(v)
+    elif isinstance(dt, (T.ArrayType, T.StructType, T.MapType)):
+        slots["text"] = F.when(v.isNotNull(), F.to_json(v, {"ignoreNullFields": "false"}))
+    else:
+        slots["text"] = v.cast("string")
+    return slots
+
+
+def value_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """(column_idx, whole, real, text, n) over ``cols`` (all columns by default): each distinct value and its rows.
+
+    One scan turns a row into slim (column, value) pairs, which are summed before they are shuffled, so a
+    frequent value costs a task one row. A value stands in the slot of its kind; a missing one has none.
+    Profiles, modes, vocabularies and frequencies are aggregates of this table; write it once where
+    several of them are wanted.
+    """
+    names = df.columns if cols is None else list(cols)
+    if not names:
+        return df.sparkSession.createDataFrame([], "column_idx int, whole bigint, real double, text string, n bigint")
+    pairs = F.array(*[F.struct(F.lit(i).alias("column_idx"), *(v.alias(k) for k, v in _slots(c, df.schema[c].dataType).items()))
+                      for i, c in enumerate(names)])
+    return df.select(F.inline(pairs)).groupBy("column_idx", "whole", "real", "text").agg(F.count(F.lit(1)).alias("n"))
+
+
+def column_sizes(counts: DataFrame) -> DataFrame:
+    """(column_idx, n_rows, n_missing, n_unique) from ``value_counts``; a column without rows is absent."""
+    missing = F.col("whole").isNull() & F.col("real").isNull() & F.col("text").isNull()
+    return counts.groupBy("column_idx").agg(
+        F.sum("n").alias("n_rows"),
+        F.coalesce(F.sum(F.when(missing, F.col("n"))), F.lit(0)).alias("n_missing"),
+        F.count_if(~missing).alias("n_unique"))
+
+
+def profile(df: DataFrame, *, approx: bool = False, counts: DataFrame | None = None) -> DataFrame:
     """Per column: name, dtype, n_missing, n_unique (missing excluded), ratios.
 
-    One aggregate computes every count; the wide row is unpivoted into one row
-    per column. ``approx=True`` swaps exact distinct counts for HyperLogLog++.
+    All counts come from one ``value_counts`` table, given or made here. ``approx=True`` reads the data in
+    one aggregate with HyperLogLog++ instead of exact distinct counts.
     """
     fields = df.schema.fields
-    aggs = [F.count(F.lit(1)).alias("_n")]
-    for i, f in enumerate(fields):
-        aggs.append(F.count_if(missing_expr(f.name, f.dataType)).alias(f"m{i}"))
-        v = present_value(f.name, f.dataType)
-        aggs.append((F.approx_count_distinct(v) if approx else F.count_distinct(v)).alias(f"u{i}"))
-    wide = df.agg(*aggs)
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("column_idx"),
-                F.lit(f.name).alias("name"),
-                F.lit(f.dataType.simpleString()).alias("dtype"),
-                F.col(f"m{i}").cast("bigint").alias("n_missing"),
-                F.col(f"u{i}").cast("bigint").alias("n_unique"),
-            )
-            for i, f in enumerate(fields)
-        ]
-    )
+    spark = df.sparkSession
+    if not fields:
+        return spark.createDataFrame([], "n_rows bigint, column_idx int, name string, dtype string, n_missing bigint, "
+                                         "n_unique bigint, missing_ratio double, unique_ratio double")
+    if approx:
+        aggs = [F.struct(
+            F.lit(i).alias("column_idx"), F.count(F.lit(1)).alias("n_rows"),
+            F.count_if(missing_expr(f.name, f.dataType)).alias("n_missing"),
+            F.approx_count_distinct(present_value(f.name, f.dataType)).alias("n_unique")) for i, f in enumerate(fields)]
+        sizes = df.agg(F.array(*aggs).alias("a")).select(F.inline("a"))
+    else:
+        sizes = column_sizes(value_counts(df) if counts is None else counts)
+    names = spark.createDataFrame([(i, f.name, f.dataType.simpleString()) for i, f in enumerate(fields)],
+                                  "column_idx int, name string, dtype string")
+    n = {c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in ("n_rows", "n_missing", "n_unique")}
     denom = F.greatest(F.col("n_rows"), F.lit(1))
     return (
-        wide.select(F.col("_n").alias("n_rows"), F.inline(rows))
+        names.join(sizes, "column_idx", "left")
+        .select(n["n_rows"], "column_idx", "name", "dtype", n["n_missing"], n["n_unique"])
         .withColumn("missing_ratio", F.round(F.col("n_missing") / denom, 6))
         .withColumn("unique_ratio", F.round(F.col("n_unique") / denom, 6))
     )
@@ -192,24 +238,30 @@ def skew_report(df: DataFrame, cols: Sequence[str], threshold: float = SKEW_THRE
     return out.where(finite & (F.abs("skew") >= threshold)).withColumn("skew", F.round("skew", 6))
 
 
-def category_vocab(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+def text_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``value_counts`` of columns read as text, as vocabularies see them."""
+    return value_counts(df.select(*[q(c).cast("string").alias(c) for c in cols]))
+
+
+def category_vocab(df: DataFrame, cols: Sequence[str], counts: DataFrame | None = None) -> DataFrame:
     """Sorted distinct non-null values (as text) of each column, with 0-based index.
 
-    One scan: (column, value) pairs are generated per row and de-duplicated with
-    a partial (map-side) aggregate; positions come from range partitioning, so
-    a column with a huge vocabulary is not ranked in one task.
+    The values come from one ``text_counts`` table over ``cols``, given or made here; positions come
+    from range partitioning, so a column with a huge vocabulary is not ranked in one task.
     """
     if not cols:
         return df.sparkSession.createDataFrame([], "column string, value string, idx bigint")
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), q(c).cast("string").alias("value")) for c in cols])
-    distinct = df.select(F.inline(pairs)).where(F.col("value").isNotNull()).distinct()
-    return with_position(distinct, ["column"], ["value"], out="idx")
+    values = (text_counts(df, cols) if counts is None else counts).where(F.col("text").isNotNull())
+    name = F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("column_idx") + 1)
+    return with_position(values.select(name.alias("column"), F.col("text").alias("value")), ["column"], ["value"], out="idx")
 
 
 def nunique(df: DataFrame, cols: Sequence[str], approx: bool = False) -> dict[str, int]:
-    """Distinct non-null counts of several columns in one aggregate (small dict)."""
+    """Distinct non-null counts of several columns in one scan (small dict)."""
     if not cols:
         return {}
-    f = F.approx_count_distinct if approx else F.count_distinct
-    row = df.agg(*[f(q(c)).alias(f"u{i}") for i, c in enumerate(cols)]).first()
-    return {c: int(row[f"u{i}"]) for i, c in enumerate(cols)}
+    if approx:
+        row = df.agg(*[F.approx_count_distinct(q(c)).alias(f"u{i}") for i, c in enumerate(cols)]).first()
+        return {c: int(row[f"u{i}"]) for i, c in enumerate(cols)}
+    got = {r["column_idx"]: r["n_unique"] for r in column_sizes(value_counts(df, cols)).collect()}  # a row a column
+    return {c: got.get(i, 0) for i, c in enumerate(cols)}

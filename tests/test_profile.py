@@ -95,3 +95,32 @@ def test_profile_store_round_trip(spark):
     save_profile(prof, path)
     back = {r["name"]: (r["n_missing"], r["n_unique"]) for r in load_profile(spark, path).collect()}
     assert back == {"id": (0, 3), "c": (1, 1)}
+
+
+def test_value_counts_tell_values_apart(spark):
+    df = spark.createDataFrame(
+        [(0.0, "a", 1, [1, 2]), (-0.0, "a ", 1, [1, 2]), (float("nan"), None, None, [12]), (None, "", 2, None), (0.5, "a", 2, [])],
+        "x double, s string, i int, l array<int>")
+    got = {(r["column_idx"], r["whole"], r["real"], r["text"]): r["n"] for r in P.value_counts(df).collect()}
+    assert sum(got.values()) == 20
+    assert got[(0, None, 0.0, None)] == 2 and got[(0, None, None, None)] == 2 and got[(0, None, 0.5, None)] == 1
+    assert got[(1, None, None, "a")] == 2 and got[(1, None, None, "")] == 1 and got[(2, 2, None, None)] == 2
+    assert {r["name"]: (r["n_missing"], r["n_unique"]) for r in P.profile(df).collect()} == {
+        "x": (2, 2), "s": (1, 3), "i": (1, 2), "l": (1, 3)}
+    # given counts serve the profile without the data
+    written = P.value_counts(df).persist()
+    assert P.profile(df, counts=written).collect() and P.column_sizes(written).count() == 4
+
+
+def test_profile_reads_the_table_once_without_expand(spark):
+    df = spark.range(0, 1000, 1, 4).select(*[(F.col("id") % (k + 2)).alias(f"c{k}") for k in range(40)])
+    plan = P.profile(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and plan.count("Range (") == 1
+    assert [r["n_unique"] for r in P.profile(df).orderBy("column_idx").collect()] == list(range(2, 42))
+
+
+def test_profile_of_a_hot_value_and_no_columns(spark):
+    hot = spark.range(0, 3000, 1, 6).select(F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(F.lit(-1)).alias("k"))
+    r = P.profile(hot).first()
+    assert (r["n_rows"], r["n_missing"], r["n_unique"]) == (3000, 0, 1001)
+    assert P.profile(spark.range(3).select()).collect() == []
