@@ -20,7 +20,7 @@ METRIC_DIRECTIONS = {"accuracy": "max", "f1": "max", "roc_auc": "max", "rmse": "
 CLASSIFICATION_METRICS = ("accuracy", "f1", "roc_auc")
 REGRESSION_METRICS = ("rmse", "mae", "r2")
 SCATTER_MAX_POINTS = 2000
-MAX_CONFUSION_LABELS = 10_000
+MAX_DENSE_LABELS = 10_000
 
 
 def accuracy(df: DataFrame, y: str, p: str) -> float | None:
@@ -123,24 +123,28 @@ def regression_metrics_df(df: DataFrame, y: str, p: str) -> DataFrame:
     return j.select(F.sqrt("mse").alias("rmse"), F.col("mae"), r2.alias("r2"))
 
 
-def confusion_matrix(df: DataFrame, y: str, p: str, labels: Sequence | None = None) -> DataFrame:
-    """Dense (true, pred, count) over the label set (string-sorted union of true
-    and predicted labels unless given; rows outside a given list are dropped)."""
-    ys, ps = F.col(y).cast("string"), F.col(p).cast("string")
+def confusion_matrix(df: DataFrame, y: str, p: str, labels: Sequence | None = None, dense: bool | None = None) -> DataFrame:
+    """(row_idx, col_idx, true_label, pred_label, count) over the label set: the string-sorted union of true and
+    predicted labels unless given. Rows with a missing label, or one outside a given list, are left out.
+
+    ``dense`` adds the pairs that do not occur, with count 0; by default up to ``MAX_DENSE_LABELS`` labels. Above
+    that the pairs that occur are the matrix: there are no more of them than rows.
+    """
+    counts = df.groupBy(F.col(y).cast("string").alias("true_label"), F.col(p).cast("string").alias("pred_label")).count()
     if labels is None:
-        lab = df.select(ys.alias("l")).union(df.select(ps.alias("l"))).distinct()
-        n = lab.count()
-        if n > MAX_CONFUSION_LABELS:
-            raise ValueError(f"{n} labels: too many for a dense confusion matrix")
-        labels = sorted(r["l"] for r in lab.collect())  # bounded by the check above
-    labels = [str(v) for v in labels]
-    counts = df.where(ys.isin(labels) & ps.isin(labels)).groupBy(ys.alias("true_label"), ps.alias("pred_label")).count()
-    order = F.create_map(*[x for i, v in enumerate(labels) for x in (F.lit(v), F.lit(i))])
-    grid = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(v) for v in labels])).alias("true_label")).select(
-        "true_label", F.explode(F.array(*[F.lit(v) for v in labels])).alias("pred_label"))
-    return grid.join(F.broadcast(counts), on=["true_label", "pred_label"], how="left").select(
-        order[F.col("true_label")].cast("bigint").alias("row_idx"), order[F.col("pred_label")].cast("bigint").alias("col_idx"),
-        "true_label", "pred_label", F.coalesce(F.col("count"), F.lit(0)).cast("bigint").alias("count"))
+        seen = counts.select(F.explode(F.array("true_label", "pred_label")).alias("label")).where(F.col("label").isNotNull())
+        lab = with_position(seen.distinct(), [], ["label"], out="idx").select("label", "idx")
+    else:
+        lab = df.sparkSession.createDataFrame([(str(v), i) for i, v in enumerate(labels)], "label string, idx bigint")
+    n = lab.count()
+    true = lab.select(F.col("label").alias("true_label"), F.col("idx").cast("bigint").alias("row_idx"))
+    pred = lab.select(F.col("label").alias("pred_label"), F.col("idx").cast("bigint").alias("col_idx"))
+    columns = ("row_idx", "col_idx", "true_label", "pred_label")
+    if dense is False or (dense is None and n > MAX_DENSE_LABELS):
+        return counts.join(true, "true_label").join(pred, "pred_label").select(*columns, "count")
+    cells = df.sparkSession.range(n * n).select(F.expr(f"id div {max(n, 1)}").alias("row_idx"), (F.col("id") % max(n, 1)).alias("col_idx"))
+    return cells.join(true, "row_idx").join(pred, "col_idx").join(counts, ["true_label", "pred_label"], "left").select(
+        *columns, F.coalesce("count", F.lit(0)).cast("bigint").alias("count"))
 
 
 def scatter_sample(df: DataFrame, y: str, p: str, order_cols: Sequence[str], max_points: int = SCATTER_MAX_POINTS

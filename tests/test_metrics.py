@@ -1,6 +1,7 @@
 import itertools
 
 import pytest
+from pyspark.sql import functions as F
 
 from tabforge.operators import metrics as M
 
@@ -69,3 +70,19 @@ def test_scatter_sample(spark):
 def test_auc_undefined_without_both_classes(spark):
     df = spark.createDataFrame([(1, 0.3), (1, 0.9)], "y int, s double")
     assert M.roc_auc_binary(df, "y", "s", 1) is None
+
+
+def test_confusion_matrix_of_many_labels_lists_the_pairs_that_occur(spark, monkeypatch):
+    monkeypatch.setattr(M, "MAX_DENSE_LABELS", 50)
+    df = spark.range(3000).select((F.col("id") % 300).alias("y"), (F.col("id") % 100).alias("p"))
+    got = M.confusion_matrix(df, "y", "p").collect()
+    names = sorted(str(i) for i in range(300))
+    assert {(r["true_label"], r["pred_label"]): r["count"] for r in got} == {(str(i), str(i % 100)): 10 for i in range(300)}
+    assert all(names[r["row_idx"]] == r["true_label"] and names[r["col_idx"]] == r["pred_label"] for r in got)
+
+
+def test_confusion_matrix_with_missing_labels_and_an_empty_table(spark):
+    df = spark.createDataFrame([("a", "b"), ("a", None), (None, "b"), ("b", "b")], "y string, p string")
+    got = {(r["true_label"], r["pred_label"]): r["count"] for r in M.confusion_matrix(df, "y", "p").collect()}
+    assert got == {("a", "a"): 0, ("a", "b"): 1, ("b", "a"): 0, ("b", "b"): 1}
+    assert M.confusion_matrix(df.limit(0), "y", "p").collect() == []
