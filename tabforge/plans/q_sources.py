@@ -24,6 +24,17 @@ def q_csv_scan(spark, sf):
     return rows
 
 
+@register("csv_quoted_breaks", sql="""
+SELECT c_custkey, concat(c_name, chr(10), '"', c_mktsegment, '", ', chr(10)) AS note, c_acctbal FROM customer""")
+def q_csv_quoted_breaks(spark, sf):
+    """customer written as CSV with line breaks, quotes and commas inside a field, read back by quote parity."""
+    path = scratch_path(spark, "csv-breaks")
+    note = F.concat("c_name", F.lit('\n"'), "c_mktsegment", F.lit('", \n')).alias("note")
+    CSV.write_csv(table(spark, sf, "customer").select("c_custkey", note, "c_acctbal"), path)
+    rows, _ = CSV.read_tabular(spark, path, multi_line=True)
+    return rows
+
+
 @register("csv_malformed_rows", sql="""
 SELECT CASE WHEN event_type <> 'error' THEN event_id END AS event_id,
   CASE WHEN event_type <> 'error' THEN event_type END AS event_type,
