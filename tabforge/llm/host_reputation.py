@@ -1,8 +1,8 @@
 """URL filter: path rules first, then empirical-Bayes host reputation.
 
 Labelled page outcomes (1 bad, 0 good) are counted per host. Rates are shrunk
-through a chain of beta-binomial priors, all pages to suffix to registered domain
-to host; the strength of each prior comes from how far the children of a node
+through a chain of beta-binomial priors, all pages to suffix (a list, longest match) to
+registered domain to host; the strength of each prior comes from how far the children of a node
 differ (method of moments). A host's pages are blocked where the lower posterior
 bound of its bad rate is above a limit.
 
@@ -13,15 +13,25 @@ aggregate; the host table meets the pages in one equi-join.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabforge.llm.common import ascii_lower
+from tabforge.llm.common import ascii_lower, stored
 
 URL_PATTERN = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
+# Public suffixes of two labels under which names are registered one label further left.
+SUFFIXES = (
+    "ac.jp", "ac.uk", "co.id", "co.il", "co.in", "co.jp", "co.kr", "co.nz", "co.th", "co.uk", "co.za", "com.ar", "com.au",
+    "com.br", "com.cn", "com.co", "com.hk", "com.mx", "com.my", "com.ph", "com.pl", "com.sa", "com.sg", "com.tr", "com.tw",
+    "com.ua", "com.vn", "edu.au", "edu.cn", "go.jp", "gov.au", "gov.br", "gov.cn", "gov.in", "gov.uk", "ltd.uk", "me.uk",
+    "ne.jp", "net.au", "net.br", "net.cn", "net.nz", "net.uk", "nhs.uk", "or.jp", "or.kr", "org.au", "org.br", "org.cn",
+    "org.nz", "org.uk", "org.za", "plc.uk", "sch.uk",
+)
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -74,21 +84,30 @@ def _strength(mean: Column, spread: Column, n: Column, children: Column, p: Prio
     return F.greatest(F.lit(p.least_strength), F.least(F.lit(p.most_strength), F.coalesce(raw, F.lit(p.most_strength))))
 
 
-def host_bounds(outcomes: DataFrame, prior: Prior | None = None) -> DataFrame:
+def suffix_pattern(suffixes: Sequence[str]) -> str:
+    """Pattern of a host's longest suffix of the list, else its last label."""
+    listed = "|".join(x.replace(".", r"\.") for x in sorted(suffixes, key=lambda x: (-len(x), x)))
+    return f"(?:{listed}|[^.]*)$" if listed else "[^.]*$"
+
+
+def host_bounds(outcomes: DataFrame, prior: Prior | None = None, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
     """Per host of ``outcomes`` (host, bad 0/1/null): ``bound``, the lower posterior bound of its bad rate.
 
+    A host's suffix is the longest one of ``suffixes`` that it ends in, else its last label; its registered
+    domain has one label more. A host that is itself a suffix is its own domain.
     Hosts without labelled pages get the bound of their domain's prior; with no
     labelled page at all the top prior is Beta(1/2, 1/2) and nothing is blocked.
     An empty table gives an empty result.
     """
     p = prior or Prior()
-    label = F.element_at(F.split("host", r"\."), -1)
+    end = suffix_pattern(suffixes)
     host = (
         outcomes.groupBy("host")
         .agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("x"))
-        .withColumn("suffix", label)
-        .withColumn("domain", F.regexp_extract("host", r"([^.]*\.)?[^.]*$", 0))
+        .withColumn("suffix", F.regexp_extract("host", rf"(?:^|\.)({end})", 1))
+        .withColumn("domain", F.regexp_extract("host", rf"(?:^|\.)((?:[^.]*\.)?{end})", 1))
     )
+    host = stored(host, "host-counts")  # every level and both scalars read it
     domain = host.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
     suffix = domain.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
     rate = (F.sum("x") + 0.5) / (F.sum("n") + 1.0)
@@ -122,7 +141,9 @@ def host_bounds(outcomes: DataFrame, prior: Prior | None = None) -> DataFrame:
     return host.select("host", F.col("n").alias("n_labelled"), (F.col("m") - p.z * sd).alias("bound"))
 
 
-def judge_urls(pages: DataFrame, url: str, rules: list[Rule], prior: Prior | None = None) -> DataFrame:
+def judge_urls(
+    pages: DataFrame, url: str, rules: list[Rule], prior: Prior | None = None, suffixes: Sequence[str] = SUFFIXES
+) -> DataFrame:
     """Adds host, path, rule, verdict and n_labelled to every row of ``pages``.
 
     The labelled outcomes are the pages that a rule decides: block is bad, allow is
@@ -140,7 +161,7 @@ def judge_urls(pages: DataFrame, url: str, rules: list[Rule], prior: Prior | Non
     parsed = pages.select(*kept, url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
     ruled = parsed.select("*", text.alias("rule"), verdict.alias("verdict"))
     outcomes = ruled.select("host", (F.col("verdict") == "block").cast("long").alias("bad"))
-    bounds = host_bounds(outcomes, p)
+    bounds = host_bounds(outcomes, p, suffixes)
     by_host = F.when(F.col("bound") > p.limit, "block").otherwise("allow")
     return ruled.join(bounds, "host", "left").select(
         *kept, "host", "path", "rule", F.coalesce("verdict", by_host).alias("verdict"), "n_labelled"

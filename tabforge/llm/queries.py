@@ -210,6 +210,7 @@ def _fit_sql(children: str, parents: str, keys: str) -> str:
     FROM {children} {using} {by})"""
 
 
+_SUFFIX_END = host_reputation.suffix_pattern(host_reputation.SUFFIXES)
 _OP3_SQL = rf"""
 WITH u AS (
   SELECT page_id, coalesce(translate(regexp_extract(url, '{host_reputation.URL_PATTERN}', 1), {_AZ}), '') AS host,
@@ -217,7 +218,8 @@ WITH u AS (
 ), u2 AS (SELECT *, CASE {_URL_RULE} END AS rule FROM u
 ), u3 AS (SELECT *, CASE rule {_URL_VERDICT} END AS verdict FROM u2
 ), h AS (
-  SELECT host, string_split(host, '.')[-1] AS suffix, regexp_extract(host, '([^.]*\.)?[^.]*$') AS domain,
+  SELECT host, regexp_extract(host, '(?:^|\.)({_SUFFIX_END})', 1) AS suffix,
+    regexp_extract(host, '(?:^|\.)((?:[^.]*\.)?{_SUFFIX_END})', 1) AS domain,
     count(verdict)::DOUBLE AS n, (count(*) FILTER (verdict = 'block'))::DOUBLE AS x FROM u3 GROUP BY host
 ), d AS (SELECT suffix, domain, sum(n) AS n, sum(x) AS x FROM h GROUP BY ALL
 ), s AS (SELECT suffix, sum(n) AS n, sum(x) AS x FROM d GROUP BY ALL

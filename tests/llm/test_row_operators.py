@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import duckdb
 import numpy as np
@@ -249,6 +250,25 @@ def test_bad_hosts_are_told_from_good_ones(spark):
     assert bound["new.x.org"] < 0.5
 
 
+def test_registered_domains_follow_the_longest_suffix_of_the_list(spark):
+    hosts = {
+        "a.b.x.co.uk": ("co.uk", "x.co.uk"), "x.co.uk": ("co.uk", "x.co.uk"), "co.uk": ("co.uk", "co.uk"),
+        "taco.uk": ("uk", "taco.uk"), "a.taco.uk": ("uk", "taco.uk"), "uk": ("uk", "uk"), "": ("", ""), "w.x.com": ("com", "x.com"),
+        "x.com:80": ("com:80", "x.com:80"), "1.2.3.4": ("4", "3.4"), "a.blog.co.uk": ("blog.co.uk", "a.blog.co.uk"), "x.": ("", "x."),
+    }
+    end = host_reputation.suffix_pattern([*host_reputation.SUFFIXES, "blog.co.uk"])
+    for host, (suffix, domain) in hosts.items():
+        assert re.search(rf"(?:^|\.)({end})", host)[1] == suffix
+        assert re.search(rf"(?:^|\.)((?:[^.]*\.)?{end})", host)[1] == domain
+    # sites under co.uk are no longer one domain: a bad one does not pull its neighbours
+    rows = [("a.bad.co.uk", 1)] * 300 + [("b.good.co.uk", 0)] * 300 + [("new.good.co.uk", None), ("new.bad.co.uk", None)]
+    table = spark.createDataFrame(rows, "host string, bad int")
+    bound = {r["host"]: r["bound"] for r in host_reputation.host_bounds(table).collect()}
+    assert bound["new.bad.co.uk"] > bound["new.good.co.uk"]
+    plain = {r["host"]: r["bound"] for r in host_reputation.host_bounds(table, suffixes=()).collect()}
+    assert plain["new.bad.co.uk"] == plain["new.good.co.uk"]
+
+
 # --- Jaccard join ----------------------------------------------------------------------------------------------------
 
 
