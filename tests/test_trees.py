@@ -216,6 +216,45 @@ def test_scores_follow_from_the_trees_when_a_worker_forgets(spark, monkeypatch):
     assert step[-1].tolist() == [[3.5], [-2.5]]
 
 
+# --- equal rows ------------------------------------------------------------------------------------------------------
+
+
+def test_distinct_rows_take_zeros_and_missing_as_equal():
+    x = np.array([[0.0, np.nan], [-0.0, np.nan], [1.0, 2.0], [0.0, np.nan], [2.0, 1.0]])
+    first, number = T.distinct_rows(x)
+    assert len(first) == 3 and len({*number[[0, 1, 3]]}) == 1
+    assert np.array_equal(x[first][number], x, equal_nan=True)
+
+
+def test_equal_rows_are_written_and_routed_once(spark):
+    x = np.arange(9000) % 5
+    df = frame(spark, x.astype(float), x % 2).repartition(3)
+    blocks = T.write_blocks(df, key="id", features="features", label="label", weight=None)
+    kept = blocks.selectExpr("sum(octet_length(y)) / 8 as kept", "sum(octet_length(w)) / 8 as n", "count(*) as blocks").first()
+    assert kept["n"] == 9000 and kept["kept"] == 5 * kept["blocks"]
+    # no node counts as large: a level's passes over the data are for distinct rows
+    forest = T.Forest(blocks, 2, T.ForestParams(trees=3, bootstrap=True, local_rows=int(kept["kept"])))
+    roots = {t: T.Growing(2) for t in range(3)}
+    assert forest._large(roots, {t: {g.add(np.zeros(2)): 0} for t, g in roots.items()}) == {}
+    model = T.ForestEstimator(T.ForestParams(trees=3, bootstrap=True), 2).fit_rows(df, key="id", label="label")
+    assert {r["prediction"] - r["label"] for r in model.transform(df).collect()} == {0.0}
+
+
+@pytest.mark.parametrize("classes", [0, 2])
+def test_boosting_folds_rows_of_equal_bins(spark, classes):
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=4000))
+    y = (x > 0) * 1.0 if classes else x + rng.normal(size=4000)
+    df = frame(spark, x, y).withColumn("w", F.when(F.col("id") % 10 == 0, -2.0).otherwise(2.0))
+    blocks = T.write_blocks(df.coalesce(1), key="id", features="features", label="label", weight="w")
+    rows = B.fold_blocks(blocks, B.bin_edges(blocks, df, 1), classes).collect()
+    y_, w, n = (np.concatenate([np.frombuffer(bytes(r[c])) for r in rows]) for c in ("y", "w", "n"))
+    fitted = np.arange(4000) % 10 > 0
+    assert (w > 0).sum() == len(np.unique(x[fitted]))
+    assert n.sum() == 4000 and (w * y_)[w > 0].sum() == pytest.approx(2 * y[fitted].sum())
+    assert (w * y_**2)[w < 0].sum() == pytest.approx(-2 * (y[~fitted] ** 2).sum())  # watched rows keep their labels
+
+
 # --- registry --------------------------------------------------------------------------------------------------------
 
 
