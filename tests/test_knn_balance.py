@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabforge.operators import balance as B
+from tabforge.operators import knn as K
 from tabforge.operators.knn import knn, knn_classify
 
 
@@ -62,3 +63,30 @@ def test_smote_guards(spark):
         B.smote(df, id_col="id", label_col="label", vec_col="vec", k=5)
     with pytest.raises(ValueError):
         B.smote(df, id_col="id", label_col="label", vec_col="vec", task_type="regression")
+
+
+def test_equal_vectors_keep_the_smallest_ids(spark):
+    rows = spark.range(0, 9000, 1, 3).selectExpr("id", "array(cast(id % 3 as double)) as vec")
+    kept = K._packed(rows.selectExpr("id", "vec", "0 as grp"), 4, 1).selectExpr("octet_length(x) / 8 as x", "size(ids) as n").collect()
+    assert all((r["x"], r["n"]) == (3, 12) for r in kept)
+    got = knn(rows.where("id < 30"), rows, 4, exclude_self=True, id_col="id", vec_col="vec").collect()
+    for q in range(30):
+        near = [r["t_id"] for r in sorted((r for r in got if r["q_id"] == q), key=lambda r: r["rank"])]
+        assert near == [i for i in range(q % 3, 18, 3) if i != q][:4]
+
+
+def test_far_offsets_ids_of_text_and_missing_components(spark):
+    rng = np.random.default_rng(5)
+    x = 1e9 + np.round(rng.normal(size=(700, 2)), 2)
+    x[3, 1] = np.nan
+    rows = spark.createDataFrame([(f"k{i:03}", v) for i, v in enumerate(x.tolist())], "id string, vec array<double>")
+    got = {}
+    for r in knn(rows.limit(40), rows, 3, id_col="id", vec_col="vec").collect():
+        got.setdefault(r["q_id"], []).append((r["rank"], r["t_id"]))
+    for q, near in got.items():
+        d = np.sqrt(((x - x[int(q[1:])]) ** 2).sum(axis=1))
+        order = sorted(range(700), key=lambda j: (np.isnan(d[j]), d[j] if d[j] == d[j] else 0, j))[:3]
+        assert [t for _, t in sorted(near)] == [f"k{j:03}" for j in order]
+    assert len(got) == 40
+    with pytest.raises(Exception, match="different lengths"):
+        knn(spark.createDataFrame([(1, [0.0])], "id long, vec array<double>"), rows, 3, id_col="id", vec_col="vec").collect()
