@@ -10,8 +10,8 @@ alike. For the threshold a trusted row is scored without its own n-grams in the
 the unlabelled documents are; the raw counts hold every document, labelled or not.
 
 Counting sends one packed histogram per partition (``common.histogram_sum``); scoring is a
-map that holds 4 bytes a bucket. The labelled rows used for the target and the threshold are
-a bounded sample (``LlrModel.sample``), smallest key hashes first, so they can be broadcast.
+map that holds 4 bytes a bucket. The target and the threshold are fitted on all labelled rows:
+they are written once with their texts, and the threshold is an exact quantile of their scores.
 """
 
 from __future__ import annotations
@@ -22,11 +22,12 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabforge.llm.common import NGRAM_MULTIPLIERS, fresh_name, histogram_sum, mixed, pieces
+from tabforge.functions.stats import exact_quantiles
+from tabforge.llm.common import NGRAM_MULTIPLIERS, fresh_name, histogram_sum, mixed, pieces, stored
 
 SYMBOLS = b"#*$%&|<>"
 ASCII_SPACE = " \t\n\v\f\r"
@@ -38,16 +39,13 @@ class LlrParams:
 
     That is 2^18 for 0.8 GB of text, 2^22 for 100 GB and 2^27 for 100 TB.
 
-    ``sample``: labelled rows of each class that the target and the threshold are fitted on.
-
-    ``keep``: share of trusted sample rows that must reach the threshold when left out of the target.
+    ``keep``: share of trusted rows that must reach the threshold when left out of the target.
     """
 
     buckets: int | None = None
     least_buckets: int = 1 << 16
     per_root: float = 8.0
     smoothing: float = 0.5
-    sample: int = 20_000
     keep: float = 0.998
     min_words: int = 50
     repeat_percent: int = 50
@@ -117,13 +115,11 @@ class LlrModel:
         return float(self.weights[at].sum(dtype=float) / len(at)) if len(at) else 0.0
 
 
-def _sampled(labels: DataFrame, key: str, label: str, n: int) -> DataFrame:
-    """At most ``n`` keys of each class, smallest hashes first; (key, trusted)."""
-    def some(good: bool) -> DataFrame:
-        rows = labels.where(F.col(label) == int(good)).select(F.col(key)).where(F.col(key).isNotNull()).distinct()
-        return rows.orderBy(F.xxhash64(key), key).limit(n).withColumn("trusted", F.lit(good))
-
-    return some(True).union(some(False))
+def _examples(labels: DataFrame, key: str, label: str) -> DataFrame:
+    """(key, trusted) of every labelled key; one with both labels is no example of either class."""
+    rows = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(key)
+    both = rows.agg(F.min(F.col(label) == 1).alias("trusted"), F.max(F.col(label) == 1).alias("most"))
+    return both.where(F.col("trusted") == F.col("most")).drop("most")
 
 
 def fit_llr(
@@ -134,28 +130,23 @@ def fit_llr(
     With no trusted row the weights are 0 and every document reaches the threshold.
     """
     p = with_buckets(docs, text, p)
-    sample = _sampled(labels, key, label, p.sample)
-    # A key with both labels is no example of either class.
-    sample = sample.groupBy(key).agg(F.min("trusted").alias("trusted"), F.max("trusted").alias("most"))
-    sample = sample.where(F.col("trusted") == F.col("most")).drop("most")
-    flagged = docs.select(key, text).join(F.broadcast(sample), key, "left").select(text, "trusted", key)  # 2 * p.sample rows
+    # Spark joins by what the labels weigh; their texts are read twice, so they are written
+    labelled = stored(docs.select(key, text).join(_examples(labels, key, label), key).select(text, "trusted", key), "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        totals = np.zeros(2 * p.buckets, np.int64)
+        totals = np.zeros(p.buckets, np.int64)
         for b in pieces(batches):
-            for t, good in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for t in b.column(0).to_pylist():
                 if t and (words := t.encode().split()):
-                    at = ngram_buckets(words, p.buckets)
-                    np.add.at(totals, at, 1)
-                    if good:
-                        np.add.at(totals, at + p.buckets, 1)
+                    np.add.at(totals, ngram_buckets(words, p.buckets), 1)
         return totals
 
-    totals = histogram_sum(flagged.select(text, "trusted"), count, 2 * p.buckets).astype(float)
-    raw, target = totals[: p.buckets], totals[p.buckets :]
+    target = histogram_sum(labelled.where("trusted").select(text), count, p.buckets).astype(float)
     if not target.any():
         return LlrModel(np.zeros(p.buckets, np.float32), -np.inf)
 
+    raw = histogram_sum(docs.select(text), count, p.buckets).astype(float)
+
     def logs(counts: np.ndarray, n: float) -> np.ndarray:
         return np.log(counts + p.smoothing) - np.log(n + p.smoothing * p.buckets)
 
@@ -183,24 +174,19 @@ def fit_llr(
             yield pa.RecordBatch.from_arrays(columns, ["score", "trusted", *b.schema.names[2:]])
 
     kind = docs.schema[key].dataType.simpleString()
-    fitted = flagged.where(F.col("trusted").isNotNull()).withColumnRenamed(key, "key")
-    fitted = fitted.mapInArrow(scores, f"score double, trusted boolean, key {kind}").where("score is not null")
+    fitted = labelled.withColumnRenamed(key, "key").mapInArrow(scores, f"score double, trusted boolean, key {kind}").where("score is not null")
     # Rows of one key are all trusted and may be copies: where there are others, only keys of one row count.
-    one = fitted.groupBy("trusted", "key").agg(F.min("score").alias("score"), F.count("*").alias("n"))
-    alone = F.when((F.col("n") == 1) | ~F.col("trusted"), F.col("score"))
-
-    def quantile(share: float) -> Column:
-        return F.coalesce(F.percentile(alone, share), F.percentile("score", share))
-
-    rows = one.groupBy("trusted").agg(
-        quantile(1 - p.keep).alias("low"), quantile(p.keep).alias("high")
-    ).collect()  # fmt: skip  one row a class, over the bounded sample
-    by = {r["trusted"]: r for r in rows}
-    if True not in by:
+    one = stored(fitted.groupBy("trusted", "key").agg(F.min("score").alias("score"), F.count("*").alias("n")), "scores")
+    by_kind = one.select(
+        F.when(F.col("trusted") & (F.col("n") == 1), F.col("score")).alias("alone"),
+        F.when(F.col("trusted"), F.col("score")).alias("good"), F.when(~F.col("trusted"), F.col("score")).alias("bad"),
+    )
+    found = exact_quantiles(by_kind, ["alone", "good", "bad"], [1 - p.keep, p.keep])
+    low = found["good"][0] if found["alone"][0] is None else found["alone"][0]
+    if low is None:
         return model
-    low = by[True]["low"]
-    if False in by:  # halfway down to the bad rows' upper end where that lies below
-        low = min(low, (low + by[False]["high"]) / 2)
+    if found["bad"][1] is not None:  # halfway down to the bad rows' upper end where that lies below
+        low = min(low, (low + found["bad"][1]) / 2)
     return LlrModel(model.weights, float(low))
 
 

@@ -217,6 +217,15 @@ def test_quality_score_is_the_mean_log_ratio(spark):
         assert got[i]["kept"] == (i < 3)
 
 
+def test_quality_is_fitted_on_every_labelled_row(spark):
+    docs = spark.range(20_400).select(F.col("id").alias("doc_id"), F.lit("the cat sat down").alias("text"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    p = quality_llr.LlrParams(buckets=1 << 10, min_words=1)
+    model = quality_llr.fit_llr(docs, labels, "doc_id", "text", "quality", p)
+    assert not model.weights.any()  # the target is the corpus
+    assert model.threshold == pytest.approx(0, abs=1e-3)
+
+
 def test_quality_buckets_grow_with_the_corpus(spark):
     labels = spark.createDataFrame([(0, 1)], "doc_id long, quality int")
     for size, buckets in ((60, 1 << 16), (300_000, 1 << 18), (1_200_000, 1 << 19)):
