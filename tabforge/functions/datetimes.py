@@ -45,12 +45,17 @@ def _once(value: Column, then: Callable[[Column], Column]) -> Column:
 
 
 def _fields(c: Column) -> Column:
-    """Kind and fields of a value as an array; null where no layout fits."""
+    """Kind and fields of a value as an array; null where no layout fits.
+
+    Every layout begins with a letter or digit and has four digits in a row and 8 characters at least: other text is
+    spared the layouts' patterns.
+    """
     text, out = _text(c), None
     for kind, (pattern, fields) in LAYOUTS.items():
         fits, found = text.rlike("(?i)" + pattern), F.regexp_replace(text, "(?i)" + pattern, f"{kind}|{fields}")
         out = F.when(fits, found) if out is None else out.when(fits, found)
-    return F.split(out, r"\|")
+    likely = (F.length(text) >= 8) & text.rlike(r"(?s)^[0-9A-Za-z].*(?<![0-9])[0-9]{4}|^[0-9]{4}")
+    return F.split(F.when(likely, out), r"\|")
 
 
 def _month(word: Column) -> Column:
@@ -66,7 +71,7 @@ def _made(parts: Column, day_first: bool) -> Column:
     kind, year, second, third, hour, minute, sec, fraction, half, zone = (F.get(parts, F.lit(i)) for i in range(10))
     swapped = (kind == "number") & F.lit(day_first)
     month, day = F.when(swapped, third).otherwise(second), F.when(swapped, second).otherwise(third)
-    h = F.coalesce(hour.try_cast("int"), F.lit(0))
+    h = F.when(hour == "", 0).otherwise(F.coalesce(hour.try_cast("int"), F.lit(0)))
     clock = F.when(h.between(1, 12), h % 12 + F.when(F.lower(half).startswith("p"), 12).otherwise(0))
     secs = F.concat(F.when(sec == "", "0").otherwise(sec), F.lit("."), F.rpad(F.substring(fraction, 1, 6), 6, "0")).try_cast("decimal(8,6)")
     digits = F.regexp_replace(zone, "[^0-9]", "")
@@ -75,7 +80,7 @@ def _made(parts: Column, day_first: bool) -> Column:
     known = F.when(zone.rlike("^[+-]"), F.when(F.substring(digits, 1, 2).try_cast("int") < 18, offset)).otherwise(F.lit("+00:00"))
     values = F.struct(
         year.try_cast("int").alias("y"), _month(month).alias("m"), day.try_cast("int").alias("d"),
-        F.when(half == "", h).otherwise(clock).alias("h"), F.coalesce(minute.try_cast("int"), F.lit(0)).alias("i"), secs.alias("s"),
+        F.when(half == "", h).otherwise(clock).alias("h"), F.when(minute == "", 0).otherwise(F.coalesce(minute.try_cast("int"), F.lit(0))).alias("i"), secs.alias("s"),
         (zone == "").alias("here"), known.alias("zone"),
     )
 
@@ -93,12 +98,15 @@ def parse_datetime(c: Column, day_first: bool = False) -> Column:
 
 
 def readings(c: Column) -> Column:
-    """(other, month_first, day_first): whether a value is a time whatever the order, and in either order."""
+    """(other, month_first, day_first): whether a value is a time whatever the order, and in either order; null where
+    no layout fits."""
 
     def flags(parts: Column) -> Column:
         number = F.get(parts, F.lit(0)) == "number"
-        month, day = (F.coalesce(_made(parts, d).isNotNull(), F.lit(False)) for d in (False, True))
-        return F.struct((month & ~number).alias("other"), (month & number).alias("month_first"), (day & number).alias("day_first"))
+        month = F.coalesce(_made(parts, False).isNotNull(), F.lit(False))
+        day = F.coalesce(F.when(number, _made(parts, True).isNotNull()), F.lit(False))  # other kinds have one order
+        found = F.struct((month & ~number).alias("other"), (month & number).alias("month_first"), day.alias("day_first"))
+        return F.when(parts.isNotNull(), found)
 
     return _once(_fields(c), flags)
 

@@ -5,7 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tabforge.functions.datetimes import day_first, parse_datetime
+from tabforge.functions.datetimes import day_first, parse_datetime, readings
 from tabforge.operators import preprocess as PP
 from tabforge.operators import profile as P
 
@@ -44,3 +44,11 @@ def test_share_of_parsed_values(spark, good, is_datetime):
     values = [f"{d} Jan 2024" for d in range(1, good + 1)] + ["x"] * (20 - good)
     rows = spark.createDataFrame([(v, str(i)) for i, v in enumerate(values)], "s string, n string")
     assert {r["name"]: r["is_datetime"] for r in P.detect_datetime(rows).collect()} == {"s": is_datetime, "n": False}
+
+
+def test_text_without_a_layout_has_no_reading(spark):
+    values = ["{'k': 2024}", "view", "123456789", "Jan 5,\n2024", "x 2024-01-31", "5/6/2024", "13/1/2024", "2024-1-1", None]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, s string")
+    got = {r["i"]: r["r"] and tuple(r["r"]) for r in rows.select("i", readings(F.col("s")).alias("r")).collect()}
+    none, other = None, (True, False, False)
+    assert got == {0: none, 1: none, 2: none, 3: other, 4: none, 5: (False, True, True), 6: (False, False, True), 7: other, 8: none}
