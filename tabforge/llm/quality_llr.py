@@ -28,9 +28,12 @@ from pyspark.sql import types as T
 
 from tabforge.functions.stats import exact_quantiles
 from tabforge.llm.common import NGRAM_MULTIPLIERS, fresh_name, histogram_sum, mixed, pieces, stored
+from tabforge.session import scratch_path
 
 SYMBOLS = b"#*$%&|<>"
 ASCII_SPACE = " \t\n\v\f\r"
+#: Labelled keys that are sent to all tasks at once, about.
+BROADCAST_KEYS = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -122,6 +125,19 @@ def _examples(labels: DataFrame, key: str, label: str) -> DataFrame:
     return both.where(F.col("trusted") == F.col("most")).drop("most")
 
 
+def _labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> DataFrame:
+    """(text, trusted, key) of every labelled row, written once. Texts are not shuffled: the labels' keys go to
+    the rows in parts of about ``BROADCAST_KEYS``, a scan each."""
+    examples = stored(_examples(labels, key, label), "examples")
+    parts = max(1, -(-examples.count() // BROADCAST_KEYS))
+    path = scratch_path(docs.sparkSession, "labelled")
+    for i in range(parts):
+        some = F.broadcast(examples.where(F.pmod(F.xxhash64(key), F.lit(parts)) == i))
+        found = docs.select(key, text).join(some, key).select(text, "trusted", key)
+        found.write.mode("append").parquet(path)
+    return docs.sparkSession.read.schema(found.schema).parquet(path)
+
+
 def fit_llr(
     docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, p: LlrParams,
 ) -> LlrModel:
@@ -130,8 +146,7 @@ def fit_llr(
     With no trusted row the weights are 0 and every document reaches the threshold.
     """
     p = with_buckets(docs, text, p)
-    # Spark joins by what the labels weigh; their texts are read twice, so they are written
-    labelled = stored(docs.select(key, text).join(_examples(labels, key, label), key).select(text, "trusted", key), "labelled")
+    labelled = _labelled(docs, labels, key, text, label)
 
     def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         totals = np.zeros(p.buckets, np.int64)

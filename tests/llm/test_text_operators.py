@@ -226,6 +226,14 @@ def test_quality_is_fitted_on_every_labelled_row(spark):
     assert model.threshold == pytest.approx(0, abs=1e-3)
 
 
+def test_labelled_rows_are_found_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(quality_llr, "BROADCAST_KEYS", 7)
+    docs = spark.createDataFrame([(i % 50, f"t{i}") for i in range(60)] + [(None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(0, 1), (None, 1), (90, 1)], "doc_id long, quality int")
+    got = quality_llr._labelled(docs, labels, "doc_id", "text", "quality").collect()
+    assert sorted((r["text"], r["trusted"]) for r in got) == sorted((f"t{i}", i % 2 == 1) for i in range(60) if 0 < i % 50 < 40)
+
+
 def test_quality_buckets_grow_with_the_corpus(spark):
     labels = spark.createDataFrame([(0, 1)], "doc_id long, quality int")
     for size, buckets in ((60, 1 << 16), (300_000, 1 << 18), (1_200_000, 1 << 19)):
