@@ -8,8 +8,8 @@ Two neighbouring characters that no piece contains side by side never share a sy
 a text is cut there into chunks without changing its ids. Chunks of a batch are encoded
 once each. Those of equal length stand in one matrix, a chunk a row, and all rows take the
 first entry of their agenda in step; long chunks use a heap. Inside the same Arrow batch
-the ids are held against the sentencepiece library: every distinct word once, as it comes
-up, and texts that are not single-spaced as a whole.
+the ids are held against the sentencepiece library: every word that is not remembered, many in one
+text, and texts that are not single-spaced, or end with a space, as a whole.
 """
 
 from __future__ import annotations
@@ -35,8 +35,33 @@ NONE = np.iinfo(np.int32).max
 
 #: Symbols of a chunk up to which it is encoded in a matrix; above, a heap costs less.
 MATRIX_CHARS = 48
-#: Chunks whose ids a worker remembers.
-REMEMBERED = 1 << 17
+#: Chunks, and words, whose ids a worker remembers from batch to batch.
+REMEMBERED = 1 << 18
+#: Rows that are encoded together, at most; an Arrow batch's bytes bound them too.
+BATCH_ROWS = 1024
+#: Words that the library is asked for in one text.
+ASKED_WORDS = 64
+
+
+class Remembered(dict):
+    """Packed ids of chunks or words. Of too many, those that came up again since the last time stay."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.again: set[str] = set()
+
+    def new(self, names: set[str]) -> set[str]:
+        """Those that are not held; the others have come up again."""
+        new = names - self.keys()
+        self.again |= names - new if new else names
+        return new
+
+    def bound(self) -> None:
+        if len(self) > REMEMBERED:
+            kept = {k: self[k] for k in self.again if k in self}
+            self.clear()
+            self.update(kept)
+            self.again = set()
 
 
 class PieceVocabulary:
@@ -69,9 +94,9 @@ class PieceVocabulary:
         self.ranks, self.merged = np.array(list(pairs.values()), np.int32).reshape(-1, 2).T
         self._hash_pairs(np.array(list(pairs), np.int64))
         self.pattern = self._chunk_pattern(named)
-        self.known: dict[str, bytes] = {}  # ids of chunks
+        self.known = Remembered()  # ids of chunks
         self.differ: set[str] = set()  # words that the library encodes in another way
-        self.words: dict[str, bytes] = {}  # ids of what follows one space, up to the next
+        self.words = Remembered()  # ids of what follows one space, up to the next
 
     @staticmethod
     def _chunk_pattern(named: Iterable[str]) -> re.Pattern | None:
@@ -225,38 +250,49 @@ class PieceVocabulary:
     def _library_ids(self, texts: list[str]) -> list[bytes]:
         return [array("i", x).tobytes() for x in self.library.encode(texts, num_threads=1)]
 
+    def _check(self, new: list[str]) -> None:
+        """Hold new words against the library, several in one text; where the text differs, one by one.
+
+        The library puts a space before a text, as there is before a word. No piece goes on behind a space, so
+        the ids of a text are those of its words.
+        """
+        groups = [new[at : at + ASKED_WORDS] for at in range(0, len(new), ASKED_WORDS)]
+        for group, ids in zip(groups, self._library_ids([" ".join(g) for g in groups]), strict=True):
+            if b"".join(map(self.words.__getitem__, group)) == ids:
+                continue
+            for w, own in zip(group, self._library_ids(group), strict=True):
+                if self.words[w] != own:
+                    self.words[w] = own
+                    self.differ.add(w)
+
     def _encode(self, texts: list[str], check: bool) -> tuple[list[bytes], list[bool]]:
-        for held in (self.known, self.words):
-            if len(held) > REMEMBERED:
-                held.clear()
+        self.known.bound()
+        self.words.bound()
         # With single spaces only, a space and what follows is cut and looked up as one word.
         words: list[str] = []
         ends, others = [], {}
         for i, t in enumerate(map(self.library.normalize, texts)):
-            if self.pattern and t.startswith(SPACE) and SPACE + SPACE not in t:
+            if self.pattern and t.startswith(SPACE) and not t.endswith(SPACE) and SPACE + SPACE not in t:
                 words += t[1:].split(SPACE)
             else:
                 others[i] = self._cut(t)
             ends.append(len(words))
-        found = list(map(self.words.get, words))
-        missing = [i for i, ids in enumerate(found) if ids is None]
-        new = {words[i] for i in missing}
-        whole = {SPACE + w for w in new if w.isalnum()}  # no marks, no characters that stand alone
-        parts = {w: self._cut(SPACE + w) for w in new if not w.isalnum()}
-        learned = self._learned(list(whole))
-        chunks = {c for cut in (*parts.values(), *others.values()) for c in cut if c not in self.known}
-        self.known |= self._learned(list(chunks))
-        self.words.update((c[1:], ids) for c, ids in learned.items())
+        new = self.words.new(set(words))
+        whole, parts = [], {}
+        for w in new:
+            if w.isalnum():  # no marks, no characters that stand alone
+                whole.append(SPACE + w)
+            else:
+                parts[w] = self._cut(SPACE + w)
+        chunks = self.known.new({c for cut in (*parts.values(), *others.values()) for c in cut})
+        learned = self._learned(list(chunks.union(whole)))
+        self.known.update((c, learned[c]) for c in chunks)
+        self.words.update((c[1:], learned[c]) for c in whole)
         for w, cut in parts.items():
             self.words[w] = b"".join(map(self.known.__getitem__, cut))
         if check and new:
-            asked = list(new)  # the library puts a space before a text, as there is before a word
-            for w, ids in zip(asked, self._library_ids(asked), strict=True):
-                if self.words[w] != ids:
-                    self.words[w] = ids
-                    self.differ.add(w)
-        for i in missing:
-            found[i] = self.words[words[i]]
+            self._check(list(new))
+        found = list(map(self.words.__getitem__, words))
         starts = [0, *ends]
         packed = [
             b"".join(map(self.known.__getitem__, others[i]) if i in others else found[starts[i] : ends[i]])
@@ -294,7 +330,7 @@ def encode_pieces(
     takes the library's.
 
     A null or empty text has no ids and decodes to an empty text. Texts of any length are
-    encoded whole; what a task holds besides is bounded by ``REMEMBERED`` chunks. Repeated
+    encoded whole; what a task holds besides is bounded by ``REMEMBERED`` chunks and words. Repeated
     rows get equal ids and ties of scores go from left to right, as in the library. An empty
     table gives an empty result. Input columns named like an output are replaced. ``path``
     must be readable on the executors.
@@ -303,7 +339,7 @@ def encode_pieces(
     @F.arrow_udf(RESULT)
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = piece_vocabulary(path)
-        for batch in pieces(batches):
+        for batch in pieces(batches, BATCH_ROWS):
             texts = [t or "" for t in batch.to_pylist()]
             found, agrees = own.checked(texts) if check else (own.encode(texts), [None] * len(texts))
             back: list = [None] * len(texts)

@@ -231,6 +231,28 @@ def test_heap_and_matrix_agree(library, monkeypatch):
     assert ids(own, texts) == in_step
 
 
+def test_pieces_of_a_text_that_ends_with_a_space(library):
+    own = piece_agenda.PieceVocabulary(PIECE_PATH)  # nothing remembered
+    texts = ["abc ", "two words ", "abc", " "]
+    packed, agrees = own.checked(texts)
+    assert [np.frombuffer(p, "<i4").tolist() for p in packed] == [library.encode(t) for t in texts]
+    assert agrees == [True] * len(texts)
+
+
+def test_words_that_come_up_again_stay_remembered(library, monkeypatch):
+    monkeypatch.setattr(piece_agenda, "REMEMBERED", 20)
+    own = piece_agenda.PieceVocabulary(PIECE_PATH)
+    for i in range(8):
+        texts = ["often, again " + " ".join(f"rare{i}x{k}" for k in range(12))]
+        packed, agrees = own.checked(texts)
+        assert np.frombuffer(packed[0], "<i4").tolist() == library.encode(texts[0]) and agrees == [True]
+        assert {"often,", "again"} <= own.words.keys() and len(own.words) <= 20 + 14
+        own.words.bound()
+        own.known.bound()
+        assert not i or {"often,", "again"} <= own.words.keys()  # some of the rare ones are gone
+    assert "rare0x0" not in own.words
+
+
 def test_pieces_of_odd_rows(spark, library):
     long = " ".join(f"wörd{i}" for i in range(40_000)) + "z" * 20_000
     texts = [None, "", " ", "a  b ", "a\0b", "日本", long, "same", "same"]
